@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symbolweave.lineage import shared_folder
 from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, upsert, walks
+from symbolweave.sources.store import StoredGraph, load_graph, save_graph
 from symbolweave.sources.tables import table_edge_rows, table_edges, table_nodes
 
+BUCKETS = 16
 CUSTOMER = "customer:0"
 ORDER = "orders:0"
 NATION = "nation:0"
@@ -21,6 +26,30 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table_nodes(spark, folder), table_edges(spark, folder)
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> StoredGraph:
+    """The same graph, indexed: built on first use in a session, then looked up.
+
+    Traversals run over the saved layout, as they would on a cluster.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SAVED:
+        path = f"{shared_folder(spark)}/{key[0]}/graph-{uuid.uuid4().hex}"
+        save_graph(*graph(spark, folder), path, BUCKETS)
+        _SAVED[key] = path
+    return load_graph(spark, _SAVED[key], BUCKETS)
+
+
+def saved_nodes(spark, folder):
+    return stored(spark, folder).nodes
+
+
+def saved_edges(spark, folder):
+    return stored(spark, folder).edges
+
+
 def node_rankings(spark, folder):
     return rank.node_rankings(*graph(spark, folder), limit=50)
 
@@ -153,59 +182,64 @@ def delete_file_edges(spark, folder):
     return upsert.delete_file(*graph(spark, folder), FILE)[1]
 
 
+def tables(spark, folder):
+    saved = stored(spark, folder)
+    return saved.bucketed_nodes, saved.links
+
+
 def callers_d1(spark, folder):
-    return neighbours.callers(*graph(spark, folder), NATION, 1)
+    return neighbours.callers(*tables(spark, folder), NATION, 1)
 
 
 def callers_d2(spark, folder):
-    return neighbours.callers(*graph(spark, folder), NATION, 2)
+    return neighbours.callers(*tables(spark, folder), NATION, 2)
 
 
 def callees_d1(spark, folder):
-    return neighbours.callees(*graph(spark, folder), ORDER, 1)
+    return neighbours.callees(*tables(spark, folder), ORDER, 1)
 
 
 def callees_d3(spark, folder):
-    return neighbours.callees(*graph(spark, folder), CUSTOMER, 3)
+    return neighbours.callees(*tables(spark, folder), CUSTOMER, 3)
 
 
 def impact_d3(spark, folder):
-    return neighbours.impact_radius(*graph(spark, folder), CUSTOMER, 3)
+    return neighbours.impact_radius(*tables(spark, folder), CUSTOMER, 3)
 
 
 def trace_path(spark, folder):
-    found = walks.trace_path(table_edges(spark, folder), ORDER, REGION)
+    found = walks.trace_path(stored(spark, folder).links, ORDER, REGION)
     return found.select("depth", F.array_join("path", " → ").alias("path_str"))
 
 
 def trace_closed(spark, folder):
     """A path from a customer back to itself that never steps straight back."""
-    found = walks.trace_path(table_edges(spark, folder), CUSTOMER, CUSTOMER)
+    found = walks.trace_path(stored(spark, folder).links, CUSTOMER, CUSTOMER)
     return found.select("depth", F.array_join("path", " → ").alias("path_str"))
 
 
 def trace_edges(spark, folder):
-    return walks.trace_walks(table_edges(spark, folder), ORDER, REGION)
+    return walks.trace_walks(stored(spark, folder).links, ORDER, REGION)
 
 
 def callers_edges(spark, folder):
-    nodes, edges = graph(spark, folder)
+    nodes, edges = tables(spark, folder)
     return walks.labelled(walks.caller_edges(edges, SUPPLIER, 1), nodes, ["source_id"])
 
 
 def callees_edges(spark, folder):
-    nodes, edges = graph(spark, folder)
+    nodes, edges = tables(spark, folder)
     return walks.labelled(walks.callee_edges(edges, CUSTOMER, 3), nodes, ["target_id"])
 
 
 def impact_edges(spark, folder):
-    nodes, edges = graph(spark, folder)
+    nodes, edges = tables(spark, folder)
     walk = walks.impact_edges(edges, CUSTOMER, 2)
     return walks.labelled(walk, nodes, ["source_id", "target_id"])
 
 
 def impact_names(spark, folder):
-    nodes, edges = graph(spark, folder)
+    nodes, edges = tables(spark, folder)
     return walks.impact_names(walks.impact_edges(edges, CUSTOMER, 2), nodes)
 
 
@@ -281,7 +315,7 @@ def search_documents(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        node_rankings, file_summary, top_symbols, kind_histogram, edge_kind_histogram,
+        saved_nodes, saved_edges, node_rankings, file_summary, top_symbols, kind_histogram, edge_kind_histogram,
         language_histogram, validate_report, status, orphan_parents, ranked_context,
         node_lookup, nodes_by_file, metadata_map, graph_export_nodes, graph_export_edges,
         upsert_nodes_last_wins, upsert_edges_last_wins, insert_absent,

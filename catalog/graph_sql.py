@@ -235,13 +235,15 @@ def first_five(near: str, far: str, name: str) -> str:
 DELETE_1_URGENT = "(SELECT id FROM nodes WHERE file_path = 'orders/1-URGENT.sql')"
 
 ORACLES = {
+    "saved_nodes": f"{GRAPH} SELECT * FROM nodes",
+    "saved_edges": f"{GRAPH} SELECT * FROM edges",
     "node_rankings": RANKED.replace("@limit", "50") + " SELECT * FROM ranked",
     "file_summary": f"""
 {GRAPH}
-SELECT n.file_path AS file, count(DISTINCT n.id) AS symbols,
+SELECT * FROM (SELECT n.file_path AS file, count(DISTINCT n.id) AS symbols,
        (SELECT count(*) FROM edges e WHERE e.file_path = n.file_path) AS edges,
        string_agg(DISTINCT n.kind, ',' ORDER BY n.kind) AS kinds
-FROM nodes n GROUP BY n.file_path ORDER BY symbols + edges DESC, file LIMIT 20""",
+FROM nodes n GROUP BY n.file_path) ORDER BY symbols + edges DESC, file LIMIT 20""",
     "top_symbols": f"""
 {GRAPH},
 ends AS (SELECT source_id AS id FROM edges UNION ALL
@@ -344,7 +346,7 @@ path AS (
   UNION ALL
   SELECT e.source_id, e.target_id, p.depth + 1, list_append(p.steps, e.target_id)
   FROM edges e JOIN path p ON e.source_id = p.target_id
-  WHERE p.depth < 6 AND e.target_id <> p.source_id
+  WHERE p.depth < 15 AND e.target_id <> p.source_id
 )
 SELECT depth, array_to_string(steps, ' → ') AS path_str FROM path
 WHERE target_id = 'region:0' ORDER BY depth, steps LIMIT 1""",
@@ -368,7 +370,7 @@ path AS (
   UNION
   SELECT e.source_id, e.target_id, e.kind, e.file_path, e.line_number, p.depth + 1,
          list_append(p.steps, e.source_id)
-  FROM edges e JOIN path p ON e.source_id = p.target_id WHERE p.depth < 4
+  FROM edges e JOIN path p ON e.source_id = p.target_id WHERE p.depth < 10
 )
 SELECT source_id, target_id, kind, file_path, line_number, depth,
        array_to_string(steps, ' -> ') AS path_str

@@ -22,6 +22,8 @@ BROADCAST_ROWS = 100_000
 # Copies of each frontier row when the frontier is too large to broadcast; a hub
 # holding a third of all edges is then spread over this many tasks.
 SALTS = 32
+# So few keys are passed to a scan as a list.
+FEW_KEYS = 200
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,42 @@ def cut(df: DataFrame, label: str) -> Cut:
     return Cut(spark.read.schema(df.schema).parquet(path), seen.get["rows"])
 
 
+def bucket_column(buckets: int) -> str:
+    """The partition column of a stored table with that many buckets."""
+    return f"bucket_of_{buckets}"
+
+
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def stored_buckets(table: DataFrame) -> list[str]:
+    """The bucket column of a stored table; nothing for any other."""
+    return [c for c in table.columns if c.startswith("bucket_of_")]
+
+
+def prune(table: DataFrame, keys: Cut, key: str) -> DataFrame:
+    """Restrict a stored, bucketed table to the buckets some keys fall into.
+
+    What is looked up here is bounded by the number of buckets, or by a few
+    hundred ids; the pruning then happens in the scan, by folder and by the
+    value range of each sorted file.  The bucket column is dropped.
+    """
+    column = stored_buckets(table)
+    if not column:
+        return table
+    buckets = int(column[0].rsplit("_", 1)[1])
+    if keys.rows <= FEW_KEYS:
+        found = keys.df.select(F.col(key).alias("k"), bucket_of(key, buckets).alias("b")).collect()
+        table = table.filter(F.col(column[0]).isin(sorted({r.b for r in found})))
+        table = table.filter(F.col(key).isin([r.k for r in found]))
+    elif keys.small:
+        found = keys.df.select(bucket_of(key, buckets).alias("b")).distinct().collect()
+        if len(found) < buckets:
+            table = table.filter(F.col(column[0]).isin([r.b for r in found]))
+    return table.drop(column[0])
+
+
 def join_frontier(
     big: DataFrame, frontier: Cut, key: str, spread_by: Column, how: str = "inner"
 ) -> DataFrame:
@@ -66,6 +104,7 @@ def join_frontier(
     huge side is never shuffled.  A larger one is copied once per salt and the
     huge side salted by ``spread_by``, which varies inside a hub key.
     """
+    big = prune(big, frontier, key)
     if frontier.small:
         return big.join(F.broadcast(frontier.df), key, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -76,4 +115,4 @@ def join_frontier(
 def join_keyed(wide: DataFrame, keyed: Cut, key: str, how: str = "inner") -> DataFrame:
     """Join a table unique on ``key`` to a counted one; no key can be hot here."""
     other = F.broadcast(keyed.df) if keyed.small else keyed.df
-    return wide.join(other, key, how)
+    return prune(wide, keyed, key).join(other, key, how)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from symbolweave.lineage import Cut, cut, join_frontier, join_keyed
 from symbolweave.schema import NODE_COLUMNS
+from symbolweave.sources.store import StoredEdges, arcs_of, into, out_of
 
 
 def _start(df: DataFrame, node_id: str) -> Cut:
@@ -40,7 +41,7 @@ def _rounds(
         found = cut(reached, f"reached{level}")
         if not found.rows:
             break
-        real = join_keyed(nodes.select(*NODE_COLUMNS), found, "id").withColumn("hop", F.lit(level))
+        real = join_keyed(nodes, found, "id").select(*NODE_COLUMNS, "edge_kind").withColumn("hop", F.lit(level))
         if level == depth:
             levels.append(real)
             break
@@ -60,32 +61,29 @@ def _rounds(
     return result
 
 
-def callers(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
+def callers(
+    nodes: DataFrame, edges: DataFrame | StoredEdges, node_id: str, depth: int = 1
+) -> DataFrame:
     """Nodes with a path of at most ``depth`` edges into ``node_id``."""
-    arcs = edges.select(
-        F.col("target_id").alias("near"), F.col("source_id").alias("far"),
-        F.col("kind").alias("edge_kind"),
-    )
+    arcs = arcs_of(into(edges), "target_id", "source_id")
     return _rounds(nodes, arcs, node_id, depth, returns_to_start=True)
 
 
-def callees(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
+def callees(
+    nodes: DataFrame, edges: DataFrame | StoredEdges, node_id: str, depth: int = 1
+) -> DataFrame:
     """Nodes that ``node_id`` reaches in at most ``depth`` edges."""
-    arcs = edges.select(
-        F.col("source_id").alias("near"), F.col("target_id").alias("far"),
-        F.col("kind").alias("edge_kind"),
-    )
+    arcs = arcs_of(out_of(edges), "source_id", "target_id")
     return _rounds(nodes, arcs, node_id, depth, returns_to_start=True)
 
 
-def impact_radius(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 3) -> DataFrame:
+def impact_radius(
+    nodes: DataFrame, edges: DataFrame | StoredEdges, node_id: str, max_depth: int = 3
+) -> DataFrame:
     """Nodes within ``max_depth`` edges in either direction, by first depth."""
-    ends = F.array(
-        F.struct(F.col("source_id").alias("near"), F.col("target_id").alias("far")),
-        F.struct(F.col("target_id").alias("near"), F.col("source_id").alias("far")),
-    )
-    arcs = edges.select(F.inline(ends)).withColumn("edge_kind", F.lit(""))
-    found = _rounds(nodes, arcs, node_id, max_depth, returns_to_start=False)
+    forward = arcs_of(out_of(edges), "source_id", "target_id")
+    backward = arcs_of(into(edges), "target_id", "source_id")
+    found = _rounds(nodes, forward.unionByName(backward), node_id, max_depth, returns_to_start=False)
     return found.drop("edge_kind").withColumnRenamed("hop", "depth")
 
 

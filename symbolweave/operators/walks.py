@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import Cut, cut, join_frontier, join_keyed
+from symbolweave.lineage import Cut, cut, join_frontier, join_keyed, stored_buckets
+from symbolweave.sources.store import StoredEdges, into, out_of
 
 TRACE_DEPTH = 15
 TRACE_WALK_DEPTH = 10
@@ -32,9 +33,14 @@ def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
     return result
 
 
-def _levels(edges: DataFrame, node_id: str, depth: int, near: str, far: str) -> DataFrame:
-    arcs = edges.select("source_id", "target_id", "kind")
-    frontier = _one(edges, **{near: node_id})
+def _no_edges(arcs: DataFrame) -> DataFrame:
+    return arcs.select("source_id", "target_id", "kind", F.lit(0).alias("depth"))
+
+
+def _levels(edges: DataFrame | StoredEdges, node_id: str, depth: int, near: str, far: str) -> DataFrame:
+    stored = into(edges) if near == "target_id" else out_of(edges)
+    arcs = stored.select("source_id", "target_id", "kind", *stored_buckets(stored))
+    frontier = _one(stored, **{near: node_id})
     parts = []
     for level in range(depth + 1):
         hit = join_frontier(arcs, frontier, near, spread_by=F.col(far), how="left_semi")
@@ -47,40 +53,35 @@ def _levels(edges: DataFrame, node_id: str, depth: int, near: str, far: str) ->
             break
         parts.append(kept.df)
         frontier = cut(kept.df.select(F.col(far).alias(near)).distinct(), f"ends{level}")
-    return _union(parts, arcs.withColumn("depth", F.lit(0)))
+    return _union(parts, _no_edges(arcs))
 
 
-def caller_edges(edges: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
+def caller_edges(edges: DataFrame | StoredEdges, node_id: str, depth: int = 1) -> DataFrame:
     """Edges met walking backwards from ``node_id``, levels 0 to ``depth``."""
     return _levels(edges, node_id, depth, near="target_id", far="source_id")
 
 
-def callee_edges(edges: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
+def callee_edges(edges: DataFrame | StoredEdges, node_id: str, depth: int = 1) -> DataFrame:
     """Edges met walking forwards from ``node_id``, levels 0 to ``depth``."""
     return _levels(edges, node_id, depth, near="source_id", far="target_id")
 
 
-def impact_edges(edges: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
+def impact_edges(edges: DataFrame | StoredEdges, node_id: str, depth: int = 3) -> DataFrame:
     """Edges reached from those touching ``node_id``, levels 0 to ``depth``.
 
     The next level holds the edges that start where one of this level ends, or
-    end where one of this level starts.  Edges are unique, so one pass that
-    marks either case needs no distinct.
+    end where one of this level starts.
     """
-    arcs = edges.select("source_id", "target_id", "kind")
-    starts = _one(edges, source_id=node_id)
-    stops = _one(edges, target_id=node_id)
+    forward, backward = out_of(edges), into(edges)
+    forward = forward.select("source_id", "target_id", "kind", *stored_buckets(forward))
+    backward = backward.select("source_id", "target_id", "kind", *stored_buckets(backward))
+    starts = _one(forward, source_id=node_id)
+    stops = _one(forward, target_id=node_id)
     parts = []
     for level in range(depth + 1):
-        if starts.small and stops.small:
-            marked = arcs.join(
-                F.broadcast(starts.df.withColumn("by_start", F.lit(True))), "source_id", "left"
-            ).join(F.broadcast(stops.df.withColumn("by_stop", F.lit(True))), "target_id", "left")
-            hit = marked.filter(F.col("by_start").isNotNull() | F.col("by_stop").isNotNull())
-        else:
-            forward = join_frontier(arcs, starts, "source_id", F.col("target_id"), "left_semi")
-            backward = join_frontier(arcs, stops, "target_id", F.col("source_id"), "left_semi")
-            hit = forward.unionByName(backward).distinct()
+        after = join_frontier(forward, starts, "source_id", F.col("target_id"), "left_semi")
+        before = join_frontier(backward, stops, "target_id", F.col("source_id"), "left_semi")
+        hit = after.unionByName(before).distinct()
         hit = hit.select("source_id", "target_id", "kind", F.lit(level).alias("depth"))
         if level == depth:
             parts.append(hit)
@@ -91,7 +92,7 @@ def impact_edges(edges: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
         parts.append(kept.df)
         starts = cut(kept.df.select(F.col("target_id").alias("source_id")).distinct(), f"starts{level}")
         stops = cut(kept.df.select(F.col("source_id").alias("target_id")).distinct(), f"stops{level}")
-    return _union(parts, arcs.withColumn("depth", F.lit(0)))
+    return _union(parts, _no_edges(forward))
 
 
 def impact_names(walk: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def labelled(walk: DataFrame, nodes: DataFrame, ends: list[str]) -> DataFrame:
     return result
 
 
-def trace_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+def trace_path(edges: DataFrame | StoredEdges, source: str, target: str) -> DataFrame:
     """The shortest edge path from source to target, as (depth, path).
 
     ``depth`` is 0 for a direct edge and at most 15; a path may not step
@@ -134,13 +135,14 @@ def trace_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     with its two best ways in: whatever the next step is, one of the two does
     not step back.
     """
-    arcs = edges.select("source_id", "target_id")
+    stored = out_of(edges)
+    arcs = stored.select("source_id", "target_id", *stored_buckets(stored))
     closed = source == target
     settle = ["source_id", "target_id"] if closed else ["target_id"]
     previous = F.get(F.col("path"), F.size("path") - 2)
     best = Window.partitionBy("source_id").orderBy("path")
-    frontier = _one(edges, source_id=source).df.select("source_id", F.array("source_id").alias("path"))
-    frontier = Cut(frontier, 1)
+    first = _one(arcs, source_id=source).df.select("source_id", F.array("source_id").alias("path"))
+    frontier = Cut(first, 1)
     settled = None
     for depth in range(TRACE_DEPTH + 1):
         step = join_frontier(arcs, frontier, "source_id", spread_by=F.col("target_id"))
@@ -169,7 +171,7 @@ def trace_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     return result
 
 
-def trace_walks(edges: DataFrame, source: str, target: str) -> DataFrame:
+def trace_walks(edges: DataFrame | StoredEdges, source: str, target: str) -> DataFrame:
     """Up to 20 final edges of walks from source to target, shortest first.
 
     A row is the last edge of a walk, its depth (0 for a direct edge, at most
@@ -177,24 +179,23 @@ def trace_walks(edges: DataFrame, source: str, target: str) -> DataFrame:
     smallest walks into each id can be the start of one of the first 20
     results, so no more than those go on from any level.
     """
-    arcs = edges.select("source_id", "target_id", "kind", "file_path", "line_number")
+    stored, last = out_of(edges), into(edges)
+    last = last.filter(F.col("target_id") == target)
+    last = last.select("source_id", "target_id", "kind", "file_path", "line_number")
+    arcs = stored.select("source_id", "target_id", *stored_buckets(stored))
     smallest = Window.partitionBy("source_id").orderBy("path")
-    first = _one(edges, source_id=source).df.select("source_id", F.array("source_id").alias("path"))
+    first = _one(arcs, source_id=source).df.select("source_id", F.array("source_id").alias("path"))
     frontier = Cut(first, 1)
     parts, found = [], 0
     for depth in range(TRACE_WALK_DEPTH + 1):
-        into = join_frontier(
-            arcs.filter(F.col("target_id") == target), frontier, "source_id", F.col("kind")
-        ).withColumn("depth", F.lit(depth))
-        ends = cut(into, f"ends{depth}")
+        arrived = join_frontier(last, frontier, "source_id", F.col("kind"))
+        ends = cut(arrived.withColumn("depth", F.lit(depth)), f"ends{depth}")
         if ends.rows:
             parts.append(ends.df)
             found += ends.rows
         if found >= TRACE_WALK_ROWS or depth == TRACE_WALK_DEPTH:
             break
-        step = join_frontier(
-            arcs.select("source_id", "target_id"), frontier, "source_id", F.col("target_id")
-        )
+        step = join_frontier(arcs, frontier, "source_id", F.col("target_id"))
         onward = (
             step.select(
                 F.col("target_id").alias("source_id"),
@@ -208,7 +209,7 @@ def trace_walks(edges: DataFrame, source: str, target: str) -> DataFrame:
         frontier = cut(onward, f"walks{depth}")
         if not frontier.rows:
             break
-    like = arcs.withColumn("path", F.array("source_id")).withColumn("depth", F.lit(0))
+    like = last.withColumn("path", F.array("source_id")).withColumn("depth", F.lit(0))
     return (
         _union(parts, like)
         .orderBy("depth", "path", "kind")
