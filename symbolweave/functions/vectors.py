@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm(vector: Column | str) -> Column:
@@ -33,14 +34,14 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(left, right) / lengths)
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def unpack_floats(packed: pa.Array) -> pa.Array:
     """Packed native float32 bytes to a vector."""
     rows = [None if b is None else np.frombuffer(b, np.float32) for b in packed.to_pylist()]
     return pa.array(rows, pa.list_(pa.float32()))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def pack_floats(vectors: pa.Array) -> pa.Array:
     """A vector to packed native float32 bytes."""
     rows = [None if v is None else np.asarray(v, np.float32).tobytes() for v in vectors.to_pylist()]
