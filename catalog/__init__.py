@@ -2,12 +2,12 @@
 
 
 def all_queries() -> dict:
-    from catalog import graph_queries
+    from catalog import graph_queries, source_queries
 
-    return dict(graph_queries.QUERIES)
+    return {**graph_queries.QUERIES, **source_queries.QUERIES}
 
 
 def all_oracles() -> dict:
-    from catalog import graph_sql
+    from catalog import graph_sql, source_sql
 
-    return dict(graph_sql.ORACLES)
+    return {**graph_sql.ORACLES, **source_sql.ORACLES}
