@@ -35,7 +35,7 @@ SELECT path || ':route:' || url AS id, path AS file_path, url AS name, 'route' A
 FILE = f"'/repo/src/o' || {KEY} || '.ts'"
 INDEXED = f"""
 WITH defs AS (
-  SELECT {FILE} AS file_path, 'Order' || {KEY} AS name, 'class' AS kind, o_orderkey AS k, 1 AS at,
+  SELECT {FILE} AS file_path, 'Order' || {KEY} AS name, 'class' AS kind, o_orderkey AS k, 1 AS nth,
          'own' || {KEY} AS symbol FROM orders
   UNION ALL
   SELECT {FILE}, 'Order' || {KEY} || '.total', 'method', o_orderkey, 2, 'total' || {KEY} FROM orders
@@ -47,8 +47,8 @@ WITH defs AS (
   SELECT {FILE}, 'Extra' || {KEY}, 'class', o_orderkey, 5, 'extra' || {KEY} FROM orders
 ),
 targets AS (
-  SELECT symbol, arg_max(file_path || ':' || name, k * 10 + at) AS target_id,
-         arg_max(kind, k * 10 + at) AS kind
+  SELECT symbol, arg_max(file_path || ':' || name, k * 10 + nth) AS target_id,
+         arg_max(kind, k * 10 + nth) AS kind
   FROM defs GROUP BY symbol
 ),
 refs AS (

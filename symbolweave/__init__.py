@@ -1 +1,9 @@
 """Spark analytics over graphs of code symbols: nodes, edges, text and vectors."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of
+# the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -112,7 +112,8 @@ def hashed_vectors(texts: DataFrame, key: str = "node_id", dimensions: int = DIM
     """
     place = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dimensions
     counts = (
-        texts.select(key, F.explode(words("text")).alias("word"))
+        texts.select(key, F.explode_outer(words("text")).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy(key, place.cast("int").alias("place"))
         .agg(F.count("*").cast("float").alias("weight"))
     )

@@ -74,7 +74,7 @@ def expired(manifests: DataFrame, files: DataFrame, now: str, days: int = CACHE_
 
     ``manifests`` has (key, written), ``files`` has (key, length).
     """
-    age = F.to_timestamp(F.lit(now)).cast("double") - F.col("written").cast("double")
+    age = F.to_timestamp(F.lit(now)).cast("double") - F.col("written").cast("timestamp").cast("double")
     old = manifests.filter(age > days * 86400).select("key")
     sizes = files.groupBy("key").agg(F.sum("length").alias("bytes"))
     return old.join(sizes, "key", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("bigint")))

@@ -66,7 +66,26 @@ def detect_frameworks(files: DataFrame, root: str) -> DataFrame:
         (requirements & text.contains("fastapi"), "fastapi"),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(framework)) for test, framework in signs]))
-    return files.select(F.explode(found).alias("framework")).distinct()
+    rows = files.select(F.explode_outer(found).alias("framework"))
+    return rows.filter(F.col("framework").isNotNull()).distinct()
+
+
+def _found(number: int, rule: RouteRule) -> Column:
+    """What one rule finds in a text, in order."""
+    urls = F.regexp_extract_all("text", F.lit(rule.pattern), 1)
+    handlers = F.regexp_extract_all("text", F.lit(rule.pattern), rule.handler_group or 1)
+
+    def entry(pair: Column, at: Column) -> Column:
+        told = F.concat(F.lit(" → "), pair["handler"]) if rule.handler_group else F.lit(rule.unknown)
+        return F.struct(
+            F.lit(number).alias("rule"),
+            at.alias("at"),
+            pair["url"].alias("url"),
+            F.concat(F.lit(f"{rule.framework}: "), pair["url"], told).alias("signature"),
+            F.lit(rule.language).alias("language"),
+        )
+
+    return F.transform(F.arrays_zip(urls.alias("url"), handlers.alias("handler")), entry)
 
 
 def route_matches(files: DataFrame, frameworks: list[str]) -> DataFrame:
@@ -74,32 +93,17 @@ def route_matches(files: DataFrame, frameworks: list[str]) -> DataFrame:
 
     All rules run over a file's text in one pass.
     """
-    lists = []
-    for number, rule in enumerate(RULES):
-        if rule.framework not in frameworks:
-            continue
-        urls = F.regexp_extract_all("text", F.lit(rule.pattern), 1)
-        handlers = F.regexp_extract_all("text", F.lit(rule.pattern), rule.handler_group or 1)
-        found = F.transform(
-            urls,
-            lambda url, i, rule=rule, handlers=handlers, number=number: F.struct(
-                F.lit(number).alias("rule"),
-                i.alias("at"),
-                url.alias("url"),
-                F.concat(
-                    F.lit(f"{rule.framework}: "), url,
-                    F.concat(F.lit(" → "), F.get(handlers, i)) if rule.handler_group else F.lit(rule.unknown),
-                ).alias("signature"),
-                F.lit(rule.language).alias("language"),
-            ),
-        )
-        named = basename("path").rlike(rule.files)
-        lists.append(F.when(named, found))
+    lists = [
+        F.when(basename("path").rlike(rule.files), _found(number, rule))
+        for number, rule in enumerate(RULES)
+        if rule.framework in frameworks
+    ]
     if not lists:
         lists = [F.lit(None).cast(
             "array<struct<rule:int,at:int,url:string,signature:string,language:string>>")]
     every = F.flatten(F.array_compact(F.array(*lists)))
-    rows = files.select("path", F.explode(every).alias("r"))
+    # explode_outer: explode would have Spark run the patterns again as a filter.
+    rows = files.select("path", F.explode_outer(every).alias("r")).filter(F.col("r").isNotNull())
     columns = {
         "id": F.concat("path", F.lit(":route:"), "r.url"),
         "file_path": F.col("path"),

@@ -56,7 +56,7 @@ def _mentions(documents: DataFrame, root: str) -> DataFrame:
             "doc_no",
             F.concat(F.lit(root + "/"), path).alias("file_path"),
             indexed_language(path).alias("language"),
-            F.explode(F.concat(seen, listed)).alias("m"),
+            F.explode_outer(F.concat(seen, listed)).alias("m"),
         )
         .select("file_path", "language", F.struct("doc_no", "m.list", "m.at").alias("place"), "m.*")
         .filter(F.coalesce("symbol", F.lit("")) != "")
