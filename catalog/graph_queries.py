@@ -11,6 +11,7 @@ from symbolweave.lineage import shared_folder
 from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, upsert, walks
 from symbolweave.sources.store import StoredGraph, load_graph, save_graph
 from symbolweave.sources.tables import table_edge_rows, table_edges, table_nodes
+from symbolweave.streaming import watch
 
 BUCKETS = 16
 CUSTOMER = "customer:0"
@@ -312,6 +313,43 @@ def search_documents(spark, folder):
     return _scored(hits.orderBy(*fulltext.BEST_FIRST).limit(50))
 
 
+def _file_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event stream as file changes: a user is a path."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    op = (
+        F.when(F.col("event_type") == "signup", "created")
+        .when(F.col("event_type") == "purchase", "deleted")
+        .otherwise("modified")
+    )
+    return events.select(
+        F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"),
+        op.alias("op"), "ts", "event_id",
+        F.concat(F.lit("def f"), F.col("event_id").cast("string"), F.lit("():\n    run()\n")).alias("text"),
+    )
+
+
+def debounce_changes(spark, folder):
+    """Bursts of changes to a path, six quiet hours apart."""
+    found = watch.debounced(_file_events(spark, folder), 6 * 3600 * 1000, tie="event_id")
+    return found.select(
+        "path", "op", F.unix_micros("first_ts").alias("first_us"),
+        F.unix_micros("last_ts").alias("last_us"), "events",
+    )
+
+
+def apply_changes(spark, folder):
+    """Nodes after two batches of changes over the table graph and its files."""
+    log = watch.start_log(
+        table_nodes(spark, folder), table_edges(spark, folder),
+        f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}",
+    )
+    events = _file_events(spark, folder)
+    for batch in (0, 1):
+        part = events.filter(F.pmod(F.dayofmonth("ts"), F.lit(2)) == batch)
+        watch.apply_batch(log, watch.latest_changes(part, ["ts", "event_id"]), batch)
+    return watch.current_graph(spark, log)[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -324,5 +362,6 @@ QUERIES = {
         impact_edges, impact_names, symbols_with_callers, search_blank, search_and, search_or,
         search_not, search_phrase, search_kind, search_prefix, search_members,
         search_like_words, explore_grouped, context_by_file, search_documents,
+        debounce_changes, apply_changes,
     )
 }

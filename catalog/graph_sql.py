@@ -234,6 +234,14 @@ def first_five(near: str, far: str, name: str) -> str:
 
 DELETE_1_URGENT = "(SELECT id FROM nodes WHERE file_path = 'orders/1-URGENT.sql')"
 
+CHANGES = """
+changes AS (
+  SELECT 'user/' || user_id || '.py' AS path, event_id, ts,
+         CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'deleted'
+              ELSE 'modified' END AS op
+  FROM events
+)"""
+
 ORACLES = {
     "saved_nodes": f"{GRAPH} SELECT * FROM nodes",
     "saved_edges": f"{GRAPH} SELECT * FROM edges",
@@ -440,4 +448,30 @@ FROM hits2 GROUP BY 1""",
         "f0 > 0 OR f1 > 0 OR f2 > 0", ["f0", "f1", "f2"], limit=50,
         source="(SELECT doc_id AS id, text FROM documents)", columns=("text",), fold=False,
         prefix="WITH unused AS (SELECT 1)", out="id"),
+    "debounce_changes": f"""
+WITH {CHANGES},
+marked AS (
+  SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000 THEN 1 ELSE 0 END AS fresh
+  FROM changes WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)
+),
+bursts AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM marked)
+SELECT path, arg_max(op, (ts, event_id)) AS op, min(epoch_us(ts)) AS first_us,
+       max(epoch_us(ts)) AS last_us, count(*) AS events
+FROM bursts GROUP BY path, burst""",
+    "apply_changes": f"""
+{GRAPH}, {CHANGES},
+batches AS (
+  SELECT path, day(ts) % 2 AS batch, arg_max(op, (ts, event_id)) AS op,
+         arg_max(event_id, (ts, event_id)) AS event_id, bool_or(op IN ('modified', 'deleted')) AS cleared
+  FROM changes GROUP BY 1, 2
+),
+written AS (SELECT path, batch, event_id FROM batches WHERE op <> 'deleted'),
+kept AS (
+  SELECT w.* FROM written w
+  WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.path = w.path AND b.batch > w.batch AND b.cleared)
+)
+SELECT * FROM nodes
+UNION ALL
+SELECT path || ':f' || event_id, path, 'f' || event_id, 'function',
+       'def f' || event_id || '(): run()', 1, 2, NULL, 'python', '{{}}' FROM kept""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolweave.functions.text import words
@@ -123,6 +123,18 @@ def hashed_vectors(texts: DataFrame, key: str = "node_id", dimensions: int = DIM
     return filled.select(key, vector.alias("vector"))
 
 
+def hashed_embeddings(nodes: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    vectors = hashed_vectors(embedding_text(nodes), dimensions=dimensions)
+    return vectors.select("node_id", "vector", F.lit("hashed").alias("model"), F.lit(dimensions).alias("dimensions"))
+
+
+def hashed_query(spark: SparkSession, text: str, dimensions: int = DIMENSIONS) -> list[float]:
+    """The hashed vector of one query text; all zero if it has no words."""
+    one = spark.range(1).select(F.col("id").alias("node_id"), F.lit(text).alias("text"))
+    row = hashed_vectors(one, dimensions=dimensions).first()
+    return list(row["vector"]) if row else [0.0] * dimensions
+
+
 def sentence_transformer(model: str = "all-MiniLM-L6-v2") -> Embedder:
     """A local model; needs the sentence_transformers package on the executors."""
     try:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symbolweave.functions.names import cache_key
+from symbolweave.functions.text import basename
 
 LARGEST_MB = 500
 CACHE_DAYS = 7
@@ -29,7 +30,7 @@ MANIFEST = T.StructType(
 
 
 def read_archives(spark: SparkSession, folder: str, largest_mb: int = LARGEST_MB) -> DataFrame:
-    """Files inside zip archives as (path, text), the top folder left off.
+    """Files inside zip archives as (archive, path, text), the top folder left off.
 
     The size limit is checked on the listing, so an oversized archive fails the
     read before its bytes are loaded.
@@ -43,16 +44,18 @@ def read_archives(spark: SparkSession, folder: str, largest_mb: int = LARGEST_MB
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for name, content in zip(batch.column("archive"), batch.column("content")):
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     for entry in archive.infolist():
                         if entry.is_dir():
                             continue
                         path = entry.filename.split("/", 1)[-1]
                         text = archive.read(entry).decode("utf-8", "replace")
-                        yield pa.RecordBatch.from_pydict({"path": [path], "text": [text]})
+                        row = {"archive": [name.as_py()], "path": [path], "text": [text]}
+                        yield pa.RecordBatch.from_pydict(row)
 
-    return checked.select("content").mapInArrow(unpack, "path string, text string")
+    stem = F.regexp_replace(basename("path"), r"\.zip$", "").alias("archive")
+    return checked.select(stem, "content").mapInArrow(unpack, "archive string, path string, text string")
 
 
 def keyed(repos: DataFrame) -> DataFrame:
