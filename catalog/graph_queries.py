@@ -310,7 +310,7 @@ def search_documents(spark, folder):
     hits = fulltext.scored_matches(
         texts, "license OR released OR the", columns=("text",), keep=("id",), fold_accents=False
     )
-    return _scored(hits.orderBy(*fulltext.BEST_FIRST).limit(50))
+    return _scored(hits.orderBy(*fulltext.best_first()).limit(50))
 
 
 def _file_events(spark: SparkSession, folder: str) -> DataFrame:

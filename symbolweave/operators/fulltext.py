@@ -175,8 +175,9 @@ def scored_matches(
     return hits.df.select(*keep, score.alias("score"))
 
 
-# Scores are compared to nine digits, so that equal scores tie on every engine.
-BEST_FIRST = [F.round("score", 9).desc(), F.col("id").asc()]
+def best_first() -> list[Column]:
+    """Scores are compared to nine digits, so that equal scores tie on every engine."""
+    return [F.round("score", 9).desc(), F.col("id").asc()]
 
 
 def search(
@@ -188,9 +189,9 @@ def search(
     hits = scored_matches(nodes, query, fold_accents=fold_accents)
     if kind:
         hits = hits.filter(F.col("kind") == kind)
-    winners = hits.orderBy(*BEST_FIRST).limit(limit).select("id", "score")
+    winners = hits.orderBy(*best_first()).limit(limit).select("id", "score")
     side = F.broadcast(winners) if limit <= BROADCAST_ROWS else winners
-    return nodes.join(side, "id").select(*nodes.columns, "score").orderBy(*BEST_FIRST)
+    return nodes.join(side, "id").select(*nodes.columns, "score").orderBy(*best_first())
 
 
 def search_prefix(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
