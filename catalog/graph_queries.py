@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symbolweave.lineage import shared_folder
 from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, upsert, walks
 from symbolweave.sources.store import StoredGraph, load_graph, save_graph
-from symbolweave.sources.tables import table_edge_rows, table_edges, table_nodes
+from symbolweave.sources.tables import read_table, table_edge_rows, table_edges, table_nodes
 from symbolweave.streaming import watch
 
 BUCKETS = 16
@@ -127,7 +127,7 @@ def graph_export_edges(spark, folder):
 
 def upsert_nodes_last_wins(spark, folder):
     """Every line item is a write of its order's node; the last one stays."""
-    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    items = read_table(spark, folder, "lineitem")
     text = F.concat_ws(" ", "l_returnflag", "l_linestatus")
     arriving = items.select(
         F.concat(F.lit("orders:"), "l_orderkey").alias("id"),
@@ -159,7 +159,7 @@ def upsert_edges_last_wins(spark, folder):
 def insert_absent(spark, folder):
     """Parts seen in line items are added only where the graph lacks them."""
     nodes = table_nodes(spark, folder).filter(F.col("file_path") != "part/Brand#1.sql")
-    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    items = read_table(spark, folder, "lineitem")
     arriving = items.select(
         F.concat(F.lit("part:"), "l_partkey").alias("id"),
         F.lit("lineitem.sql").alias("file_path"),
@@ -305,7 +305,7 @@ def context_by_file(spark, folder):
 
 def search_documents(spark, folder):
     """Ranked search over whole document texts."""
-    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    documents = read_table(spark, folder, "documents")
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text"))
     hits = fulltext.scored_matches(
         texts, "license OR released OR the", columns=("text",), keep=("id",), fold_accents=False
@@ -315,7 +315,7 @@ def search_documents(spark, folder):
 
 def _file_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event stream as file changes: a user is a path."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = read_table(spark, folder, "events")
     op = (
         F.when(F.col("event_type") == "signup", "created")
         .when(F.col("event_type") == "purchase", "deleted")

@@ -359,9 +359,9 @@ def embedding_texts(spark, folder):
 def embed_symbols(spark, folder):
     """Offline vectors of all symbols, as the places that are not zero."""
     vectors = similar.hashed_vectors(similar.embedding_text(table_nodes(spark, folder)))
-    places = vectors.select("node_id", F.posexplode("vector").alias("place", "weight"))
-    kept = places.filter(F.col("weight") != 0)
-    return kept.select("node_id", "place", F.col("weight").cast("double").alias("weight"))
+    every = F.transform("vector", lambda w, i: F.struct(i.alias("place"), w.cast("double").alias("weight")))
+    kept = vectors.select("node_id", F.inline_outer(F.filter(every, lambda p: p["weight"] != 0)))
+    return kept.filter(F.col("place").isNotNull())
 
 
 QUERIES = {

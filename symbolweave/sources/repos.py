@@ -35,7 +35,12 @@ def read_archives(spark: SparkSession, folder: str, largest_mb: int = LARGEST_MB
     The size limit is checked on the listing, so an oversized archive fails the
     read before its bytes are loaded.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.zip")
+        .option("recursiveFileLookup", "true")
+        .load(folder)
+    )
     too_large = F.concat(F.lit("archive too large: "), "path")
     checked = listed.filter(
         F.when(F.col("length") > largest_mb * 1024 * 1024, F.raise_error(too_large).cast("boolean"))

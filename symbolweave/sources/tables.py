@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from symbolweave.schema import EDGE_KEY, EDGES, NODES
+from symbolweave.schema import EDGES, NODES
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; its schema is read from the file footers the first time only."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _text(*parts: str | Column) -> Column:
@@ -73,8 +81,14 @@ def table_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nodes
 
 
-def table_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every edge a row implies, before duplicates are folded."""
+def table_edge_rows(spark: SparkSession, folder: str, folded: bool = False) -> DataFrame:
+    """Every edge a row implies, as often as rows imply it unless ``folded``."""
+
+    def items(*keys: str) -> DataFrame:
+        rows = read_table(spark, folder, "lineitem").select(*keys, "l_linenumber")
+        if not folded:
+            return rows
+        return rows.groupBy(*keys).agg(F.max("l_linenumber").alias("l_linenumber"))
 
     def build(df, source, target, kind, path, line):
         return _shape(
@@ -87,7 +101,6 @@ def table_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
     supplier = read_table(spark, folder, "supplier")
     customer = read_table(spark, folder, "customer")
     orders = read_table(spark, folder, "orders")
-    items = read_table(spark, folder, "lineitem")
     order_id, order_file = _text("orders:", c("o_orderkey")), _text("orders/", c("o_orderpriority"), ".sql")
     buyer = _text("customer:", c("o_custkey"))
     part_id = _text("part:", c("l_partkey"))
@@ -104,8 +117,8 @@ def table_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
               order_file, c("o_orderkey")),
         build(orders.filter(c("o_orderpriority") == "1-URGENT"), buyer, order_id, "references",
               order_file, c("o_orderkey")),
-        build(items, _text("orders:", c("l_orderkey")), part_id, "calls", item_file, c("l_linenumber")),
-        build(items, part_id, _text("supplier:", c("l_suppkey")), "imports", item_file, c("l_linenumber")),
+        build(items("l_orderkey", "l_partkey"), _text("orders:", c("l_orderkey")), part_id, "calls", item_file, c("l_linenumber")),
+        build(items("l_partkey", "l_suppkey"), part_id, _text("supplier:", c("l_suppkey")), "imports", item_file, c("l_linenumber")),
     ]
     edges = rows[0]
     for row in rows[1:]:
@@ -114,9 +127,9 @@ def table_edge_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges unique on (source, target, kind); duplicates keep the last line."""
-    return (
-        table_edge_rows(spark, folder)
-        .groupBy(*EDGE_KEY)
-        .agg(F.max("file_path").alias("file_path"), F.max("line_number").alias("line_number"))
-    )
+    """Edges unique on (source, target, kind); duplicates keep the last line.
+
+    Only line items repeat an edge.  They are folded on their numeric keys,
+    before any id text is made, so the shuffle carries three small numbers.
+    """
+    return table_edge_rows(spark, folder, folded=True)
