@@ -104,7 +104,8 @@ def join_frontier(
     huge side is never shuffled.  A larger one is copied once per salt and the
     huge side salted by ``spread_by``, which varies inside a hub key.
     """
-    big = prune(big, frontier, key)
+    if how in ("inner", "left_semi"):
+        big = prune(big, frontier, key)
     if frontier.small:
         return big.join(F.broadcast(frontier.df), key, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -112,7 +113,8 @@ def join_frontier(
     return salted.join(frontier.df.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
 
 
-def join_keyed(wide: DataFrame, keyed: Cut, key: str, how: str = "inner") -> DataFrame:
+def join_keyed(wide: DataFrame, keyed: Cut, key: str | list[str], how: str = "inner") -> DataFrame:
     """Join a table unique on ``key`` to a counted one; no key can be hot here."""
-    other = F.broadcast(keyed.df) if keyed.small else keyed.df
-    return prune(wide, keyed, key).join(other, key, how)
+    if how in ("inner", "left_semi") and isinstance(key, str):
+        wide = prune(wide, keyed, key)
+    return wide.join(F.broadcast(keyed.df) if keyed.small else keyed.df, key, how)

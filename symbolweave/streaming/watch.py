@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from symbolweave.functions.text import suffix
-from symbolweave.lineage import cut
+from symbolweave.lineage import Cut, cut, join_frontier
 from symbolweave.operators.upsert import last_wins
 from symbolweave.plans.parse import parse, parsed_edges, parsed_nodes
 from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, EDGES, NODE_COLUMNS, NODES
@@ -146,15 +146,15 @@ def current_graph(spark: SparkSession, log: ChangeLog) -> tuple[DataFrame, DataF
     nodes = log.read(spark, "nodes", NODES)
     edges = log.read(spark, "edges", EDGES)
     cleared = log.read(spark, "cleared", _CLEARED).groupBy("file_path").agg(F.max("batch").alias("until"))
-    marked = nodes.join(cleared, "file_path", "left")
+    marked = join_frontier(nodes, cut(cleared, "cleared"), "file_path", F.col("id"), "left")
     gone = F.col("batch") < F.col("until")
     alive = last_wins(marked.filter(F.coalesce(~gone, F.lit(True))), ["id"], ["batch"], NODE_COLUMNS)
 
-    dead = marked.filter(gone).groupBy("id").agg(F.max("until").alias("until"))
+    dead = cut(marked.filter(gone).groupBy("id").agg(F.max("until").alias("until")), "dead")
     kept = last_wins(edges, EDGE_KEY, ["batch"], [*EDGE_COLUMNS, "batch"])
-    for end in ("source_id", "target_id"):
-        died = dead.select(F.col("id").alias(end), "until")
-        kept = kept.join(died, end, "left").filter(
+    for end, other in (("source_id", "target_id"), ("target_id", "source_id")):
+        died = Cut(dead.df.select(F.col("id").alias(end), "until"), dead.rows)
+        kept = join_frontier(kept, died, end, F.col(other), "left").filter(
             F.col("until").isNull() | (F.col("batch") >= F.col("until"))
         ).drop("until")
     return alive, kept.select(*EDGE_COLUMNS)

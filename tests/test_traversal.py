@@ -179,3 +179,23 @@ def test_impact_names_are_distinct_per_depth(make_graph):
     walk = walks.impact_edges(edges, "a", 0)
     assert {(r.depth, r.name, r.file_path) for r in walks.impact_names(walk, twins).collect()} == {
         (0, "name_a", "/a.py"), (0, "name_b", "/b.py")}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_deletes_and_merges_of_any_size(spark, make_graph, monkeypatch, broadcast):
+    """Large deletes and merges take other joins, with the same result."""
+    from symbolweave.operators import upsert
+
+    if not broadcast:
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", 0)
+    nodes, edges = make_graph("abcd", [*CHAIN, ("d", "a"), ("x", "y")])
+    paths = spark.createDataFrame([("/a.py",), ("/a.py",), ("/none.py",)], "file_path string")
+    kept_nodes, kept_edges = upsert.delete_files(nodes, edges, paths)
+    assert {r.id for r in kept_nodes.collect()} == {"b", "c", "d"}
+    assert {(r.source_id, r.target_id) for r in kept_edges.collect()} == {("b", "c"), ("c", "d"), ("x", "y")}
+    fresh = nodes.filter("id in ('a', 'b')").withColumn("kind", F.lit("class"))
+    fresh = fresh.unionByName(fresh.filter("id = 'a'").withColumn("id", F.lit("new")))
+    merged = {r.id: r.kind for r in upsert.upsert_nodes(nodes, fresh, ["line_start"]).collect()}
+    assert merged == {"a": "class", "b": "class", "c": "function", "d": "function", "new": "class"}
+    added = {r.id: r.kind for r in upsert.insert_absent_nodes(nodes, fresh, ["line_start"]).collect()}
+    assert added == {**{i: "function" for i in "abcd"}, "new": "class"}
