@@ -258,48 +258,48 @@ def _scored(hits: DataFrame) -> DataFrame:
 
 
 def search_blank(spark, folder):
-    return lookup.nodes_by_name(table_nodes(spark, folder), "symbol", 20)
+    return lookup.nodes_by_name(saved_nodes(spark, folder), "symbol", 20)
 
 
 def search_and(spark, folder):
-    return _scored(fulltext.search(table_nodes(spark, folder), "small ring", limit=20))
+    return _scored(fulltext.search(saved_nodes(spark, folder), "small ring", limit=20))
 
 
 def search_or(spark, folder):
-    return _scored(fulltext.search(table_nodes(spark, folder), "widget OR building", limit=20))
+    return _scored(fulltext.search(saved_nodes(spark, folder), "widget OR building", limit=20))
 
 
 def search_not(spark, folder):
-    return _scored(fulltext.search(table_nodes(spark, folder), "widget NOT red economy", limit=20))
+    return _scored(fulltext.search(saved_nodes(spark, folder), "widget NOT red economy", limit=20))
 
 
 def search_phrase(spark, folder):
-    return _scored(fulltext.search(table_nodes(spark, folder), '"brand 1 size" AND signature:eco*', limit=20))
+    return _scored(fulltext.search(saved_nodes(spark, folder), '"brand 1 size" AND signature:eco*', limit=20))
 
 
 def search_kind(spark, folder):
-    return _scored(fulltext.search(table_nodes(spark, folder), "machinery", kind="function", limit=20))
+    return _scored(fulltext.search(saved_nodes(spark, folder), "machinery", kind="function", limit=20))
 
 
 def search_prefix(spark, folder):
-    return _scored(fulltext.search_prefix(table_nodes(spark, folder), "red wid", "symbol", 50))
+    return _scored(fulltext.search_prefix(saved_nodes(spark, folder), "red wid", "symbol", 50))
 
 
 def search_members(spark, folder):
-    return fulltext.search_members(table_nodes(spark, folder), "status AND f", "method", 20)
+    return fulltext.search_members(saved_nodes(spark, folder), "status AND f", "method", 20)
 
 
 def search_like_words(spark, folder):
-    return fulltext.name_contains_any(table_nodes(spark, folder), "find a Widget or RING", 30)
+    return fulltext.name_contains_any(saved_nodes(spark, folder), "find a Widget or RING", 30)
 
 
 def explore_grouped(spark, folder):
-    found = outline.by_file(fulltext.explore(table_nodes(spark, folder), "brand#1", 50))
+    found = outline.by_file(fulltext.explore(saved_nodes(spark, folder), "brand#1", 50))
     return found.withColumn("entries", F.array_join("entries", "\n"))
 
 
 def context_by_file(spark, folder):
-    hits = fulltext.search(table_nodes(spark, folder), "widget OR machinery", limit=15)
+    hits = fulltext.search(saved_nodes(spark, folder), "widget OR machinery", limit=15)
     return outline.by_basename(hits).withColumn("lines", F.array_join("lines", "\n"))
 
 
