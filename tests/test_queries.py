@@ -34,7 +34,7 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, tables, name):
     found = entry.queries()[name](spark, FOLDER)
     columns = sorted(found.columns)
