@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import quality_rules
+from symbolweave.llm import license_scan, quality_rules, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -17,7 +17,47 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licenses every document names."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+# (host, path, verdict)
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule and the verdict for every page's address."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, folder, "pages"), rules)
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_url_filters": op8_url_filters,
+}
+ORACLES = {
+    "op8_url_filters": """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT s.page_id, s.host, s.path, max_by(h || p, length(h || p)) AS rule,
+  coalesce(max_by(v, length(h || p)), 'allow') AS verdict
+FROM split s LEFT JOIN rules r
+  ON (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)
+GROUP BY s.page_id, s.host, s.path
+""",
 }
-ORACLES: dict[str, str] = {}
