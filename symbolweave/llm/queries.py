@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import license_scan, quality_rules, url_filters
+from symbolweave.llm import license_scan, quality_rules, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -38,10 +38,19 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages"), rules)
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, by a model of the labelled ones that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    learned = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, toxicity.fit(docs, learned))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {
     "op8_url_filters": """
