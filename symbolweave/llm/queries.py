@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import license_scan, quality_rules, toxicity, url_filters
+from symbolweave.llm import license_scan, near_duplicates, quality_rules, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -46,8 +46,14 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, learned))
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), size=2)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_minhash": op4_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,

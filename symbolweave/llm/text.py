@@ -59,10 +59,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def from_zero(column: pa.Array) -> pa.Array:
+    """A string column, null being empty, whose buffers begin with its first row.
+
+    Some Arrow kernels give wrong rows for slices whose offsets begin elsewhere.
+    """
+    data, offsets = text_bytes(column)
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def blank_separated(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every row, A-Z in lower case, and where each row's words begin."""
-    column = column.cast(pa.large_string())
-    column = pc.fill_null(column, "") if column.null_count else column
+    column = from_zero(column)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     words, ends = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
     ends = ends - ends[0]
