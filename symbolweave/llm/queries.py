@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import license_scan, near_duplicates, quality_rules, toxicity, url_filters
+from symbolweave.llm import license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -51,8 +51,14 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"), size=2)
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What of every document no document before it has, in strings of 50 bytes."""
+    return suffix_dedup.repeated_bytes(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash": op4_minhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filters": op8_url_filters,
