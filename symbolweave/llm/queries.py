@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
+from symbolweave.llm import kneser_ney, license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -56,15 +56,27 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, folder, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document, by a model of those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(toxicity.held_out(F.col("doc_id"), 5), F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash": op4_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES = {
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
