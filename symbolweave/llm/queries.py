@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import kneser_ney, license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
+from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -66,8 +66,14 @@ def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash": op4_minhash,
     "op6_quality_rules": op6_quality_rules,
