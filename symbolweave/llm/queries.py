@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, quality_rules, suffix_dedup, toxicity, url_filters
+from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, packing, quality_rules, suffix_dedup, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -71,11 +72,17 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash": op4_minhash,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": op8_url_filters,
