@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -77,6 +77,23 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def sample_edits() -> Column:
+    """Three edits of every document: words put in, characters taken out, characters replaced."""
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(share: float, length: int, replacement: str) -> Column:
+        return F.struct(F.floor(size * share).cast("int").alias("start"), F.lit(length).alias("length"),
+                        F.lit(replacement).alias("replacement"))
+
+    return F.array(edit(0.25, 0, " as edited in 2024 "), edit(0.5, 12, ""), edit(0.75, 5, "X-1  y"))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document before and after three edits."""
+    return token_counts.edited_counts(table(spark, folder, "documents"), sample_edits(),
+                                      public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +104,7 @@ QUERIES = {
     "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op7_kneser_ney": op7_kneser_ney,
