@@ -147,10 +147,12 @@ def _indexer_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _indexed(spark, folder):
-    """Converted over a store that already holds one order file's class."""
-    held = table_nodes(spark, folder).filter(F.col("id") == "orders:0").withColumn(
-        "id", F.lit("/repo/src/o0.ts:Order0")
-    ).withColumn("kind", F.lit("function"))
+    """Converted over a store of every table's nodes, which already holds one order file's class."""
+    moved = F.when(F.col("id") == "orders:0", F.lit("/repo/src/o0.ts:Order0"))
+    held = table_nodes(spark, folder).withColumns({
+        "kind": F.when(moved.isNotNull(), F.lit("function")).otherwise(F.col("kind")),
+        "id": F.coalesce(moved, "id"),
+    })
     return scip.convert(_indexer_documents(spark, folder), "/repo", held)
 
 

@@ -14,7 +14,7 @@ from symbolweave.lineage import cut
 from symbolweave.plans import reports
 from symbolweave.plans.graph import CodeGraph
 from symbolweave.plans.parse import parse, parsed_edges, parsed_nodes
-from symbolweave.session import local_session
+from symbolweave.session import cluster_session
 from symbolweave.sources.repos import read_archives
 from symbolweave.sources.tree import is_source, language_of
 
@@ -141,7 +141,7 @@ def analyze(graph: CodeGraph, archives: str) -> int:
     )
     files = cut(unpacked, "unpacked")
     parsed = cut(parse(files.df), "parsed").df
-    graph.save(parsed_nodes(parsed), parsed_edges(parsed))
+    graph.merge(parsed_nodes(parsed), parsed_edges(parsed))
     return files.rows
 
 
@@ -149,7 +149,7 @@ def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     options = load_options(args.config)
     folder = f"{args.data_dir.rstrip('/')}/graph" if args.data_dir else options.graph_dir
-    spark = SparkSession.getActiveSession() or local_session()
+    spark = SparkSession.getActiveSession() or cluster_session()
     graph = CodeGraph(spark, folder, options.buckets)
     if args.command == "serve":
         serve(graph)

@@ -24,7 +24,9 @@ REPOSITORY_PATTERNS = [
     r"^https?://(?:www\.)?bitbucket\.org/([^/]+)/([^/.]+?)(?:\.git)?(?:/src/([^/]+)(?:/(.*))?)?$",
 ]
 DEFAULT_BRANCH = "main"
-ARCHIVE_ADDRESS = "https://api.github.com/repos/{}/{}/zipball/{}"
+# Fixed value: how the name of a downloaded archive ends in its commit.
+NAMED_COMMIT = r"""filename=["']?[^"']+-[^"']+-([a-f0-9]{7,40})"""
+ARCHIVE_ADDRESS = "https://api.github.com/repos/%s/%s/zipball/%s"
 
 
 def lookup(keys: Column, table: dict[str, str], missing: str | None = None) -> Column:
@@ -100,7 +102,7 @@ def repository(url: Column | str) -> Column:
 
 def archive_address(platform: Column, owner: Column, name: Column, branch: Column) -> Column:
     """Where a repository's archive is downloaded from; empty if not offered."""
-    address = F.format_string(ARCHIVE_ADDRESS.replace("{}", "%s"), owner, name, branch)
+    address = F.format_string(ARCHIVE_ADDRESS, owner, name, branch)
     return F.when(platform == "github", address).otherwise("")
 
 
@@ -112,7 +114,7 @@ def cache_key(owner: Column, name: Column, branch: Column) -> Column:
 def head_commit(disposition: Column, final_url: Column) -> Column:
     """The commit an archive download names, in its file name or final address."""
     named = F.regexp_extract(
-        F.coalesce(disposition, F.lit("")), r"""filename=["']?[^"']+-[^"']+-([a-f0-9]{7,40})""", 1
+        F.coalesce(disposition, F.lit("")), NAMED_COMMIT, 1
     )
     last = F.substring_index(F.regexp_replace(final_url, "/+$", ""), "/", -1)
     return F.coalesce(F.nullif(named, F.lit("")), F.when(last.rlike("^[0-9a-f]{7,}$"), last))

@@ -104,11 +104,14 @@ def index_embeddings(
     return embedding_text(nodes).mapInArrow(embed, EMBEDDINGS)
 
 
-def hashed_vectors(texts: DataFrame, key: str = "node_id", dimensions: int = DIMENSIONS) -> DataFrame:
+def hashed_vectors(
+    texts: DataFrame, key: str = "node_id", dimensions: int = DIMENSIONS, every_key: bool = False
+) -> DataFrame:
     """Offline vectors: word counts hashed into ``dimensions`` places.
 
     Runs on built-in functions alone.  Counts are folded per (key, place) before
     the vector is put together, so one vector holds at most ``dimensions`` rows.
+    A text without words is left out, or all zero with ``every_key``.
     """
     place = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dimensions
     counts = (
@@ -118,13 +121,16 @@ def hashed_vectors(texts: DataFrame, key: str = "node_id", dimensions: int = DIM
         .agg(F.count("*").cast("float").alias("weight"))
     )
     filled = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("at"))
+    if every_key:
+        none = F.create_map().cast("map<int,float>")
+        filled = texts.select(key).join(filled, key, "left").select(key, F.coalesce("at", none).alias("at"))
     every = F.sequence(F.lit(0), F.lit(dimensions - 1))
     vector = F.transform(every, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0).cast("float")))
     return filled.select(key, vector.alias("vector"))
 
 
 def hashed_embeddings(nodes: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    vectors = hashed_vectors(embedding_text(nodes), dimensions=dimensions)
+    vectors = hashed_vectors(embedding_text(nodes), dimensions=dimensions, every_key=True)
     return vectors.select("node_id", "vector", F.lit("hashed").alias("model"), F.lit(dimensions).alias("dimensions"))
 
 
@@ -134,24 +140,3 @@ def hashed_query(spark: SparkSession, text: str, dimensions: int = DIMENSIONS) -
     row = hashed_vectors(one, dimensions=dimensions).first()
     return list(row["vector"]) if row else [0.0] * dimensions
 
-
-def sentence_transformer(model: str = "all-MiniLM-L6-v2") -> Embedder:
-    """A local model; needs the sentence_transformers package on the executors."""
-    try:
-        from sentence_transformers import SentenceTransformer
-    except ImportError as missing:
-        raise RuntimeError("sentence-transformers is not installed") from missing
-    loaded = SentenceTransformer(model)
-    return lambda texts: loaded.encode(texts, show_progress_bar=False).tolist()
-
-
-def openai_model(model: str = "text-embedding-3-small") -> Embedder:
-    """A hosted model; needs the openai package and OPENAI_API_KEY."""
-    import os
-
-    if not os.environ.get("OPENAI_API_KEY"):
-        raise RuntimeError("OPENAI_API_KEY is not set")
-    from openai import OpenAI
-
-    client = OpenAI()
-    return lambda texts: [d.embedding for d in client.embeddings.create(input=texts, model=model).data]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
 from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, similar, upsert, walks
@@ -28,16 +29,20 @@ class CodeGraph:
         return self
 
     def init(self) -> "CodeGraph":
+        """An empty graph where there is none; one that is there stays as it is."""
+        if store.current(self.spark, self.folder):
+            return self
         return self.save(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
 
     def index(
         self, root: str, extensions: list[str] | None = None, with_routes: bool = False,
         scip_index: str | None = None,
     ) -> DataFrame:
-        """Parse a source tree into this folder; returns the counts.
+        """Parse a source tree into this graph; returns the counts.
 
-        Files are parsed once, into a written table that the counts, nodes and
-        edges are then read from.
+        What it finds is merged over what the graph holds.  Files are parsed once, into a
+        written table that the counts, nodes and edges are then read from; files that cannot be
+        read are listed by ``tree.read_tree``, with their errors.
         """
         files = tree.read_tree(self.spark, root, extensions)
         parsed = cut(parse(files), "parsed").df
@@ -52,9 +57,21 @@ class CodeGraph:
             nodes = nodes.unionByName(fresh)
             kept = edges.join(links, ["source_id", "target_id", "kind"], "left_anti")
             edges = kept.select(*links.columns).unionByName(links)
-        self.save(nodes, edges)
+        self.merge(nodes, edges)
         return counts
 
+    def merge(self, nodes: DataFrame, edges: DataFrame) -> "CodeGraph":
+        """Put rows over those of this graph with the same key; of rows with one key, the one on the latest line."""
+        if not store.current(self.spark, self.folder):
+            self.init()
+        order = [F.col("line_start"), F.col("name")], [F.col("line_number"), F.col("file_path")]
+        return self.save(upsert.upsert_nodes(self.nodes, nodes, order[0]),
+                         upsert.upsert_edges(self.edges, edges, order[1]))
+
+    def delete_file(self, file_path: str, purge_file_edges: bool = False) -> "CodeGraph":
+        """Drop a file's nodes and every edge that touches one."""
+        return self.save(*upsert.delete_file(self.nodes, self.edges, file_path, purge_file_edges))
+
     def merged(self, nodes: DataFrame, edges: DataFrame, order: list[str], folder: str) -> "CodeGraph":
         """This graph with rows merged over it, saved to another folder."""
         into = CodeGraph(self.spark, folder, self.buckets)
@@ -83,11 +100,20 @@ class CodeGraph:
     # questions
 
     def node(self, node_id: str) -> DataFrame:
-        return lookup.node_by_id(self.nodes, node_id)
+        return lookup.node_by_id(self._bucket_of(node_id), node_id)
 
     def node_with_source(self, node_id: str, root: str) -> DataFrame:
-        texts = tree.read_all_texts(self.spark, root)
-        return lookup.node_with_source(self.nodes, texts, node_id)
+        """A node and its file's text; only that file is opened."""
+        nodes = self._bucket_of(node_id)
+        found = lookup.node_by_id(nodes, node_id).select("file_path").first()
+        texts = tree.read_text(self.spark, root, found.file_path if found else "")
+        return lookup.node_with_source(nodes, texts, node_id)
+
+    def _bucket_of(self, node_id: str) -> DataFrame:
+        """The nodes of the bucket an id falls into."""
+        bucket = F.col(store.bucket_column(self.buckets))
+        stored = self._stored.bucketed_nodes
+        return stored.filter(bucket == store.bucket_of(F.lit(node_id), self.buckets)).select(*NODES.fieldNames())
 
     def nodes_in_file(self, file_path: str) -> DataFrame:
         return lookup.nodes_in_file(self.nodes, file_path)

@@ -13,8 +13,16 @@ SETTINGS = {
 }
 
 
+def cluster_session(app: str = "symbolweave") -> SparkSession:
+    """The session that is there, or one on the master that spark-submit names."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def local_session(cpus: int = 8, app: str = "symbolweave", **extra: str) -> SparkSession:
-    """A single-machine session; on a cluster use the one spark-submit gives."""
+    """A single-machine session, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     settings = {
         **SETTINGS,

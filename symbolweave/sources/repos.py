@@ -16,9 +16,13 @@ from pyspark.sql import types as T
 
 from symbolweave.functions.names import cache_key
 from symbolweave.functions.text import basename
+from symbolweave.lineage import cut
+from symbolweave.sources.listing import list_files, read_files
 
 LARGEST_MB = 500
 CACHE_DAYS = 7
+# Characters of one archive's files that leave a task together.
+BATCH_CHARACTERS = 4 << 20
 MANIFEST = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -35,32 +39,37 @@ def read_archives(spark: SparkSession, folder: str, largest_mb: int = LARGEST_MB
     The size limit is checked on the listing, so an oversized archive fails the
     read before its bytes are loaded.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
+    listed = list_files(spark, folder, [], [".zip"])
     too_large = F.concat(F.lit("archive too large: "), "path")
-    checked = listed.filter(
+    checked = cut(listed.filter(
         F.when(F.col("length") > largest_mb * 1024 * 1024, F.raise_error(too_large).cast("boolean"))
         .otherwise(F.lit(True))
-    )
+    ), "archives").df
+
+    def batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)],
+                                          names=["archive", "path", "text"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("archive"), batch.column("content")):
+        for given in batches:
+            for name, content in zip(given.column("archive").to_pylist(), given.column("content"), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    rows, held = [], 0
                     for entry in archive.infolist():
                         if entry.is_dir():
                             continue
-                        path = entry.filename.split("/", 1)[-1]
                         text = archive.read(entry).decode("utf-8", "replace")
-                        row = {"archive": [name.as_py()], "path": [path], "text": [text]}
-                        yield pa.RecordBatch.from_pydict(row)
+                        rows.append((name, entry.filename.split("/", 1)[-1], text))
+                        held += len(text)
+                        if held >= BATCH_CHARACTERS:
+                            yield batch(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch(rows)
 
     stem = F.regexp_replace(basename("path"), r"\.zip$", "").alias("archive")
-    return checked.select(stem, "content").mapInArrow(unpack, "archive string, path string, text string")
+    return read_files(checked, folder).select(stem, "content").mapInArrow(
+        unpack, "archive string, path string, text string")
 
 
 def keyed(repos: DataFrame) -> DataFrame:
@@ -101,6 +110,5 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_cache_files(spark: SparkSession, folder: str) -> DataFrame:
     """(key, length) of every cached file; only the listing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    inside = F.split(F.substring_index("path", folder.rstrip("/") + "/", -1), "/")
-    return files.select(F.element_at(inside, 1).alias("key"), "length")
+    files = list_files(spark, folder, [])
+    return files.select(F.substring_index("path", "/", 1).alias("key"), "length")

@@ -9,6 +9,7 @@ many writing tasks instead of one.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,12 +74,63 @@ def _write(df: DataFrame, path: str, by: list[str], buckets: int) -> None:
     )
 
 
+def _pointer(spark: SparkSession, folder: str):
+    """The file that names the version in use, and the file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the version in use; None before the first save."""
+    path, system = _pointer(spark, folder)
+    if not system.exists(path):
+        return None
+    stream = system.open(path)
+    try:
+        return f"{folder}/{bytearray(stream.readAllBytes()).decode().strip()}"
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Point readers at a version, in one rename."""
+    path, system = _pointer(spark, folder)
+    path = path.makeQualified(system.getUri(), system.getWorkingDirectory())
+    new = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"CURRENT-{version}")
+    stream = system.create(new, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(new, path, over)
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Write a graph to a new folder; readers switch over once all of it is there."""
-    _write(nodes.select(*NODE_COLUMNS), f"{folder}/nodes", ["id"], buckets)
-    _write(edges.select(*EDGE_COLUMNS), f"{folder}/edges_by_source", ["source_id", "target_id"], buckets)
-    by_source = _read(edges.sparkSession, f"{folder}/edges_by_source", EDGES, buckets)
-    _write(by_source.select(*EDGE_COLUMNS), f"{folder}/edges_by_target", ["target_id", "source_id"], buckets)
+    """Write a graph as a new version; readers switch over once all of it is there.
+
+    What fails half-way leaves the version in use as it was.  Earlier versions stay, for readers
+    that began on them; ``remove_old`` deletes them.
+    """
+    spark, version = edges.sparkSession, f"version-{uuid.uuid4().hex}"
+    at = f"{folder}/{version}"
+    _write(nodes.select(*NODE_COLUMNS), f"{at}/nodes", ["id"], buckets)
+    _write(edges.select(*EDGE_COLUMNS), f"{at}/edges_by_source", ["source_id", "target_id"], buckets)
+    by_source = _read(spark, f"{at}/edges_by_source", EDGES, buckets)
+    _write(by_source.select(*EDGE_COLUMNS), f"{at}/edges_by_target", ["target_id", "source_id"], buckets)
+    _publish(spark, folder, version)
+
+
+def remove_old(spark: SparkSession, folder: str) -> int:
+    """Delete all versions but the one in use; how many there were."""
+    path, system = _pointer(spark, folder)
+    kept, gone = current(spark, folder), 0
+    for entry in system.listStatus(path.getParent()):
+        name = entry.getPath().getName()
+        if name.startswith("version-") and kept and not kept.endswith(name):
+            gone += bool(system.delete(entry.getPath(), True))
+    return gone
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
@@ -87,11 +139,14 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, buckets: int) ->
 
 
 def load_graph(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> StoredGraph:
+    at = current(spark, folder)
+    if at is None:
+        raise FileNotFoundError(f"no graph in {folder}")
     return StoredGraph(
-        _read(spark, f"{folder}/nodes", NODES, buckets),
+        _read(spark, f"{at}/nodes", NODES, buckets),
         StoredEdges(
-            _read(spark, f"{folder}/edges_by_source", EDGES, buckets),
-            _read(spark, f"{folder}/edges_by_target", EDGES, buckets),
+            _read(spark, f"{at}/edges_by_source", EDGES, buckets),
+            _read(spark, f"{at}/edges_by_target", EDGES, buckets),
         ),
     )
 
