@@ -106,7 +106,83 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
+_LIMITS = {r.measure: r for r in quality_rules.RULES}
+
+
+def _broken(measure: str, value: str) -> str:
+    """SQL for a rule of the table: its measure's name if the value is outside."""
+    rule = _LIMITS[measure]
+    outside = [f"({value}) < {rule.least}"] if rule.least is not None else []
+    outside += [f"({value}) > {rule.most}"] if rule.most is not None else []
+    return f"CASE WHEN {' OR '.join(outside)} THEN '{measure}' END"
+
+
+_STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_FAILED = ", ".join(_broken(m, v) for m, v in (
+    ("mean_word_chars", "word_chars / greatest(n_words, 1)"),
+    ("longest_word_share", "coalesce(list_max(list_transform(w, lambda x: length(x))), 0) / greatest(word_chars, 1)"),
+    ("symbols_per_word", "n_symbols / greatest(n_words, 1)"),
+    ("exclamations_per_word", "(length(t) - length(replace(t, '!', ''))) / greatest(n_words, 1)"),
+    ("stop_word_share", f"len(list_filter(w, lambda x: x IN ({_STOP}))) / greatest(n_words, 1)"),
+    ("dup_line_share", "n_dup_lines / greatest(len(l), 1)"),
+    ("pipe_line_share", "len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) > 2)) / greatest(len(l), 1)"),
+))
+
 ORACLES = {
+    "op4_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS shingle
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(doc_id, to_id) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT r.doc_id, CASE WHEN r.to_id = l.a THEN l.b ELSE l.a END
+  FROM reach r JOIN links l ON r.to_id = l.a OR r.to_id = l.b
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.to_id) AS component_id,
+  r.doc_id = min(r.to_id) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+    "op6_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), found AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM found) GROUP BY doc_id
+), facts AS (
+  SELECT d.*, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    list_filter([{_FAILED}], lambda x: x IS NOT NULL) AS failed
+  FROM facts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules
+FROM judged
+""",
     "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": """
 WITH parts AS (
