@@ -45,20 +45,29 @@ GRAM, LEAST_WORDS = 3, 5
 K1, B = 1.2, 0.75
 BLOCK = 8
 POSTINGS = 1_000_000
+# Entries of a full table of terms and blocks, or segments, that is kept beside the postings.
+TABLE = 4_000_000
 EDGES = "!?.,;:\"'()[]{}#*$%&|<>-_"
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every text's words in order, and where each text begins."""
+def coded_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of different words, every text's words as numbers of these, and where each text begins."""
     words, starts = blank_separated(column)
     coded = words.dictionary_encode()
     bare = pc.ascii_trim(coded.dictionary, EDGES)
     hashed = hash_words(bare)
     empty = pc.equal(bare, "").to_numpy(zero_copy_only=False)
     codes = np.asarray(coded.indices)
-    full = ~empty[codes] if len(codes) else np.zeros(0, bool)
-    before = np.concatenate([[0], np.cumsum(full)])
-    return hashed[codes[full]] if len(codes) else np.zeros(0, np.uint64), before[starts]
+    if not empty.any():
+        return hashed, codes, starts
+    full = ~empty[codes]
+    return hashed, codes[full], np.concatenate([[0], np.cumsum(full)])[starts]
+
+
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every text's words in order, and where each text begins."""
+    hashed, codes, starts = coded_terms(column)
+    return hashed[codes] if len(codes) else np.zeros(0, np.uint64), starts
 
 
 def _grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -83,7 +92,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return tuple(halves) if min(len(h.split()) for h in halves) >= GRAM else (text, text)
 
 
-ITEMS = "item int, item_id long, segment int, size int, question array<long>, answer array<long>, n_words int, term long, tf int"
+ITEMS = "item long, item_id long, segment int, size int, question array<long>, answer array<long>, n_words int, term long, tf int"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +107,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, part in enumerate(np.array_split(words, count)):
                 for term, tf in zip(*np.unique(part, return_counts=True), strict=True):
                     out.append((row, item_id, k, len(part), *halves, len(words), int(np.int64(term.view(np.int64))), int(tf)))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32()]
         columns = zip(*out, strict=True) if out else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                          names=[c.split()[0] for c in ITEMS.split(", ")])
@@ -118,6 +127,18 @@ class Index:
     segments: int
     item_of: np.ndarray  # of each segment
     items: list[tuple[int, np.ndarray, np.ndarray, int]]  # item_id, question, answer, words
+    # the same as full tables, if these are small
+    block_table: np.ndarray | None = None
+    post_table: np.ndarray | None = None
+
+    def tabled(self) -> Index:
+        for name, keys, values, width in (("block_table", self.block_keys, self.block_impacts, self.blocks),
+                                          ("post_table", self.post_keys, self.post_impacts, self.segments)):
+            if len(self.terms) * width <= TABLE:
+                table = np.zeros(len(self.terms) * width)
+                table[keys] = values
+                setattr(self, name, table)
+        return self
 
     @property
     def blocks(self) -> int:
@@ -146,7 +167,7 @@ def _index(rows: list) -> Index:
     starts = np.searchsorted(by_block[heads] // blocks, np.arange(len(known) + 1))
     high = np.maximum.reduceat(impact[order], heads)
     return Index(known, np.maximum.reduceat(high, starts[:-1]), keys, impact[order], by_block[heads], high, starts,
-                 count, np.array(item_of), items)
+                 count, np.array(item_of), items).tabled()
 
 
 def build_indexes(items: DataFrame, postings: int = POSTINGS) -> Iterator[Index]:
@@ -154,19 +175,17 @@ def build_indexes(items: DataFrame, postings: int = POSTINGS) -> Iterator[Index]
     rows = items.select(F.col("item_id").cast("long").alias("item_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = cut(rows.withColumn("item", F.monotonically_increasing_id()), "items").df
-    # numbers of items are only told apart within an index
-    posts = cut(rows.select((F.pmod(F.xxhash64("item"), F.lit((1 << 31) - 1))).cast("int").alias("item"), "item_id", "text")
-                .mapInArrow(_segments, ITEMS), "postings")
+    posts = cut(rows.select("item", "item_id", "text").mapInArrow(_segments, ITEMS), "postings")
     if not posts.rows:
         return
-    lengths = posts.df.select("item", "segment", "item_id", "size").distinct()
+    lengths = posts.df.select("item", "segment", "size").distinct()
     whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
     frequency = posts.df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / whole.mean))
     weighed = posts.df.join(frequency, "term").withColumn("weight", idf * damped)
-    own = weighed.groupBy("item", "item_id", "segment").agg(F.sum("weight").alias("own"))
-    impacts = cut(weighed.join(own, ["item", "item_id", "segment"]).select(
+    own = weighed.groupBy("item", "segment").agg(F.sum("weight").alias("own"))
+    impacts = cut(weighed.join(own, ["item", "segment"]).select(
         "item", "item_id", "segment", "question", "answer", "n_words", "term", (F.col("weight") / F.col("own")).alias("impact")),
         "impacts").df
     parts = math.ceil(posts.rows / postings)
@@ -182,8 +201,10 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
 
 
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _at(table: np.ndarray | None, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The values behind keys, zero where there is none."""
+    if table is not None:
+        return table[wanted]
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], 0.0)
 
@@ -215,7 +236,7 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float
     pairs = np.unique(number[essential][owner] * index.blocks + index.block_keys[place] % index.blocks)
     which, block = pairs // index.blocks, pairs % index.blocks
     owner, place = _expand(heads[which], sizes[which])
-    high = np.bincount(owner, _at(index.block_keys, index.block_impacts, term[place] * index.blocks + block[owner]), len(pairs))
+    high = np.bincount(owner, _at(index.block_table, index.block_keys, index.block_impacts, term[place] * index.blocks + block[owner]), len(pairs))
     which, block = which[high >= slack], block[high >= slack]
     if not len(which):
         return none
@@ -224,7 +245,7 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float
     inside = segment < index.segments
     which, segment = which[inside], segment[inside]
     owner, place = _expand(heads[which], sizes[which])
-    score = np.bincount(owner, _at(index.post_keys, index.post_impacts, term[place] * index.segments + segment[owner]), len(which))
+    score = np.bincount(owner, _at(index.post_table, index.post_keys, index.post_impacts, term[place] * index.segments + segment[owner]), len(which))
     hit = score >= slack
     return passage[heads[which[hit]]], segment[hit], score[hit]
 
@@ -232,9 +253,13 @@ def search(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float
 FOUND = "doc_id long, item_id long, n_passages int, score double, question_overlap double, answer_overlap double"
 
 
-def _found(index: Index, ids: list, words: np.ndarray, starts: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
-    at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
-    known = np.flatnonzero(index.terms[at] == words)
+def _found(index: Index, ids: list, column: pa.Array, threshold: float, overlap: float) -> list[tuple]:
+    hashed, codes, starts = coded_terms(column)
+    if not len(codes):
+        return []
+    near = np.minimum(np.searchsorted(index.terms, hashed), len(index.terms) - 1)
+    at = np.where(index.terms[near] == hashed, near, -1)[codes]
+    known = np.flatnonzero(at >= 0)
     counts = np.diff(starts)
     passages = np.maximum(1, -(-(counts - (PASSAGE - STRIDE)) // STRIDE))  # windows of each text
     base = np.concatenate([[0], np.cumsum(passages)])
@@ -244,7 +269,8 @@ def _found(index: Index, ids: list, words: np.ndarray, starts: np.ndarray, thres
     both = np.concatenate([base[row] + np.minimum(within, passages[row] - 1), (base[row] + within - 1)[within > 0]])
     term = np.concatenate([at[known], at[known][within > 0]])
     # a window may be listed twice for a word at a text's end
-    keys = np.unique(both * len(index.terms) + term)
+    keys = np.sort(both * len(index.terms) + term)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     passage, segment, score = search(index, keys // len(index.terms), keys % len(index.terms), threshold)
     hits: dict[tuple[int, int], list] = {}
     rows = np.searchsorted(base, passage, "right") - 1
@@ -253,7 +279,7 @@ def _found(index: Index, ids: list, words: np.ndarray, starts: np.ndarray, thres
     out = []
     for (r, item), found in sorted(hits.items()):
         item_id, question, answer, size = index.items[item]
-        text = words[starts[r] : starts[r + 1]]
+        text = hashed[codes[starts[r] : starts[r + 1]]]
         near = np.unique(np.concatenate([
             _grams(text[max(0, p * STRIDE - size) : p * STRIDE + PASSAGE + size], min(GRAM, size)) for p in sorted({p for p, _ in found})]))
         shares = [len(np.intersect1d(near, part, assume_unique=True)) / len(part) if len(part) else 1.0
@@ -274,7 +300,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches):
-                rows = _found(sent.value, chunk.column(0).to_pylist(), *terms(chunk.column(1)), threshold, overlap)
+                rows = _found(sent.value, chunk.column(0).to_pylist(), chunk.column(1), threshold, overlap)
                 columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -283,7 +309,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return docs.sparkSession.createDataFrame([], FOUND) if result is None else result
 
 
-def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    leaked = contaminated(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs.doc_id.eqNullSafe(F.col("_leaked")), "left_anti")
+def keep(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
+         postings: int = POSTINGS) -> DataFrame:
+    """The rows of ``docs`` that hold no item; each is judged where it is read, so nothing is shuffled."""
+    at = docs.columns.index("text")
+    for index in build_indexes(items, postings):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for chunk in chunks(batches):
+                rows = list(range(chunk.num_rows))
+                found = _found(sent.value, rows, chunk.column(at), threshold, overlap)
+                clean = np.ones(len(rows), bool)
+                clean[[row for row, *_ in found]] = False
+                yield chunk.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(task, docs.schema)
+    return docs
