@@ -1,17 +1,20 @@
-"""The corpus pipeline: stages that filter, deduplicate and pack ``documents``.
+"""The corpus pipeline: stages that filter, deduplicate, decontaminate and pack ``documents``.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
-DataFrame, which is written as Parquet and read again as the next one's ``docs``.
+DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but the
+last one return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symbolweave.lineage import shared_folder
-from symbolweave.llm import quality_rules
+from symbolweave.llm import decontamination, near_duplicates, packing, quality_rules, suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +22,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8), the document with the smallest ``doc_id``."""
+    return near_duplicates.keep(docs, size=5, least=80)
 
-# Word windows, near-duplicate groups, suffixes and token ids are beyond one SQL statement;
-# tests/llm holds the stages against brute force.
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that an earlier document has too; ``n_chars`` follows."""
+    return suffix_dedup.keep(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontamination.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", substring_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+# Near-duplicate groups, suffixes and token ids are beyond SQL; tests/llm holds the stages
+# against brute force.
 ORACLE_SQL = None
 
 
