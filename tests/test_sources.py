@@ -387,3 +387,18 @@ def test_every_node_has_a_vector(spark, make_graph):
     bare = nodes.withColumns({"id": F.lit("_"), "name": F.lit("_"), "signature": F.lit("")})
     found = similar.hashed_embeddings(nodes.unionByName(bare)).collect()
     assert {r.node_id: any(r.vector) for r in found} == {"a": True, "_": False}
+
+
+def test_no_indent_and_no_nesting_hides_a_symbol(spark):
+    blanks = " " * 60
+    parsed = parse(files(spark, [
+        ("/d/a.py", f"def f():\n    if f:\n{blanks}import deepmod\n{blanks}from far.away import thing\n"),
+        ("/d/b.ts", f"{blanks}import {{ one }} from 'lib';\nfunction wide(a = g(h(i(1)))) {{ return a; }}\n"
+                    "function cb(c: (e: (k: string) => void) => void) { c(1); }\n"
+                    "class T { run(cb: (e: (k: string) => void) => void) { cb(2); } }\n"),
+        ("/d/C.java", f"{blanks}import a.b.Deep;\nclass C {{ void run(@X(a = @Y(b = @Z(1))) int p) {{ p(); }} }}\n"),
+    ]))
+    names = {r.name.split(":")[-1] for r in parsed_nodes(parsed).collect()}
+    assert names == {"f", "wide", "cb", "T", "T.run", "C", "C.run"}
+    imports = {r.target_id for r in parsed_edges(parsed).filter("kind = 'imports'").collect()}
+    assert imports == {"deepmod", "thing", "one", "lib", "a.b.Deep"}
