@@ -32,18 +32,20 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from symbolweave.llm.suffix_sort import WORD, deep_shallow, words_at
 from symbolweave.llm.text import chunks, id_and_text, mix, partitions
 
-LENGTH, GRAM = 50, 16
-BLOCK = 2 << 20
-BUCKETS_PER_SPLIT, LEAST_BUCKETS = 8, 48
+LENGTH, GRAM = 50, 12
+BLOCK = 4 << 20
+BUCKETS_PER_SPLIT, LEAST_BUCKETS = 3, 24
 LAST = (1 << 63) - 1
 
 ROUTED = "bucket int, kind int, data binary"
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REPORT = StructType([StructField(c, StringType() if c == "kept_sha256" else LongType())
+                     for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
 def _pack(packer, *arrays) -> bytes:
@@ -85,7 +87,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """
     grams = np.lib.stride_tricks.sliding_window_view(data, WORD)
     words = np.ascontiguousarray(grams).view("<u8").ravel()
-    hashes = mix(words[:-WORD] * np.uint64(0x9E3779B97F4A7C15) + mix(words[WORD:]))
+    hashes = mix(words[: len(words) - GRAM + WORD] * np.uint64(0x9E3779B97F4A7C15) + mix(words[GRAM - WORD :]))
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     low = hashes & ~((np.uint64(1) << bits) - np.uint64(1)) | np.arange(len(hashes), dtype=np.uint64)
     span, reach = length - GRAM + 1, 1
@@ -117,15 +119,15 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _route_texts(buckets: int):
-    """Compressed texts to their documents' buckets."""
+    """Compressed texts, and what else a row has, to their documents' buckets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for chunk in chunks(batches):
             texts = chunk.column(1).cast(pa.binary()).to_pylist()
             shards = _shard(_ids(chunk.column(0)), buckets).tolist()
-            yield _routed([(s, 0, packer.compress(pickle.dumps((i, t), protocol=5)))
-                           for s, i, t in zip(shards, chunk.column(0).to_pylist(), texts, strict=True)])
+            rows = zip(*(chunk.column(k).to_pylist() if k != 1 else texts for k in range(chunk.num_columns)), strict=True)
+            yield _routed([(s, 0, packer.compress(pickle.dumps(row, protocol=5))) for s, row in zip(shards, rows, strict=True)])
 
     return task
 
@@ -181,7 +183,7 @@ def _block_rows(block, ids, tags, length, buckets, packer) -> list[tuple[int, in
     unique = sent[leads]
     per = np.diff(np.append(np.flatnonzero(leads), len(sent)))
     bucket = (hashed[unique] % np.uint64(buckets)).astype(np.int64)
-    group = np.argsort(bucket, kind="stable")
+    group = np.lexsort((first[unique], bucket))  # in the order of the text, which compresses best
     edges = np.flatnonzero(np.append(True, np.diff(bucket[group]) != 0)) if len(group) else []
     start = np.cumsum(per) - per
     for lo, hi in zip(edges, [*edges[1:], len(group)], strict=True):
@@ -192,7 +194,7 @@ def _block_rows(block, ids, tags, length, buckets, packer) -> list[tuple[int, in
         out.append((int(bucket[mine[0]]), 1, _pack(
             packer, _gather(data, first[u], sizes[u]).tobytes(), sizes[u].astype(np.uint8 if length < 120 else np.int32),
             (anchor[u] - first[u]).astype(np.uint8 if length < 120 else np.int32), per[mine].astype(np.int32),
-            ids[docs], tags[docs], which.astype(np.uint16 if len(docs) < 65536 else np.int32), at[own].astype(np.int64 if at.max() >> 32 else np.uint32))))
+            ids[docs], tags[docs], np.diff(which, prepend=0).astype(np.int32), np.diff(at[own], prepend=0))))
     return out
 
 
@@ -239,9 +241,10 @@ def _repeated(blobs: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     """Owner, tag, begin and end of the runs that pieces of documents with smaller identifiers repeat."""
     data = np.frombuffer(b"".join(b[0] for b in blobs) + bytes(2 * length), np.uint8)
     size, left, per = (np.concatenate([b[k].astype(np.int64) for b in blobs]) for k in (1, 2, 3))
-    ids = np.concatenate([b[4][b[6]] for b in blobs])
-    tags = np.concatenate([b[5][b[6]] for b in blobs])
-    at = np.concatenate([b[7].astype(np.int64) for b in blobs])
+    which = [np.cumsum(b[6]) for b in blobs]
+    ids = np.concatenate([b[4][w] for b, w in zip(blobs, which, strict=True)])
+    tags = np.concatenate([b[5][w] for b, w in zip(blobs, which, strict=True)])
+    at = np.concatenate([np.cumsum(b[7]) for b in blobs])
     start, place = np.cumsum(size) - size, np.cumsum(per) - per
     doc = ids[place]  # all places of a piece are in documents of one identifier
 
@@ -274,11 +277,14 @@ def _repeated(blobs: list[tuple], length: int) -> tuple[np.ndarray, ...]:
         strings = size[leader] - length + 1
         owner = np.repeat(np.arange(len(shown)), strings)
         within = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        by_suffix, classes = deep_shallow(data, start[leader][owner] + within, length)
-        begin = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
-        smallest = np.minimum.reduceat(least[shown][owner[by_suffix]], begin)
-        found = np.empty(len(owner), np.int64)
-        found[by_suffix] = np.repeat(smallest, np.diff(np.append(begin, len(classes))))
+        found = least[shown][owner]
+        low, high = _may_repeat(data, start[leader], size[leader], left[leader], anchors[heads[shown]], length)
+        some = np.flatnonzero((within >= low[owner]) & (within < high[owner]))
+        if len(some):
+            by_suffix, classes = deep_shallow(data, start[leader][owner[some]] + within[some], length)
+            begin = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+            smallest = np.minimum.reduceat(found[some[by_suffix]], begin)
+            found[some[by_suffix]] = np.repeat(smallest, np.diff(np.append(begin, len(classes))))
         back = np.full(len(heads), -1)
         back[shown] = np.arange(len(shown))
         members = np.flatnonzero(mixed[kind])
@@ -295,8 +301,35 @@ def _repeated(blobs: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     return ids[spot], tags[spot], at[spot] + low, at[spot] + high
 
 
-def _cut_out(make):
-    """A bucket's texts without their runs, handed to ``make(id, text, kept)`` for a row of the result."""
+def _may_repeat(data, start, size, left, anchor, length) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each piece's strings that another piece of its anchor may have too.
+
+    A string reaches ``half`` bytes beyond the anchor on one side at least.  So pieces that agree
+    with no other one in ``half`` bytes behind the anchor share no string that reaches as far to
+    that side, and the same in front of it.
+    """
+    half = (length - GRAM) // 2
+
+    def shared(begin: np.ndarray, there: np.ndarray) -> np.ndarray:
+        key = mix(anchor.astype(np.uint64) + np.uint64(1))
+        for k in range(0, half, WORD):
+            key = mix(key + words_at(data, np.maximum(begin + k, 0), begin + half))
+        key = np.where(there, key, mix(np.arange(len(key), dtype=np.uint64) ^ key[::-1]))
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        return (count[place] > 1) & there
+
+    at = start + left
+    behind = shared(at + GRAM, size - left - GRAM >= half)
+    front = shared(at - half, left >= half)
+    # the string that begins at ``left - half`` has as much on either side, at an even length
+    middle = left - half
+    low = np.where(front, 0, np.maximum(middle, 0))
+    high = np.where(behind, size - length + 1, np.minimum(middle + 1 + (length - GRAM) % 2, size - length + 1))
+    return low, np.where(front | behind, high, 0)
+
+
+def _cut_out(make, schema: pa.Schema):
+    """A bucket's texts and their bytes' marks (1: stays), handed to ``make(text, marks, row)`` for a row of the result."""
 
     def task(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_numpy(), table.column("data")
@@ -306,51 +339,55 @@ def _cut_out(make):
         ids, tags, begins, ends = (c[order] for c in columns) if found else [np.zeros(0, np.int64)] * 4
         rows = []
         for k in np.flatnonzero(kinds == 0):
-            doc_id, text = _unpack(blobs[int(k)].as_py())
+            row = _unpack(blobs[int(k)].as_py())
+            doc_id, text = row[0], row[1] or b""
             key = LAST if doc_id is None else doc_id
             lo, hi = np.searchsorted(ids, key, "left"), np.searchsorted(ids, key, "right")
             keep = np.ones(len(text), np.uint8)
             for j in np.flatnonzero(tags[lo:hi] == _tag(text)) + lo if hi > lo else ():
                 keep[begins[j] : ends[j]] = 0
-            rows.append(make(doc_id, text, keep))
-        return pa.Table.from_pylist(rows, make.schema)
+            rows += make(text, keep, row)
+        return pa.Table.from_pylist(rows, schema)
 
     return task
 
 
-def _report(doc_id: int | None, text: bytes, keep: np.ndarray) -> dict:
+def _report(text: bytes, keep: np.ndarray, row: tuple) -> list[dict]:
     kept = np.frombuffer(text, np.uint8)[keep == 1].tobytes()
     gone = np.diff(keep.astype(np.int8), prepend=1) == -1
-    return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": int(gone.sum()),
-            "kept_sha256": hashlib.sha256(kept).hexdigest()}
+    return [{"doc_id": row[0], "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": int(gone.sum()),
+             "kept_sha256": hashlib.sha256(kept).hexdigest()}]
 
 
-_report.schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                            ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def _shortened(names: list[str]):
+    def make(text: bytes, keep: np.ndarray, row: tuple) -> list[dict]:
+        kept = np.frombuffer(text, np.uint8)[keep == 1].tobytes().decode("utf-8", "ignore")
+        if not kept and text:
+            return []
+        return [dict(zip(names, row, strict=True)) | {"text": row[1] if row[1] is None else kept}]
 
+    return make
 
-def _shortened(doc_id: int | None, text: bytes, keep: np.ndarray) -> dict:
-    kept = np.frombuffer(text, np.uint8)[keep == 1].tobytes()
-    return {"doc_id": doc_id, "tag": _tag(text), "kept": kept.decode("utf-8", "ignore"), "n_removed": len(text) - len(kept)}
-
-
-_shortened.schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("kept", pa.string()), ("n_removed", pa.int64())])
 
-
-def _cut_texts(docs: DataFrame, make, schema: str, length: int, buckets: int | None) -> DataFrame:
+def _cut_texts(docs: DataFrame, rows: DataFrame, make, schema: StructType, length: int, buckets: int | None) -> DataFrame:
+    """``rows`` begin with ``doc_id`` and ``text`` and may have more."""
     buckets = buckets or max(LEAST_BUCKETS, BUCKETS_PER_SPLIT * partitions(docs))
-    docs = id_and_text(docs)
-    texts = docs.mapInArrow(_route_texts(buckets), ROUTED)
-    pieces = docs.mapInArrow(_route_pieces(length, buckets), ROUTED)
+    texts = rows.mapInArrow(_route_texts(buckets), ROUTED)
+    pieces = id_and_text(docs).mapInArrow(_route_pieces(length, buckets), ROUTED)
     runs = pieces.groupBy("bucket").applyInArrow(_settle(length, buckets), ROUTED)
-    return texts.unionByName(runs).groupBy("bucket").applyInArrow(_cut_out(make), schema)
+    return texts.unionByName(runs).groupBy("bucket").applyInArrow(_cut_out(make, to_arrow_schema(schema)), schema)
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """One row per document: its bytes, those removed, their runs and the digest of what is left."""
-    return _cut_texts(docs, _report, REPORT, length, buckets)
+    return _cut_texts(docs, id_and_text(docs), _report, REPORT, length, buckets)
+
 
+def keep(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+    """``docs`` with their texts shortened; a text of which nothing is left goes, a null stays.
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """``doc_id``, ``tag``, ``kept`` (the text left, without broken characters) and ``n_removed`` of every document."""
-    return _cut_texts(docs, _shortened, "doc_id long, tag long, kept string, n_removed long", length, buckets)
+    Characters that a removal broke go too.
+    """
+    names = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    rows = docs.select(*[f"`{c}`" for c in names])
+    return _cut_texts(docs, rows, _shortened(names), rows.schema, length, buckets).select(*[f"`{c}`" for c in docs.columns])

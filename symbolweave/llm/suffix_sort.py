@@ -16,15 +16,20 @@ WORD = 8
 def words_at(data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The eight bytes from each place, as a number that orders like them; zero from ``ends`` on.
 
-    ``data`` has eight bytes behind the last place.
+    ``data`` has eight bytes from the last place on.
     """
-    out = np.zeros(len(places), np.uint64)
-    for k in range(WORD):
-        byte = data[np.minimum(places + k, len(data) - 1)].astype(np.uint64)
-        out = (out << np.uint64(8)) | np.where(places + k < ends, byte, np.uint64(0))
+    rows = np.lib.stride_tricks.sliding_window_view(data, WORD)[places]
+    out = rows.view(">u8").ravel().astype(np.uint64)
+    inside = np.clip(ends - places, 0, WORD)
+    if len(inside) and inside.min() < WORD:
+        out &= _MASKS[inside]
     return out
 
 
+# What is kept of a word of which so many bytes lie within the suffix.
+_MASKS = np.array([((1 << 8 * k) - 1) << 8 * (WORD - k) for k in range(WORD + 1)], np.uint64)
+
+
 class BlindTrie:
     """A Patricia trie over strings of one length; equal strings share a leaf."""
 
@@ -72,7 +77,7 @@ class BlindTrie:
                 yield node[1]
 
 
-def deep_shallow(data: np.ndarray, starts: np.ndarray, limit: int, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(data: np.ndarray, starts: np.ndarray, limit: int, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes by their first ``limit`` bytes, and the class of each place in it.
 
     Suffixes of one class agree in ``limit`` bytes.  ``data`` ends with ``limit`` spare bytes.
@@ -101,7 +106,7 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, limit: int, shallow: int
 
 def _deepen(data, starts, order, ranks, active, depth, limit) -> None:
     """Order each remaining group by a blind trie; what equals its first member is set aside before."""
-    items = order[active]
+    items, body = order[active], data.tobytes()
     heads = np.flatnonzero(np.append(True, ranks[active][1:] != ranks[active][:-1]))
     sizes = np.diff(np.append(heads, len(active)))
     first = np.repeat(items[heads], sizes)
@@ -109,16 +114,13 @@ def _deepen(data, starts, order, ranks, active, depth, limit) -> None:
     for at in range(depth, limit, WORD):
         one, two = starts[items] + at, starts[first] + at
         same &= words_at(data, one, starts[items] + limit) == words_at(data, two, starts[first] + limit)
-    for head, size in zip(heads[~np.logical_and.reduceat(same, heads)], sizes[~np.logical_and.reduceat(same, heads)], strict=True):
+    mixed = ~np.logical_and.reduceat(same, heads)
+    for head, size in zip(heads[mixed].tolist(), sizes[mixed].tolist(), strict=True):
         group, equal = items[head : head + size], same[head : head + size]
         trie = BlindTrie()
-
-        def rest(item: int) -> bytes:
-            return data[starts[item] + depth : starts[item] + limit].tobytes()
-
-        trie.insert(rest(group[0]), -1)
-        for item in group[~equal].tolist():
-            trie.insert(rest(item), item)
+        for item in [-1, *group[~equal].tolist()]:
+            begin = starts[group[0] if item < 0 else item]
+            trie.insert(body[begin + depth : begin + limit], item)
         at = active[head]
         for leaf in trie.leaves():
             members = group[equal].tolist() + leaf[1:] if leaf[0] == -1 else leaf
