@@ -97,7 +97,7 @@ def written_routes(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == 0, "urls.py").when(kind == 1, "app.py").when(kind == 2, "web.js").otherwise("requirements.txt")
     )
     made = orders.select(F.concat(F.lit("root/o"), k, F.lit("/"), file_name).alias("path"), text.alias("text"))
-    package = read_table(spark, folder, "region").filter(F.col("r_regionkey") == 0).select(
+    package = read_table(spark, folder, "region").agg(F.min("r_name").alias("r_name")).select(
         F.lit("root/package.json").alias("path"),
         F.concat(F.lit('{"name": "'), "r_name", F.lit('", "devDependencies": {"express": "4"}}')).alias("text"),
     )

@@ -45,10 +45,11 @@ def serve(graph: CodeGraph, lines=sys.stdin, out=sys.stdout) -> None:
             continue
         command, _, text = line.strip().partition(" ")
         try:
-            reply = "\n".join(answer(graph, command, text.strip()))
+            for k, told in enumerate(answer(graph, command, text.strip())):
+                out.write(f"\n{told}" if k else told)
         except ValueError as bad_query:
-            reply = f"error: {bad_query}"
-        out.write(reply + SEPARATOR)
+            out.write(f"error: {bad_query}")
+        out.write(SEPARATOR)
         out.flush()
 
 
@@ -150,6 +151,8 @@ def main(argv: list[str] | None = None) -> None:
     options = load_options(args.config)
     folder = f"{args.data_dir.rstrip('/')}/graph" if args.data_dir else options.graph_dir
     spark = SparkSession.getActiveSession() or cluster_session()
+    if not args.data_dir and options.data_dir.startswith("~") and not spark.sparkContext.master.startswith("local"):
+        raise SystemExit("on a cluster, name a folder that all machines share with --data-dir")
     graph = CodeGraph(spark, folder, options.buckets)
     if args.command == "serve":
         serve(graph)

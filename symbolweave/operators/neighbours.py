@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import Cut, cut, join_frontier, join_keyed
+from symbolweave.lineage import Cut, cut, join_frontier, join_keyed, stored_buckets
 from symbolweave.schema import NODE_COLUMNS
 from symbolweave.sources.store import StoredEdges, arcs_of, into, out_of
 
@@ -87,25 +87,34 @@ def impact_radius(
     return found.drop("edge_kind").withColumnRenamed("hop", "depth")
 
 
-def symbols_with_callers(hits: DataFrame, nodes: DataFrame, edges: DataFrame, shown: int = 5) -> DataFrame:
+def symbols_with_callers(
+    hits: DataFrame, nodes: DataFrame, edges: DataFrame | StoredEdges, shown: int = 5
+) -> DataFrame:
     """Search hits, each with its first few direct callers and callees.
 
-    ``hits`` is a top-k search result, so it is a bounded side.  Neighbours are
-    cut to ``shown`` per hit on the map side before they are gathered, which
+    The hits are written once and counted, so each use of them is a small read and joins
+    go by their number; stored edges and nodes are pruned to what the hits touch.
+    Neighbours are cut to ``shown`` per hit on the map side before they are gathered, which
     keeps a hub's neighbour list from ever meeting in one task.
     """
     from pyspark.sql import Window
 
-    wanted = F.broadcast(hits.select(F.col("id").alias("hit")))
+    found = cut(hits, "hits")
+    hits = found.df
 
     def side(near: str, far: str, name: str) -> DataFrame:
-        pairs = (
-            edges.join(wanted, edges[near] == F.col("hit"))
-            .filter(F.col(far) != F.col("hit"))
-            .groupBy("hit", F.col(far).alias("id"))
-            .agg(F.min("kind").alias("edge_kind"))
-            .join(nodes.select("id", F.col("name").alias("other")), "id")
+        wanted = Cut(hits.select(F.col("id").alias(near)), found.rows)
+        table = into(edges) if near == "target_id" else out_of(edges)
+        pairs = cut(
+            join_frontier(table, wanted, near, F.col(far))
+            .filter(F.col(far) != F.col(near))
+            .groupBy(F.col(near).alias("hit"), F.col(far).alias("id"))
+            .agg(F.min("kind").alias("edge_kind")),
+            "neighbours",
         )
+        others = cut(pairs.df.select("id").distinct(), "others")
+        names = join_keyed(nodes.select("id", F.col("name").alias("other"), *stored_buckets(nodes)), others, "id")
+        pairs = pairs.df.join(names.select("id", "other"), "id")
         first = Window.partitionBy("hit").orderBy("other", "id")
         label = F.concat("other", F.lit(" ("), "edge_kind", F.lit(")"))
         return (

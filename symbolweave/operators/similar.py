@@ -25,9 +25,16 @@ def similar_vectors(
 ) -> DataFrame:
     """The ``limit`` rows most similar to the query, as (key, similarity).
 
-    One pass over the vectors in Arrow batches; each task keeps only its own
-    best rows before the final top-k.
+    Each task keeps only its own best rows before the final top-k.
     """
+    scored = similarities(vectors, query, key, column)
+    return scored.orderBy(F.round("similarity", 9).desc(), key).limit(limit)
+
+
+def similarities(
+    vectors: DataFrame, query: Sequence[float], key: str = "node_id", column: str = "vector"
+) -> DataFrame:
+    """(key, similarity) of every vector, in one pass over Arrow batches."""
     wanted = np.asarray(query, dtype=np.float64)
     length = float(np.sqrt(wanted @ wanted))
 
@@ -45,8 +52,7 @@ def similar_vectors(
         scale = norms * length
         return pa.array(np.divide(dots, scale, out=np.zeros(len(sizes)), where=scale > 0))
 
-    scored = vectors.select(key, similarity(F.col(column)).alias("similarity"))
-    return scored.orderBy(F.round("similarity", 9).desc(), key).limit(limit)
+    return vectors.select(key, similarity(F.col(column)).alias("similarity"))
 
 
 def search_similar(
@@ -54,11 +60,12 @@ def search_similar(
 ) -> DataFrame:
     """Nodes by similarity of their vector to the query vector.
 
-    Vectors of ids that are no node must not take a place in the result, so
-    they are dropped first; both sides are unique on the id.
+    Vectors of ids that are no node must not take a place in the result.  They are
+    scored first, so that ids and figures cross the shuffle and vectors do not.
     """
-    known = vectors.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    best = similar_vectors(known, query, limit).withColumnRenamed("node_id", "id")
+    scored = similarities(vectors, query).withColumnRenamed("node_id", "id")
+    known = scored.join(nodes.select("id"), "id", "left_semi")
+    best = known.orderBy(F.round("similarity", 9).desc(), "id").limit(limit)
     side = F.broadcast(best) if limit <= BROADCAST_ROWS else best
     return (
         nodes.join(side, "id")

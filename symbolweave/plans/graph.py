@@ -158,7 +158,8 @@ class CodeGraph:
         return walks.impact_names(walks.impact_edges(self._stored.links, node_id, depth), self.nodes)
 
     def symbols_with_callers(self, query: str, limit: int = 10) -> DataFrame:
-        return neighbours.symbols_with_callers(self.search(query, limit=limit), self.nodes, self.edges)
+        return neighbours.symbols_with_callers(
+            self.search(query, limit=limit), self._stored.bucketed_nodes, self._stored.links)
 
     def rankings(self, limit: int = 50) -> DataFrame:
         return rank.node_rankings(self.nodes, self.edges, limit)
