@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
 from symbolweave.llm.text import chunks, id_and_text
-from symbolweave.llm.word_tokens import WordTokens
+from symbolweave.llm.word_tokens import word_tokens
 
 SIZE, END = 4096, 2
 
@@ -71,7 +71,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
 
 def _cut_pieces(tokenizer: str, end: int, size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordTokens(tokenizer), TaskContext.get().partitionId()
+        words, part = word_tokens(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for chunk in chunks(batches):
             ids, begins = words.encode(chunk.column(1), end)

@@ -9,22 +9,33 @@ from __future__ import annotations
 
 import os
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from symbolweave.llm.text import blank_separated
 
 # Words remembered by one worker; then it begins anew, so memory is bounded.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 BATCH = 4096
 
 
 class WordTokens:
-    def __init__(self, path: str) -> None:
+    """Reads a tokenizer file; ``lower`` says that it makes no difference between A-Z and a-z.
+
+    Marks of punctuation at a word's end, behind a letter or digit, are tokens of their own in such a
+    tokenizer, so words with and without them are one entry.
+    """
+
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, lower: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self._forget()
 
     def _forget(self) -> None:
@@ -32,32 +43,50 @@ class WordTokens:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.number]
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The entries of different words; new ones are tokenised."""
+        known, found = self.number, list(map(self.number.get, words))
+        new = [w for w, n in zip(words, found, strict=True) if n is None]
         sizes, ids = [self.sizes], [self.ids]
         for at in range(0, len(new), BATCH):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for f in found for i in f), np.uint32, int(sizes[-1].sum())))
-        for word in new:
-            self.number[word] = len(self.number)
-        self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.array([i for p in part for i in p], np.uint32))
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
+            found = [known[w] if n is None else n for w, n in zip(words, found, strict=True)]
+        return np.array(found, np.int64)
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by ``end`` if there is one, and where each text begins."""
-        words, starts = blank_separated(column, lower=False)
+        # special tokens are found as they are written, so a text that may hold one keeps its case
+        lower = self.lower and not pc.any(pc.match_substring(column, "<|")).as_py()
+        words, starts = blank_separated(column, lower=lower)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.number) + len(distinct) > REMEMBERED:
+        codes = np.asarray(coded.indices, dtype=np.int64)
+        bare = pc.ascii_rtrim(coded.dictionary, self.MARKS)
+        parted = pc.match_substring_regex(bare, r"[A-Za-z0-9]$")
+        parted = pc.and_(parted, pc.not_equal(pc.binary_length(bare), pc.binary_length(coded.dictionary)))
+        stems = pc.if_else(parted, bare, coded.dictionary).dictionary_encode()
+        split = parted.to_numpy(zero_copy_only=False)
+        tails = np.zeros(len(coded.dictionary), np.int64)
+        if len(self.number) + len(stems.dictionary) + split.sum() > REMEMBERED:
             self._forget()
-        self._learn(distinct)
-        number = np.fromiter((self.number[w] for w in distinct), np.int64, len(distinct))
-        number = number[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
-        sizes = self.sizes[number]
+        heads = self._numbers(stems.dictionary.to_pylist())[np.asarray(stems.indices)] if len(words) else tails
+        if split.any():
+            rows = np.flatnonzero(split)
+            kept = pc.binary_length(bare).to_numpy(zero_copy_only=False)[rows].tolist()
+            ends = pa.array([w[n:] for w, n in zip(
+                coded.dictionary.take(pa.array(rows)).cast(pa.large_binary()).to_pylist(), kept, strict=True)]).dictionary_encode()
+            tails[rows] = self._numbers([e.decode() for e in ends.dictionary.to_pylist()])[np.asarray(ends.indices)] + 1
+        # a word is its stem's ids, then its marks'
+        both = np.stack([heads[codes] + 1, tails[codes]], axis=1).ravel()
+        sizes = np.concatenate([[0], self.sizes])[both]
+        first = np.concatenate([[0], np.cumsum(self.sizes) - self.sizes])[both]
         ends = np.cumsum(sizes)
-        first = np.cumsum(self.sizes) - self.sizes
-        ids = self.ids[np.repeat(first[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        begins = np.concatenate([[0], ends])[starts]
+        ids = self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        begins = np.concatenate([[0], ends])[2 * starts]
         if end is None:
             return ids, begins
         out = np.full(len(ids) + len(starts) - 1, end, np.uint32)
@@ -66,3 +95,9 @@ class WordTokens:
         own[begins[1:] - 1] = False
         out[own] = ids
         return out, begins
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, so that tasks share what it remembers."""
+    return WordTokens(path)
