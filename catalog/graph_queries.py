@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolweave.lineage import shared_folder
-from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, upsert, walks
+from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, resolve, upsert, walks
 from symbolweave.sources.store import StoredGraph, load_graph, save_graph
 from symbolweave.sources.tables import read_table, table_edge_rows, table_edges, table_nodes
 from symbolweave.streaming import watch
@@ -350,6 +350,14 @@ def apply_changes(spark, folder):
     return watch.current_graph(spark, log)[0]
 
 
+def resolve_edges(spark, folder):
+    """Every edge written with its target's name alone, resolved again."""
+    nodes, edges = graph(spark, folder)
+    names = nodes.select(F.col("id").alias("target_id"), "name")
+    bare = edges.join(names, "target_id").withColumn("target_id", F.col("name")).select(*edges.columns)
+    return resolve.resolve_edges(nodes, bare)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -362,6 +370,6 @@ QUERIES = {
         impact_edges, impact_names, symbols_with_callers, search_blank, search_and, search_or,
         search_not, search_phrase, search_kind, search_prefix, search_members,
         search_like_words, explore_grouped, context_by_file, search_documents,
-        debounce_changes, apply_changes,
+        debounce_changes, apply_changes, resolve_edges,
     )
 }

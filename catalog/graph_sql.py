@@ -285,6 +285,19 @@ WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM kept) GROUP BY
     "ranked_context": RANKED.replace("@limit", "30") + """
 SELECT upper(substr(kind, 1, 1)) || lower(substr(kind, 2)) AS kind_title, name, signature,
        file_path, line_start, edge_count AS "references" FROM ranked""",
+    "resolve_edges": f"""
+{GRAPH}, bare AS (
+  SELECT e.source_id, n.name AS target_id, e.kind, e.file_path, e.line_number
+  FROM edges e JOIN nodes n ON n.id = e.target_id
+), named AS (
+  SELECT regexp_extract(name, '[^.:/]+$') AS short, min(id) AS meant FROM nodes GROUP BY 1 HAVING count(*) = 1
+), resolved AS (
+  SELECT b.source_id, CASE WHEN k.id IS NOT NULL THEN b.target_id ELSE coalesce(n.meant, b.target_id) END AS target_id,
+         b.kind, b.file_path, b.line_number
+  FROM bare b LEFT JOIN nodes k ON k.id = b.target_id LEFT JOIN named n ON n.short = b.target_id AND n.short <> ''
+)
+SELECT source_id, target_id, kind, file_path, line_number FROM resolved
+QUALIFY row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY file_path, line_number) = 1""",
     "node_lookup": f"{GRAPH} SELECT * FROM nodes WHERE id = 'customer:0'",
     "nodes_by_file": f"{GRAPH} SELECT * FROM nodes WHERE file_path = 'orders/1-URGENT.sql'",
     "metadata_map": f"""

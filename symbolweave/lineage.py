@@ -10,7 +10,10 @@ whether the table is small enough to broadcast.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -50,10 +53,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Whatever ``cut`` writes inside is deleted at the end.
+
+    Results are lazy: use it around work that consumes them, such as a batch of a stream.
+    """
+    stack = _OPEN.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for written in stack.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str) -> Cut:
     """Write ``df`` to the shared folder and read it back as a fresh plan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _OPEN.__dict__.get("stack"):
+        _OPEN.stack[-1].append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return Cut(spark.read.schema(df.schema).parquet(path), seen.get["rows"])

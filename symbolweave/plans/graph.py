@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
-from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, similar, upsert, walks
+from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, resolve, similar, upsert, walks
 from symbolweave.plans.parse import index_counts, parse, parsed_edges, parsed_nodes
 from symbolweave.schema import EDGES, NODES
 from symbolweave.sources import routes, scip, store, tree
@@ -68,6 +68,10 @@ class CodeGraph:
         return self.save(upsert.upsert_nodes(self.nodes, nodes, order[0]),
                          upsert.upsert_edges(self.edges, edges, order[1]))
 
+    def resolve(self) -> "CodeGraph":
+        """Point edges with bare names at the nodes they mean, where that is one; see ``operators.resolve``."""
+        return self.save(self.nodes, resolve.resolve_edges(self.nodes, self.edges))
+
     def delete_file(self, file_path: str, purge_file_edges: bool = False) -> "CodeGraph":
         """Drop a file's nodes and every edge that touches one."""
         return self.save(*upsert.delete_file(self.nodes, self.edges, file_path, purge_file_edges))

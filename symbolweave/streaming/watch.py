@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from symbolweave.functions.text import suffix
-from symbolweave.lineage import Cut, cut, join_frontier
+from symbolweave.lineage import Cut, cut, join_frontier, scope
 from symbolweave.operators.upsert import last_wins
 from symbolweave.plans.parse import parse, parsed_edges, parsed_nodes
 from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, EDGES, NODE_COLUMNS, NODES
@@ -133,8 +133,9 @@ def apply_batch(log: ChangeLog, changes: DataFrame, batch: int) -> None:
     present = changes.filter(F.col("op") != "deleted").select(
         "path", language_of("path").alias("language"), "text"
     )
-    parsed = cut(parse(present), "parsed").df
-    log.write(batch, cleared, parsed_nodes(parsed), parsed_edges(parsed))
+    with scope(changes.sparkSession):
+        parsed = cut(parse(present), "parsed").df
+        log.write(batch, cleared, parsed_nodes(parsed), parsed_edges(parsed))
 
 
 def current_graph(spark: SparkSession, log: ChangeLog) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -402,3 +403,25 @@ def test_no_indent_and_no_nesting_hides_a_symbol(spark):
     assert names == {"f", "wide", "cb", "T", "T.run", "C", "C.run"}
     imports = {r.target_id for r in parsed_edges(parsed).filter("kind = 'imports'").collect()}
     assert imports == {"deepmod", "thing", "one", "lib", "a.b.Deep"}
+
+
+def test_callers_after_parsing(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "m.py").write_text("def low(): pass\n\ndef high():\n    return low()\n")
+    graph = CodeGraph(spark, str(tmp_path / "graph"), buckets=2)
+    graph.index(str(tmp_path / "src"))
+    low = f"{tmp_path}/src/m.py:low"
+    assert graph.edges.filter("kind = 'calls'").first().target_id == "low"
+    graph.resolve()
+    assert graph.edges.filter("kind = 'calls'").first().target_id == low
+    assert graph.nodes.count() == 2
+
+
+def test_a_scope_leaves_no_table_behind(spark):
+    from symbolweave.lineage import cut, scope
+
+    with scope(spark):
+        inner = cut(spark.range(3), "inner").df
+        path = inner.inputFiles()[0]
+        assert inner.count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
