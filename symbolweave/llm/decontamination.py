@@ -45,6 +45,8 @@ GRAM, LEAST_WORDS = 3, 5
 K1, B = 1.2, 0.75
 BLOCK = 8
 POSTINGS = 1_000_000
+# Bytes of text searched together: each word of a passage leads to several rows of arrays.
+TOGETHER = 1 << 20
 # Entries of a full table of terms and blocks, or segments, that is kept beside the postings.
 TABLE = 4_000_000
 EDGES = "!?.,;:\"'()[]{}#*$%&|<>-_"
@@ -299,7 +301,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for chunk in chunks(batches):
+            for chunk in chunks(batches, TOGETHER):
                 rows = _found(sent.value, chunk.column(0).to_pylist(), chunk.column(1), threshold, overlap)
                 columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -317,7 +319,7 @@ def keep(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for chunk in chunks(batches):
+            for chunk in chunks(batches, TOGETHER):
                 rows = list(range(chunk.num_rows))
                 found = _found(sent.value, rows, chunk.column(at), threshold, overlap)
                 clean = np.ones(len(rows), bool)

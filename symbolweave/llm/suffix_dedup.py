@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from symbolweave.llm.suffix_sort import WORD, deep_shallow, words_at
-from symbolweave.llm.text import chunks, id_and_text, mix, partitions
+from symbolweave.llm.text import chunks, id_and_text, mix, partitions, release
 
 LENGTH, GRAM = 50, 12
 BLOCK = 4 << 20
@@ -232,6 +232,7 @@ def _settle(length: int, buckets: int):
         pieces = [_unpack(blobs[int(k)].as_py()) for k in np.flatnonzero(kinds == 1)]
         if pieces:
             out += _runs_rows(*_repeated(pieces, length), buckets, packer)
+            release()
         return pa.Table.from_batches([_routed(out)])
 
     return task
@@ -245,6 +246,7 @@ def _repeated(blobs: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     ids = np.concatenate([b[4][w] for b, w in zip(blobs, which, strict=True)])
     tags = np.concatenate([b[5][w] for b, w in zip(blobs, which, strict=True)])
     at = np.concatenate([np.cumsum(b[7]) for b in blobs])
+    blobs.clear()  # the largest arrays are held once only
     start, place = np.cumsum(size) - size, np.cumsum(per) - per
     doc = ids[place]  # all places of a piece are in documents of one identifier
 
@@ -347,6 +349,7 @@ def _cut_out(make, schema: pa.Schema):
             for j in np.flatnonzero(tags[lo:hi] == _tag(text)) + lo if hi > lo else ():
                 keep[begins[j] : ends[j]] = 0
             rows += make(text, keep, row)
+        release()
         return pa.Table.from_pylist(rows, schema)
 
     return task

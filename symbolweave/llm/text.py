@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,13 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call, nothing is lost
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` has about ``size`` bytes, or is one row."""
     for batch in batches:
@@ -46,6 +55,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
             to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
