@@ -1,10 +1,12 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression with a label, a priority, a confidence and a keyword that
-every match of it contains.  One pass of an Aho-Corasick automaton over a text finds the
-keywords; only the rules of those found are tried.  Their matches are detections over
-intervals of the text.  Taken in the order of priority, then length, a detection whose
-interval lies within one already taken is suppressed; the labels of the rest stand.
+every match of it contains.  Runs of blanks, and line breaks with the comment marks around
+them, are folded to one blank first, so names and notices may be wrapped.  One pass of an
+Aho-Corasick automaton over the folded text finds the keywords; only the rules of those
+found are tried.  Their matches are detections over intervals of the text.  Taken in the
+order of priority, then length, a detection whose interval lies within one already taken
+is suppressed; the labels of the rest stand.
 
 Beside it, phrases are found at word level (words are runs of ASCII letters and digits and
 of anything beyond ASCII, A-Z in lower case), each at every place where its words stand in
@@ -18,9 +20,9 @@ each on its own, and nulls elsewhere do not matter.  An empty table gives an emp
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -127,7 +129,7 @@ NOTICES = (
 
 @dataclass(frozen=True)
 class Signature:
-    """``pattern`` is tried on lower-case text if ``keyword`` stands in it."""
+    """``pattern`` is tried on folded lower-case text if ``keyword`` stands in it."""
 
     label: str
     keyword: str
@@ -158,9 +160,27 @@ def _compiled(rules: tuple[Signature, ...]):
     return automaton, dict(by_keyword)
 
 
+# Comment marks before a line's text, and behind it where a blank sets them off (else they may belong to a word or an address).
+_BREAK = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_LEAD = (r"(?:[*#;%!|>+'\"\\~]++|//++|/\*++|--++>?|<!--++|\(\*++|\{-|-(?=\s)|\*/|\.\\\"|\.\.(?=\s)|(?:dnl|rem)(?=\s))")
+_TRAIL = r"(?:[*#;%|+'\"\\~]++/?|//++|--++>?|\*\)|-\})"
+_GAP = re.compile(
+    rf"(?:[^\S{_BREAK}]++{_TRAIL})?+[^\S{_BREAK}]*+[{_BREAK}](?:\s*+{_LEAD})*+\s*+|\s\s++|[^\S ]")
+
+
+def _unfolded(text: str) -> Callable[[int], int]:
+    """Places in a text out of places in what is left of it when its gaps are folded."""
+    blanks, removed = [], [0]
+    for m in _GAP.finditer(text):
+        blanks.append(m.start() - removed[-1])
+        removed.append(removed[-1] + m.end() - m.start() - 1)
+    return lambda at: at + removed[bisect_left(blanks, at)]
+
+
 def detect(text: str, rules: tuple[Signature, ...]) -> list[tuple[int, int, Signature]]:
     """Intervals and rules of the detections that stand, in the order of their places."""
     automaton, by_keyword = _compiled(rules)
+    whole, text = text, _GAP.sub(" ", text)
     found = {keyword for _, keyword in automaton.iter(text)}
     if not found:
         return []
@@ -174,7 +194,10 @@ def detect(text: str, rules: tuple[Signature, ...]) -> list[tuple[int, int, Sign
         end = start - minus
         if not _within(reach, start, end):
             taken.append((start, end, rules[rank]))
-    return sorted(taken, key=lambda t: t[:2])
+    if not taken:
+        return []
+    place = _unfolded(whole)
+    return sorted(((place(start), place(end), rule) for start, end, rule in taken), key=lambda t: t[:2])
 
 
 def _within(reach: list[tuple[int, int]], start: int, end: int) -> bool:

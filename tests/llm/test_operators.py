@@ -80,6 +80,42 @@ def test_license_rules():
     assert labels("permitted") == []
 
 
+def test_wrapped_licenses():
+    rules = tuple(license_scan.signatures())
+    names = {
+        "apache license, version 2.0": "apache", "gnu general public license": "gpl", "mozilla public license": "mpl",
+        "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl",
+        "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "permission to use, copy, modify, and/or distribute this software": "isc",
+        "redistribution and use in source and binary forms": "bsd",
+        "this program is free software; you can redistribute it": "gpl",
+        "licensed under the terms of the mit license": "mit", "creative commons attribution share alike": "cc-by-sa",
+    }
+    gaps = ["  ", "\t", "\n", "\r\n", "\r", "\u00a0", "\n * ", "\n# ", "\n#", "\n// ", "\n  /// ", "\n-- ", "\n;; ", "\n% ", "\n> ",
+            " *\n * ", "   #\n#   ", " */\n/* ", " \"\n  \"", " \\\n", "\n *\n * ", "\n\n", "\ndnl ", "\nrem ", "\n! ", "\n+ * "]
+    for name, label in names.items():
+        plain_found = [(s.label, s.pattern) for *_, s in license_scan.detect(f"/* {name} */", rules)]
+        assert [x for x, _ in plain_found] == [label]
+        for gap in gaps:
+            for at in [k for k, c in enumerate(name) if c == " "]:
+                wrapped = name[:at] + gap + name[at + 1 :]
+                text = f"/*\n * {wrapped}\n */\n\nint  x;"
+                found = license_scan.detect(text, rules)
+                assert [(s.label, s.pattern) for *_, s in found] == plain_found, (name, gap)
+                assert [text[a:b] for a, b, _ in found] == [wrapped]  # places are those of the text as it came
+    # what ends a word at the end of a line is no comment mark, and neither is what begins one
+    for text, label in {"see gnu.org/licenses/\nfor it": "gpl", "cc-by\n": "cc-by", "the mit/x11\nlicense": "mit"}.items():
+        assert [s.label for *_, s in license_scan.detect(text, rules)] == [label]
+    for text in ("cc-by-\nsa", "the mit.\nlicense", "gnu general\npublicity license"):
+        assert not license_scan.detect(text, rules)
+
+
+def test_wrapped_licenses_in_documents(spark):
+    made = [(1, "Permission is hereby granted, free of charge, to any\nperson obtaining  a copy"), (2, "GNU Lesser General\n * Public License")]
+    found = license_scan.scan(spark.createDataFrame(made, "doc_id long, text string"))
+    same(found.select("doc_id", "labels", "score", "n_detections").collect(), [(1, "mit", 1.0, 1), (2, "lgpl", 0.5, 1)])
+
+
 # 2 decontamination
 
 
