@@ -46,7 +46,8 @@ FAMILIES = (
     ("gpl", "gpl", r"(?:gnu )?gpl", r"gpl"),
     ("gpl", "general public", r"gnu general public licen[cs]e", r"gpl"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl", r"lgpl"),
-    ("lgpl", "lesser general", r"gnu (?:lesser|library) general public licen[cs]e", r"lgpl"),
+    ("lgpl", "lesser general", r"gnu lesser general public licen[cs]e", r"lgpl"),
+    ("lgpl", "library general", r"gnu library general public licen[cs]e", r"lgpl"),
     ("agpl", "agpl", r"(?:gnu )?agpl", r"agpl"),
     ("agpl", "affero", r"gnu affero general public licen[cs]e", r"agpl"),
     ("fdl", "free documentation", r"gnu free documentation licen[cs]e", r"gfdl"),

@@ -80,6 +80,42 @@ def test_license_rules():
     assert labels("permitted") == []
 
 
+def written_out(pattern):
+    """Texts of every way through a pattern's alternatives and options; look-arounds are left out."""
+    def ways(parsed):
+        out = [""]
+        for kind, value in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                heads = [chr(value)]
+            elif kind == "ANY":
+                heads = ["~"]
+            elif kind == "IN":
+                heads = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+            elif kind == "BRANCH":
+                heads = [x for part in value[1] for x in ways(part)]
+            elif kind == "SUBPATTERN":
+                heads = ways(value[3])
+            elif kind == "MAX_REPEAT":
+                heads = [x for n in {value[0], value[0] + 1} for x in (ways(value[2]) if n == 1 else [""])]
+            else:
+                assert kind == "ASSERT_NOT", kind
+                continue
+            out = list(dict.fromkeys(a + b for a in out for b in heads))
+        return out
+
+    return ways(re._parser.parse(pattern))
+
+
+def test_keywords_lie_in_every_match():
+    rules = tuple(license_scan.signatures())
+    for rule in rules:
+        texts = written_out(rule.pattern)
+        assert texts and all(re.fullmatch(rule.pattern, x) and rule.keyword in x for x in texts), rule
+    for name in ("gnu library general public license", "gnu lesser general public license"):
+        assert [s.label for *_, s in license_scan.detect(name, rules)] == ["lgpl"]
+
+
 def test_wrapped_licenses():
     rules = tuple(license_scan.signatures())
     names = {
