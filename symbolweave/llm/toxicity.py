@@ -1,12 +1,15 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's features are its distinct terms (words without punctuation at their ends, A-Z in lower
-case) hashed into ``2 ** bits`` buckets.  Buckets whose share among toxic rows differs from that
-among the others by chance only (a two-proportion test) are left out; each of the rest weighs
-1 / sqrt(number of a text's features).  The machine's score adds
-to a linear weight for each term the product of two terms' factors for each pair, so that a
-pair of terms - an insult and a group it is aimed at - can weigh more, or less, than both
-alone.  The pair sum is computed from sums of factors, in time linear in the terms.
+case) hashed into ``2 ** bits`` buckets.  Buckets of fewer than ``LEAST_ROWS`` learned rows have no
+weight, all others have a linear one and factors.  The machine's score adds to a linear weight for
+each term the product of two terms' factors for each pair, so that a pair of terms - an insult
+and a group it is aimed at - can weigh more, or less, than both alone, even if neither tells
+anything alone.  The pair sum is computed from sums of factors, in time linear in the terms.
+
+In the linear sum a term's value grows with what its shares in the two classes show (a
+two-proportion test) but is never 0, and a text's values have the length 1: noise is shrunk,
+not left out.  In the pair sum all terms count alike, each 1 / sqrt(number of a text's features).
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows of each class, those with the
 smallest hashes of their identifier: a stated bound, so one task fits it, and its size does
@@ -36,8 +39,10 @@ from symbolweave.llm.text import blank_separated, chunks, hash_words, id_and_tex
 
 FIT_ROWS = 4000
 THRESHOLD = 0.7
-# A bucket must be in so many learned rows, and its shares so many standard errors apart.
-LEAST_ROWS, LEAST_Z = 5, 4.0
+# A bucket must be in so many learned rows: one row's own terms say nothing of others.
+LEAST_ROWS = 2
+# Standard errors between a bucket's two shares at which its linear value is a half.
+HALF_Z = 4.0
 
 
 def held_out(doc_id: Column, folds: int = 3) -> Column:
@@ -62,10 +67,11 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """Intercept, linear weights and factors of a factorization machine."""
+    """Intercept, linear values and weights, and factors of a factorization machine."""
 
     intercept: float
     kept: np.ndarray
+    value: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
     bits: int
@@ -85,7 +91,8 @@ class Machine:
         if not len(full):
             return out
         at, scale = starts[full], 1 / np.sqrt(counts[full])
-        out[full] += np.add.reduceat(self.linear[terms], at) * scale
+        value = self.value[terms]
+        out[full] += np.add.reduceat(self.linear[terms] * value, at) / np.sqrt(np.add.reduceat(value * value, at))
         vectors = self.factors[terms]
         sums = np.add.reduceat(vectors, at, axis=0)
         squares = np.add.reduceat(vectors * vectors, at, axis=0)
@@ -97,34 +104,36 @@ class Machine:
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, intercept=self.intercept, kept=self.kept, linear=self.linear, factors=self.factors, bits=self.bits)
+        np.savez(out, intercept=self.intercept, kept=self.kept, value=self.value, linear=self.linear, factors=self.factors, bits=self.bits)
         return out.getvalue()
 
     @staticmethod
     def unpacked(data: bytes) -> Machine:
         x = np.load(io.BytesIO(data))
-        return Machine(float(x["intercept"]), x["kept"], x["linear"], x["factors"], int(x["bits"]))
+        return Machine(float(x["intercept"]), x["kept"], x["value"], x["linear"], x["factors"], int(x["bits"]))
 
 
-def informative(terms: np.ndarray, starts: np.ndarray, labels: np.ndarray, bits: int) -> np.ndarray:
-    """The buckets whose shares among the rows of the two classes differ by more than chance."""
+def evidence(terms: np.ndarray, starts: np.ndarray, labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of ``LEAST_ROWS`` rows or more, and their linear values: above 0, and near 1 if the shares differ by more than chance."""
     toxic = np.repeat(labels == 1, np.diff(starts))
     n1, n0 = max((labels == 1).sum(), 1), max((labels != 1).sum(), 1)
     one, zero = (np.bincount(terms[toxic == t], minlength=1 << bits) for t in (True, False))
+    kept = np.flatnonzero(one + zero >= LEAST_ROWS)
+    one, zero = one[kept], zero[kept]
     both = (one + zero) / (n1 + n0)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
-    z = np.abs(one / n1 - zero / n0) / error
-    return np.flatnonzero((one + zero >= LEAST_ROWS) & (z >= LEAST_Z))
+    odd = ((one / n1 - zero / n0) / error) ** 2 + 0.01
+    return kept, (odd / (odd + HALF_Z**2)).astype(np.float32)
 
 
 def learn(terms: np.ndarray, starts: np.ndarray, labels: list[int], bits: int = 18, rank: int = 4,
-          epochs: int = 20, rate: float = 0.5, shrink: float = 1e-4, seed: int = 7) -> Machine:
+          epochs: int = 20, rate: float = 0.5, shrink: float = 1e-4, shrink_factors: float = 5e-4, seed: int = 7) -> Machine:
     """A machine fitted by mini-batch AdaGrad on the logistic loss, out of what ``features`` returns."""
     random = np.random.default_rng(seed)
     labels = np.asarray(labels, float)
     share = labels.mean() if len(labels) else 0.5
-    kept = informative(terms, starts, labels, bits)
-    model = Machine(float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), kept,
+    kept, value = evidence(terms, starts, labels, bits)
+    model = Machine(float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), kept, value,
                     np.zeros(len(kept), np.float32), np.zeros((len(kept), rank), np.float32), bits)
     if not len(kept):
         return model
@@ -144,23 +153,23 @@ def learn(terms: np.ndarray, starts: np.ndarray, labels: list[int], bits: int =
             t = terms[np.repeat(starts[rows] - begin[:-1], counts) + np.arange(begin[-1])]
             error = 1 / (1 + np.exp(-np.clip(model.logits(t, begin), -30, 30))) - labels[rows]
             error *= weight[rows] / len(rows)
-            scale = 1 / np.sqrt(np.maximum(counts, 1))
             gradient = float(error.sum())
             seen[0] += gradient * gradient
             model.intercept -= rate * gradient / np.sqrt(seen[0])
             if not len(t):
                 continue
             vectors = model.factors[t]
-            sums = np.zeros((len(rows), rank))
-            np.add.at(sums, local, vectors)
-            by_term = (error * scale)[local]
-            by_pair = (error * scale * scale)[local][:, None] * (sums[local] - vectors)
+            sums, full = np.zeros((len(rows), rank), np.float32), np.flatnonzero(counts)
+            sums[full] = np.add.reduceat(vectors, begin[full], axis=0)
+            value = model.value[t]
+            by_term = (error / np.sqrt(np.maximum(np.bincount(local, value * value, len(rows)), 1e-9)))[local] * value
+            by_pair = (error / np.maximum(counts, 1))[local][:, None] * (sums[local] - vectors)
             used, inverse = np.unique(t, return_inverse=True)
             linear = np.bincount(inverse, by_term) + shrink * model.linear[used]
             seen[1][used] += linear * linear
             model.linear[used] -= rate * linear / np.sqrt(seen[1][used])
             factors = np.stack([np.bincount(inverse, by_pair[:, j]) for j in range(rank)], axis=1)
-            factors += shrink * model.factors[used]
+            factors += shrink_factors * model.factors[used]
             seen[2][used] += factors * factors
             model.factors[used] -= rate * factors / np.sqrt(seen[2][used])
     return model

@@ -486,6 +486,30 @@ def test_pairs_of_terms_are_learned():
     assert np.mean((scores >= 0.5) == np.array(labels[900:])) > 0.98
 
 
+def test_terms_that_do_not_tell_alone():
+    """A pair whose terms have equal shares in both classes, and a slur in a few toxic rows only."""
+    import pyarrow as pa
+
+    rng, made = random.Random(19), []
+    fill = lambda: [f"v{int(1000 * rng.random() ** 2)}" for _ in range(20)]
+    for k in range(2000):
+        toxic, kind = k % 2, k // 2 % 4
+        more = ([["insult", "group"], [], ["curse"], ["curse"]] if toxic else [["insult"], ["group"], [], []])[kind]
+        made.append((" ".join(fill() + more + ["slur"] * (toxic and kind == 1 and k < 100)), toxic))
+    for word in ("insult", "group"):
+        shares = collections.Counter(y for text, y in made if word in text.split())
+        assert shares[0] == shares[1] == 250
+    assert sum("slur" in text.split() for text, _ in made) < 15
+    machine = toxicity.learn(*toxicity.features(pa.array([t for t, _ in made]), 18), [y for _, y in made])
+    score = lambda *more: np.median(machine.scores(pa.array([" ".join([*fill(), *more]) for _ in range(100)])))
+    assert score("insult", "group") > 0.5 and score("curse") > 0.9
+    assert max(score("insult"), score("group")) < 0.25
+    assert score("slur") > score() + 0.2
+    again = toxicity.Machine.unpacked(machine.packed())
+    texts = pa.array(["insult group", "slur", "", None])
+    assert again.scores(texts).tolist() == machine.scores(texts).tolist()
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
