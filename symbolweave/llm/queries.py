@@ -183,7 +183,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules
 FROM judged
 """,
-    "op7_kneser_ney": op7_kneser_ney,
     "op8_url_filters": """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest

@@ -388,6 +388,54 @@ def test_quality_rules(odd_docs, odd_rows, no_docs):
 # 7 language model
 
 
+def test_registered_kneser_ney(spark, odd_docs, odd_rows, tmp_path):
+    """The query with all its columns, on a model of its own rows that are not held out."""
+    clashing(odd_docs).write.parquet(f"{tmp_path}/documents.parquet")
+    out = lambda key: key is not None and zlib.crc32(str(key).encode()) % 5 == 1
+    learned = [[*words(r[1]), "\n"] for r in odd_rows if not out(r[0])]
+    one, two = collections.Counter(), collections.Counter()
+    for tokens in learned:
+        one.update(tokens)
+        two.update(zip(["", *tokens], tokens, strict=False))
+    total, different = sum(one.values()), len(one)
+    spread, front, follow = collections.Counter(w for _, w in two), collections.Counter(), collections.defaultdict(collections.Counter)
+    for (v, _), c in two.items():
+        front[v] += c
+        follow[v][min(c, 3)] += 1
+
+    def discounts(counts):  # modified Kneser-Ney of Chen and Goodman
+        n = collections.Counter(counts)
+        return kneser_ney._discounts(n[1], n[2], n[3], n[4])
+
+    d, e = discounts(two.values()), discounts(spread.values())
+    rest = sum(e[min(c, 3)] for c in spread.values()) / len(two)
+
+    def chance(v, w):
+        alone = ((spread[w] - e[min(spread[w], 3)]) if w in spread else 0) / len(two) + rest / (different + 1)
+        if not front[v]:
+            return alone
+        seen = two[v, w] - d[min(two[v, w], 3)] if (v, w) in two else 0
+        return (seen + sum(d[k] * n for k, n in follow[v].items()) * alone) / front[v]
+
+    log10 = lambda x: math.log10(x) if x else -math.inf  # noqa: E731  a discount of these rows is cut to 0
+    wanted = []
+    for r in odd_rows:
+        tokens = [*words(r[1]), "\n"]
+        wanted.append((str(r[0]), out(r[0]), len(tokens), sum(t in one for t in tokens), total,
+                       sum(math.log10((one[t] + 0.5) / (total + 0.5 * (different + 1))) for t in tokens),
+                       sum(log10(chance(v, t)) for v, t in zip(["", *tokens], tokens, strict=False))))
+    found = queries.op7_kneser_ney(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert {x[1] for x in wanted} == {True, False}
+    got = [(str(r[0]), *r[1:]) for r in found.collect()]
+    for a, b in zip(sorted(wanted), sorted(got), strict=True):
+        assert b[:5] == a[:5] and b[5:] == pytest.approx(a[5:], rel=1e-9)
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
+
+
 @pytest.mark.parametrize("shards", [1, 5])
 def test_kneser_ney(odd_docs, odd_rows, no_docs, shards):
     model = kneser_ney.train(clashing(odd_docs).filter("doc_id % 3 != 1"), shards)
