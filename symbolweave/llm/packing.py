@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
-from symbolweave.llm.text import chunks, id_and_text
+from symbolweave.llm.text import chunks, id_and_text, small_batches
 from symbolweave.llm.word_tokens import word_tokens
 
 SIZE, END = 4096, 2
+# Bytes of text encoded together: ids, codes and checksums are a small multiple of it.
+TOGETHER = 1 << 20
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, number long"
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -73,7 +75,7 @@ def _cut_pieces(tokenizer: str, end: int, size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = word_tokens(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, TOGETHER):
             ids, begins = words.encode(chunk.column(1), end)
             body, rows = memoryview(ids.astype("<u4")).cast("B"), []
             for doc_id, lo, hi in zip(chunk.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
@@ -130,7 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     ``padded_to`` is ``size``, or that number itself if it is a power of two.
     """
     spark = docs.sparkSession
-    pieces = cut(id_and_text(docs).mapInArrow(_cut_pieces(tokenizer, end, size), PIECES), "pieces").df
+    with small_batches(spark):
+        pieces = cut(id_and_text(docs).mapInArrow(_cut_pieces(tokenizer, end, size), PIECES), "pieces").df
     per_task = cut(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths").df
     histogram = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(Places(shortest_pack_first(histogram, size)))

@@ -42,6 +42,18 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs run inside hand Python at most ``size`` bytes of rows at once; with long texts the usual bound is many times this."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, usual)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` has about ``size`` bytes, or is one row."""
     for batch in batches:

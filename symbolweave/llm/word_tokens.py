@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 
 from symbolweave.llm.text import blank_separated
 
-# Words remembered by one worker; then it begins anew, so memory is bounded.
-REMEMBERED = 800_000
+# Bytes that one worker remembers words in (texts, ids and about 200 bytes an entry for Python's
+# own objects); then it begins anew, so memory is bounded whatever the words look like.
+REMEMBERED_BYTES = 96 << 20
+ENTRY_BYTES = 200
 BATCH = 4096
 
 
@@ -40,6 +42,7 @@ class WordTokens:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -53,6 +56,7 @@ class WordTokens:
             sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
             ids.append(np.array([i for p in part for i in p], np.uint32))
         if new:
+            self.held += sum(map(len, new)) + ENTRY_BYTES * len(new) + sum(i.nbytes for i in ids[1:])
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
             found = [known[w] if n is None else n for w, n in zip(words, found, strict=True)]
@@ -71,7 +75,7 @@ class WordTokens:
         stems = pc.if_else(parted, bare, coded.dictionary).dictionary_encode()
         split = parted.to_numpy(zero_copy_only=False)
         tails = np.zeros(len(coded.dictionary), np.int64)
-        if len(self.number) + len(stems.dictionary) + split.sum() > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         heads = self._numbers(stems.dictionary.to_pylist())[np.asarray(stems.indices)] if len(words) else tails
         if split.any():
