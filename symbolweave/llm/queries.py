@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.llm import decontamination, kneser_ney, license_scan, near_duplicates, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
+from symbolweave.llm import (
+    collocations, decontamination, html_templates, kneser_ney, license_scan, near_duplicates, packing, prefix_trie, quality_rules,
+    suffix_dedup, token_counts, toxicity, url_filters,
+)
 from symbolweave.llm.text import id_and_text, table
 
 
@@ -94,6 +97,21 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
                                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of all beginnings of conversations that share their families' first turns."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two and three words in every language of the documents."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_templates.extract(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +123,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_html_extraction": op13_html_extraction,
 }
 _LIMITS = {r.measure: r for r in quality_rules.RULES}
 
@@ -198,5 +219,85 @@ SELECT s.page_id, s.host, s.path, max_by(h || p, length(h || p)) AS rule,
 FROM split s LEFT JOIN rules r
   ON (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)
 GROUP BY s.page_id, s.host, s.path
+""",
+    "op11_prefix_trie": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS head_id, CAST(conv_id AS VARCHAR) AS s FROM own GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, n, head_id, xor(list_reduce(list_prepend(4294967295,
+      list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+      lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 6 AS h
+  FROM sized, crc
+), front AS (
+  SELECT a.conv_id, a.h, coalesce(b.n, 0) AS head_n, a.head_id FROM heads a LEFT JOIN heads b ON b.conv_id = a.head_id
+), turns AS (
+  SELECT f.conv_id, o.k AS at, o.role, o.text FROM front f JOIN own o ON o.conv_id = f.head_id AND o.k <= f.h
+  UNION ALL
+  SELECT f.conv_id, o.k - f.h + least(f.h, f.head_n), o.role, o.text FROM front f JOIN own o ON o.conv_id = f.conv_id AND o.k > f.h
+), paths AS (
+  SELECT f.conv_id, coalesce(list(md5(length(t.role) || ':' || t.role || t.text) ORDER BY t.at) FILTER (t.at IS NOT NULL), []) AS p,
+    coalesce(list(length(t.text) ORDER BY t.at) FILTER (t.at IS NOT NULL), []) AS sizes
+  FROM front f LEFT JOIN turns t ON t.conv_id = f.conv_id GROUP BY f.conv_id
+), members AS (
+  SELECT conv_id, p, d, array_to_string(p[1:d], '') AS node, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, any_value(p[1:d]) AS p,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends_sha256
+  FROM members GROUP BY node, d
+), families AS (
+  SELECT array_to_string(p[1:d - 1], '') AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+), below AS (
+  SELECT array_to_string(n.p[1:e], '') AS node, e AS d, count(*) FILTER (f.node IS NULL) AS n_leaves,
+    sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM nodes) n LEFT JOIN families f ON f.node = n.node AND f.d = n.d GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children,
+  b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node AND b.d = n.d
+LEFT JOIN families f ON f.node = n.node AND f.d = n.d
+LEFT JOIN nodes u ON u.node = array_to_string(n.p[1:n.d - 1], '') AND u.d = n.d - 1
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+), occurring AS (
+  SELECT lang, w[i : i + k - 1] AS p
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k))
+), f AS (
+  SELECT lang, p, count(*) AS a FROM occurring GROUP BY lang, p
+), spoken AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), candidates AS (
+  SELECT lang, p, a FROM f WHERE len(p) > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r,
+    ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), held AS (
+  SELECT DISTINCT s.lang, s.p FROM candidates s
+  JOIN (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS p FROM candidates WHERE len(p) = 3) g
+    ON g.lang = s.lang AND g.p = s.p AND 100 * g.a >= 50 * s.a
+), ranked AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, array_to_string(w.p, ' ')) AS rank,
+    array_to_string(w.p, ' ') AS phrase, w.a, l, r, n, score
+  FROM worst w JOIN spoken s ON s.lang = w.lang LEFT JOIN held h ON h.lang = w.lang AND h.p = w.p WHERE h.p IS NULL
+)
+SELECT * FROM ranked WHERE rank <= 2000
 """,
 }
