@@ -35,7 +35,7 @@ from symbolweave.lineage import cut
 from symbolweave.llm.text import chunks, join_hashes, mix, release, text_bytes
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
-BLOCK_WORDS = 1 << 22  # occurrences in a block, unless one text has more
+BLOCK_WORDS = 1 << 20  # occurrences in a block, and those of one more chunk of texts at most
 BLOCKS_A_TASK = 1 << 10
 BUCKET_HASHES = 1 << 21  # phrases of blocks in a bucket, about
 SALTS = 64
