@@ -202,12 +202,20 @@ def _shown_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist([pickle.loads(d.as_py()) for d in batch.column(0)], TOTALS_SCHEMA)
 
 
+# A discount of small corpora may come out as nothing or less, which would leave unseen words no chance at all.
+LEAST_DISCOUNT = 1e-3
+
+
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """For counts of one, two and more; 0 for none.  Where counts of counts are missing, half a count."""
+    """For counts of one, two and more, ``LEAST_DISCOUNT`` at least; 0 for none.
+
+    Where counts of counts are missing, half a count.
+    """
     if not (n1 and n2 and n3):
         return np.array([0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return np.array([0, *np.clip(found, LEAST_DISCOUNT, [1, 2, 3])])
 
 
 @dataclass(frozen=True)
