@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
@@ -104,10 +104,10 @@ def _signed(size: int, bands: int, rows: int):
             for k, sketch, key in zip(full, signature.astype(np.uint8), keys.astype(np.uint32), strict=True):
                 sketches[k], tags[k] = sketch.tobytes(), key.tobytes()
             yield pa.RecordBatch.from_arrays([
-                chunk.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
+                chunk.column(0), chunk.column(2), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                 pa.array(sketches, pa.binary()), pa.array(tags, pa.binary()),
-            ], names=["doc_id", "n_shingles", "print", "bands", "sketch", "tags"])
+            ], names=["doc_id", "digest", "n_shingles", "print", "bands", "sketch", "tags"])
 
     return task
 
@@ -297,15 +297,17 @@ def _leftover_requests(mates: DataFrame, labels: DataFrame, classes: DataFrame,
     return dealt.mapInArrow(_block_pairs(least, shards), "shard int, a long, others array<long>")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+def _digest() -> Column:
+    """Tells texts apart, a null one being empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
-    Sets of ``size``-word shingles are linked if their similarity is ``least`` per cent or more.
-    """
+
+def _grouped(docs: DataFrame, size: int, least: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, digest, n_shingles, label, component_id) of every row; ``label`` tells groups apart, null for no shingles."""
     docs = id_and_text(docs)
-    signed = cut(docs.mapInArrow(
+    signed = cut(docs.withColumn("digest", _digest()).mapInArrow(
         _signed(size, bands, rows),
-        "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary, tags binary"), "signed").df
+        "doc_id long, digest binary, n_shingles long, print binary, bands array<long>, sketch binary, tags binary"), "signed").df
     classes = cut(
         signed.filter("n_shingles > 0").groupBy("print")
         .agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "tags")])
@@ -346,17 +348,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int
         "print", "first_id", F.coalesce("label", "node").alias("label"))
     told = cut(told, "told").df
     first = told.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_print = told.join(first, "label").select("print", "component_id")
+    by_print = told.join(first, "label").select("print", "label", "component_id")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "print").join(by_print, "print", "left")
-        .select("doc_id", "n_shingles", alone.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        signed.select("doc_id", "digest", "n_shingles", "print").join(by_print, "print", "left")
+        .select("doc_id", "digest", "n_shingles", "label", alone.alias("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+
+    Sets of ``size``-word shingles are linked if their similarity is ``least`` per cent or more.
+    """
+    return _grouped(docs, size, least, bands, rows).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def keep(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; of rows with one ``doc_id`` and text, one."""
-    kept = near_duplicates(docs, size, least).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    """One row of ``docs`` for each group: of the smallest ``doc_id`` (a null one comes last), then of the smallest digest.
+
+    Rows without a shingle stay; of rows with one ``doc_id`` and text, one does.
+    """
+    rows = _grouped(docs, size, least)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    chosen = rows.filter("n_shingles > 0").groupBy("label").agg(first).select("first.doc_id", "first.digest")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "digest").distinct()
+    kept = chosen.unionByName(empty).select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_kept_digest"))
+    marked = docs.withColumn("_digest", _digest())
+    stay = marked.join(kept, marked.doc_id.eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    return stay.drop("_digest").dropDuplicates(["doc_id", "text"])
