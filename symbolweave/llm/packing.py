@@ -34,7 +34,7 @@ from symbolweave.llm.word_tokens import word_tokens
 
 SIZE, END = 4096, 2
 # Bytes of text encoded together: ids, codes and checksums are a small multiple of it.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, number long"
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first

@@ -19,7 +19,7 @@ from symbolweave.llm.text import blank_separated
 
 # Bytes that one worker remembers words in (texts, ids and about 200 bytes an entry for Python's
 # own objects); then it begins anew, so memory is bounded whatever the words look like.
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 144 << 20
 ENTRY_BYTES = 200
 BATCH = 4096
 
