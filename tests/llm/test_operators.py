@@ -287,6 +287,35 @@ def test_near_duplicates(odd_docs, odd_rows, no_docs, size):
     assert {1, 2, 5}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def representatives(rows, size):
+    """For each group one (doc_id, text), and all rows without a shingle once."""
+    held, out = collections.defaultdict(list), set()
+    sets = [shingles(r[1], size) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    for k, r in enumerate(rows):
+        if sets[k]:
+            held[label[k]].append((r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest(), r[0], r[1]))
+        else:
+            out.add((r[0], r[1]))
+    return out | {min(group)[3:] for group in held.values()}
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, odd_docs, odd_rows):
+    """Texts that share an id with others, and near copies without ids."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    more = [(1, a), (5, a + " extra"), (5, b), (None, c), (None, c + " extra"), (None, c + " other"), (5, b + " more"), (6, b), (None, ""), (7, "")]
+    rows = [*odd_rows, *[(None if i is None else i + 100, t, None, None, None) for i, t in more]]
+    docs = spark.createDataFrame(rows, odd_docs.schema).repartition(3)
+    kept = [(r.doc_id, r.text) for r in near_duplicates.keep(clashing(docs), 5).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == representatives(rows, 5)
+
+
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     """Copies that are near their source but not always one another, in blocks and shards of a few."""
     for name, value in (("FEW", 3), ("MANY", 5), ("TEXTS_PER_SHARD", 10)):
@@ -417,13 +446,12 @@ def test_registered_kneser_ney(spark, odd_docs, odd_rows, tmp_path):
         seen = two[v, w] - d[min(two[v, w], 3)] if (v, w) in two else 0
         return (seen + sum(d[k] * n for k, n in follow[v].items()) * alone) / front[v]
 
-    log10 = lambda x: math.log10(x) if x else -math.inf  # noqa: E731  a discount of these rows is cut to 0
     wanted = []
     for r in odd_rows:
         tokens = [*words(r[1]), "\n"]
         wanted.append((str(r[0]), out(r[0]), len(tokens), sum(t in one for t in tokens), total,
                        sum(math.log10((one[t] + 0.5) / (total + 0.5 * (different + 1))) for t in tokens),
-                       sum(log10(chance(v, t)) for v, t in zip(["", *tokens], tokens, strict=False))))
+                       sum(math.log10(chance(v, t)) for v, t in zip(["", *tokens], tokens, strict=False))))
     found = queries.op7_kneser_ney(spark, str(tmp_path))
     assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     assert {x[1] for x in wanted} == {True, False}
@@ -432,6 +460,16 @@ def test_registered_kneser_ney(spark, odd_docs, odd_rows, tmp_path):
         assert b[:5] == a[:5] and b[5:] == pytest.approx(a[5:], rel=1e-9)
 
 
+def test_kneser_ney_scores_are_finite(spark):
+    """Two short texts whose counts of counts give a discount of nothing or less, and unknown words."""
+    docs = spark.createDataFrame([(0, "a b a b a c a d"), (1, "a b b b")], "doc_id long, text string")
+    odd = spark.createDataFrame([(2, "x y z"), (3, "d c b a"), (4, ""), (5, None)], "doc_id long, text string")
+    for learned in (docs, docs.filter("doc_id = 0"), docs.filter("doc_id = 1"), docs.limit(0)):
+        scored = kneser_ney.with_perplexity(kneser_ney.score(odd, kneser_ney.train(learned))).collect()
+        assert all(math.isfinite(r.score) and r.score <= 1e-12 and math.isfinite(r.perplexity) for r in scored)
+        assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in scored)
+
+
 def test_oracles_are_sql():
     assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
 
