@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -71,6 +72,8 @@ def _parser() -> argparse.ArgumentParser:
     index = add("index", "path")
     index.add_argument("--routes", action="store_true", help="also find web routes")
     index.add_argument("--scip-json", help="JSON output of a symbol indexer to merge")
+    follow = add("watch", "path", seconds=2)
+    follow.add_argument("--once", action="store_true", help="bring the graph up to date and stop")
     add("search", "query", limit=20).add_argument("--kind")
     add("prefix", "query", limit=50).add_argument("--kind")
     for name in ("callers", "callees"):
@@ -103,6 +106,8 @@ def run(graph: CodeGraph, args: argparse.Namespace, extensions: list[str]) -> It
         found = graph.index(args.path, extensions or None, args.routes, args.scip_json).first()
         return iter([f"Files indexed: {found.files_indexed}", f"Symbols found: {found.symbols_found}",
                      f"Edges found: {found.edges_found}"])
+    if name == "watch":
+        return follow(graph, args.path, extensions or None, args.seconds, args.once)
     if name == "analyze":
         return iter([f"Files unpacked: {analyze(graph, args.archives)}"])
     if name == "embed":
@@ -134,6 +139,19 @@ def run(graph: CodeGraph, args: argparse.Namespace, extensions: list[str]) -> It
     return answers[name]()
 
 
+def follow(graph: CodeGraph, root: str, extensions: list[str] | None, seconds: int, once: bool) -> Iterator[str]:
+    """Keep a graph like a source tree, until stopped."""
+    state = f"{graph.folder}/watch"
+    while True:
+        changed = graph.watch(root, state, extensions)
+        if changed or once:
+            yield f"Files changed: {changed}"
+        yield from (f"Not read: {r.path} ({r.error})" for r in graph.bad_files(state).limit(100).toLocalIterator() if changed)
+        if once:
+            return
+        time.sleep(seconds)
+
+
 def analyze(graph: CodeGraph, archives: str) -> int:
     """Index the sources inside fetched repository archives; returns their number."""
     texts = read_archives(graph.spark, archives).filter(is_source("path"))

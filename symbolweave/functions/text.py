@@ -30,10 +30,20 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded_ascii(text: Column | str) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def contains_folded(text: Column | str, part: str) -> Column:
     """Substring test that ignores the case of ASCII letters only."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(text, upper, lower).contains(part.translate(str.maketrans(upper, lower)))
+    return folded_ascii(text).contains(ascii_lower(part))
 
 
 def long_words(task: str, shortest: int = 3) -> list[str]:

@@ -1,4 +1,4 @@
-"""Ranked full-text search over the text columns of nodes.
+"""Ranked full-text search over the text columns of rows that have no index; ``postings`` searches a stored graph.
 
 A search reads the texts once.  That pass counts each phrase per row, keeps the
 rows that match (narrow: id, kind, lengths, counts) and, as observed metrics,
@@ -107,7 +107,7 @@ def _occurrences(tokens: Column, phrase: Phrase) -> Column:
     return F.size(hits)
 
 
-def _matches(match: Match, count: dict[Phrase, Column]) -> Column:
+def matches(match: Match, count: dict[Phrase, Column]) -> Column:
     def group(phrases: list[Phrase]) -> Column:
         tests = [count[p] > 0 for p in phrases if p.words]
         return reduce(lambda a, b: a & b, tests, F.lit(True)) if tests else F.lit(False)
@@ -139,35 +139,31 @@ def phrase_counts(
     )
 
 
-def scored_matches(
-    rows: DataFrame,
-    text: str,
-    columns: tuple[str, ...] = TEXT_COLUMNS,
-    keep: tuple[str, ...] = ("id", "kind"),
-    fold_accents: bool = True,
+def scored(
+    counts: DataFrame, match: Match, phrases: list[Phrase], keep: tuple[str, ...], corpus: tuple[int, int] | None = None
 ) -> DataFrame:
-    """Matching rows as (keep…, score); the better a match, the higher its score."""
-    match = read_match(text, columns)
-    phrases = phrases_of(match)
+    """Matching rows of phrase counts as (keep…, score).
+
+    ``corpus`` is how many rows and words there are; without it ``counts`` has every row, and they are observed there.
+    """
     excluded = {p for choice in match for part in choice for group in part[1:] for p in group}
-    counts = phrase_counts(rows, phrases, columns, list(keep), fold_accents)
-    corpus = Observation()
+    seen = Observation()
     observed = counts.observe(
-        corpus,
+        seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum("length").alias("length"),
         *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))],
     )
     count = {p: F.col(f"f{i}") for i, p in enumerate(phrases)}
-    hits = cut(observed.filter(_matches(match, count)), "matches")
-    total = corpus.get["rows"] or 0
-    average = (corpus.get["length"] or 0) / max(total, 1)
+    hits = cut(observed.filter(matches(match, count)), "matches")
+    total, length = corpus or (seen.get["rows"] or 0, seen.get["length"] or 0)
+    average = length / max(total, 1)
     share = F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(float(average or 1.0))
     score = F.lit(0.0)
     for i, phrase in enumerate(phrases):
         if phrase in excluded:
             continue
-        having = corpus.get[f"n{i}"] or 0
+        having = seen.get[f"n{i}"] or 0
         weight = F.log(F.lit((total - having + 0.5) / (having + 0.5)))
         weight = F.when(weight <= 0, F.lit(IDF_FLOOR)).otherwise(weight)
         f = F.col(f"f{i}")
@@ -175,6 +171,19 @@ def scored_matches(
     return hits.df.select(*keep, score.alias("score"))
 
 
+def scored_matches(
+    rows: DataFrame,
+    text: str,
+    columns: tuple[str, ...] = TEXT_COLUMNS,
+    keep: tuple[str, ...] = ("id", "kind"),
+    fold_accents: bool = True,
+) -> DataFrame:
+    """Matching rows as (keep…, score); the better a match, the higher its score."""
+    match = read_match(text, columns)
+    phrases = phrases_of(match)
+    return scored(phrase_counts(rows, phrases, columns, list(keep), fold_accents), match, phrases, keep)
+
+
 def best_first() -> list[Column]:
     """Scores are compared to nine digits, so that equal scores tie on every engine."""
     return [F.round("score", 9).desc(), F.col("id").asc()]
@@ -216,7 +225,7 @@ def search_members(
     picked = nodes if not kind else nodes.filter(F.col("kind") == kind)
     counts = phrase_counts(picked, phrases, TEXT_COLUMNS, ["id"])
     count = {p: F.col(f"f{i}") for i, p in enumerate(phrases)}
-    winners = counts.filter(_matches(match, count)).select("id").orderBy("id").limit(limit)
+    winners = counts.filter(matches(match, count)).select("id").orderBy("id").limit(limit)
     side = F.broadcast(winners) if limit <= BROADCAST_ROWS else winners
     return nodes.join(side, "id").select(*nodes.columns).orderBy("id")
 

@@ -74,13 +74,13 @@ def delete_files(
     files = cut(paths.select("file_path").distinct(), "files")
     inside = join_frontier(nodes.select("id", "file_path"), files, "file_path", F.col("id"), "left_semi")
     kept_nodes = join_frontier(nodes, files, "file_path", F.col("id"), "left_anti")
-    kept_edges = _without(edges, cut(inside.select("id"), "gone"))
+    kept_edges = without_ends(edges, cut(inside.select("id"), "gone"))
     if purge_file_edges:
         kept_edges = join_frontier(kept_edges, files, "file_path", F.col("source_id"), "left_anti")
     return kept_nodes.select(*nodes.columns), kept_edges.select(*edges.columns)
 
 
-def _without(edges: DataFrame, gone: Cut) -> DataFrame:
+def without_ends(edges: DataFrame, gone: Cut) -> DataFrame:
     """Edges with neither end among the deleted ids."""
     for end, other in (("source_id", "target_id"), ("target_id", "source_id")):
         ids = Cut(gone.df.withColumnRenamed("id", end), gone.rows)
@@ -93,7 +93,7 @@ def delete_file(
 ) -> tuple[DataFrame, DataFrame]:
     """``delete_files`` for one path; the path filter reaches the scan."""
     gone = cut(nodes.filter(F.col("file_path") == file_path).select("id"), "gone")
-    kept_edges = _without(edges, gone)
+    kept_edges = without_ends(edges, gone)
     if purge_file_edges:
         kept_edges = kept_edges.filter(F.col("file_path") != file_path)
     return nodes.filter(F.col("file_path") != file_path), kept_edges.select(*edges.columns)

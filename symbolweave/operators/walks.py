@@ -128,34 +128,65 @@ def trace_path(edges: DataFrame | StoredEdges, source: str, target: str) -> Data
     ``depth`` is 0 for a direct edge and at most 15; a path may not step
     straight back to where it came from.  Among equally short paths the
     smallest in element order is returned.  No row means no path.
+    """
+    return _closed_path(edges, source) if source == target else _open_path(edges, source, target)
+
 
-    Unless the two ends are the same, a shortest path meets no node twice, so
-    nodes are settled once.  A closed path may have to leave a node twice, by
-    different ways in, so there edges are settled instead and a node goes on
-    with its two best ways in: whatever the next step is, one of the two does
-    not step back.
+def _open_path(edges: DataFrame | StoredEdges, source: str, target: str) -> DataFrame:
+    """A path between different ends, searched from both.
+
+    A shortest path meets no node twice, so each side settles a node once, with its smallest path from the source
+    or to the target.  Whichever side has the smaller frontier takes the next level.  The sides meet first when
+    their levels add up to the shortest length; then every node they share at those levels is on a shortest path, and
+    the smallest of them is the smallest way to such a node, followed by the smallest way on.
+    """
+    sides = {}
+    for side, stored, near, far, start in (("out", out_of(edges), "source_id", "target_id", source),
+                                           ("in", into(edges), "target_id", "source_id", target)):
+        arcs = stored.select(F.col(near).alias("id"), F.col(far).alias("next"), *stored_buckets(stored))
+        first = Cut(_one(stored, id=start).df.select("id", F.array("id").alias("path")), 1)
+        sides[side] = {"arcs": arcs, "frontier": first, "settled": first.df.select("id"), "levels": 0}
+    none = sides["out"]["frontier"].df.limit(0).select(F.lit(0).alias("depth"), "path")
+    for length in range(1, TRACE_DEPTH + 2):
+        name = min(sides, key=lambda s: sides[s]["frontier"].rows)
+        side, other = sides[name], sides["in" if name == "out" else "out"]
+        step = join_frontier(side["arcs"], side["frontier"], "id", spread_by=F.col("next"))
+        onward = F.concat("path", F.array("next")) if name == "out" else F.concat(F.array("next"), "path")
+        step = step.groupBy(F.col("next").alias("id")).agg(F.min(onward).alias("path"))
+        reached = cut(step.join(side["settled"], "id", "left_anti"), f"trace-{name}{length}")
+        side["frontier"], side["settled"] = reached, side["settled"].unionByName(reached.df.select("id"))
+        if not reached.rows:
+            return none
+        there = other["frontier"].df.select("id", F.col("path").alias("rest"))
+        met = cut(reached.df.join(F.broadcast(there) if other["frontier"].small else there, "id"), "met")
+        if met.rows:
+            way, rest = ("path", "rest") if name == "out" else ("rest", "path")
+            whole = F.concat(way, F.slice(rest, 2, TRACE_DEPTH + 2))
+            return met.df.agg(F.min(whole).alias("path")).select(F.lit(length - 1).alias("depth"), "path")
+    return none
+
+
+def _closed_path(edges: DataFrame | StoredEdges, start: str) -> DataFrame:
+    """A path from a node back to itself.
+
+    It may have to leave a node twice, by different ways in, so edges are settled instead of nodes, and a node goes
+    on with its two best ways in: whatever the next step is, one of the two does not step back.
     """
     stored = out_of(edges)
     arcs = stored.select("source_id", "target_id", *stored_buckets(stored))
-    closed = source == target
-    settle = ["source_id", "target_id"] if closed else ["target_id"]
+    settle = ["source_id", "target_id"]
     previous = F.get(F.col("path"), F.size("path") - 2)
     best = Window.partitionBy("source_id").orderBy("path")
-    first = _one(arcs, source_id=source).df.select("source_id", F.array("source_id").alias("path"))
-    frontier = Cut(first, 1)
+    frontier = Cut(_one(arcs, source_id=start).df.select("source_id", F.array("source_id").alias("path")), 1)
     settled = None
     for depth in range(TRACE_DEPTH + 1):
         step = join_frontier(arcs, frontier, "source_id", spread_by=F.col("target_id"))
         step = step.filter(previous.isNull() | (F.col("target_id") != previous))
-        if not closed:
-            step = step.filter(F.col("target_id") != source)
-        step = step.groupBy(*settle).agg(
-            F.min(F.concat("path", F.array("target_id"))).alias("path")
-        )
+        step = step.groupBy(*settle).agg(F.min(F.concat("path", F.array("target_id"))).alias("path"))
         if settled is not None:
             step = step.join(settled, settle, "left_anti")
         reached = cut(step, f"trace{depth}")
-        hit = reached.df.filter(F.col("target_id") == target)
+        hit = reached.df.filter(F.col("target_id") == start)
         result = hit.groupBy().agg(F.min("path").alias("path")).filter(F.col("path").isNotNull())
         result = result.select(F.lit(depth).alias("depth"), "path")
         if not reached.rows or not hit.isEmpty():
@@ -163,11 +194,8 @@ def trace_path(edges: DataFrame | StoredEdges, source: str, target: str) -> Data
         keys = reached.df.select(*settle)
         settled = keys if settled is None else settled.unionByName(keys)
         onward = reached.df.select(F.col("target_id").alias("source_id"), "path")
-        if closed:
-            ranked = onward.withColumn("place", F.row_number().over(best))
-            frontier = cut(ranked.filter(F.col("place") <= 2).drop("place"), f"ways{depth}")
-        else:
-            frontier = Cut(onward, reached.rows)
+        ranked = onward.withColumn("place", F.row_number().over(best))
+        frontier = cut(ranked.filter(F.col("place") <= 2).drop("place"), f"ways{depth}")
     return result
 
 

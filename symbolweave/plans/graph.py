@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import cut
-from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, resolve, similar, upsert, walks
+from symbolweave.lineage import Cut, cut, scope
+from symbolweave.operators import lookup, neighbours, outline, postings, rank, resolve, similar, upsert, walks
 from symbolweave.plans.parse import index_counts, parse, parsed_edges, parsed_nodes
-from symbolweave.schema import EDGES, NODES
+from symbolweave.schema import EDGE_KEY, EDGES, NODES
 from symbolweave.sources import routes, scip, store, tree
+from symbolweave.streaming import files, watch
 
 
 class CodeGraph:
@@ -30,7 +31,7 @@ class CodeGraph:
 
     def init(self) -> "CodeGraph":
         """An empty graph where there is none; one that is there stays as it is."""
-        if store.current(self.spark, self.folder):
+        if store.manifest(self.spark, self.folder):
             return self
         return self.save(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
 
@@ -44,9 +45,9 @@ class CodeGraph:
         written table that the counts, nodes and edges are then read from; files that cannot be
         read are listed by ``tree.read_tree``, with their errors.
         """
-        files = tree.read_tree(self.spark, root, extensions)
-        parsed = cut(parse(files), "parsed").df
-        counts = index_counts(files.select("path", "error"), parsed)
+        sources = tree.read_tree(self.spark, root, extensions)
+        parsed = cut(parse(sources), "parsed").df
+        counts = index_counts(sources.select("path", "error"), parsed)
         nodes, edges = parsed_nodes(parsed), parsed_edges(parsed)
         if with_routes:
             found = routes.index_routes(tree.read_all_texts(self.spark, root), root)
@@ -60,21 +61,56 @@ class CodeGraph:
         self.merge(nodes, edges)
         return counts
 
-    def merge(self, nodes: DataFrame, edges: DataFrame) -> "CodeGraph":
-        """Put rows over those of this graph with the same key; of rows with one key, the one on the latest line."""
-        if not store.current(self.spark, self.folder):
-            self.init()
-        order = [F.col("line_start"), F.col("name")], [F.col("line_number"), F.col("file_path")]
-        return self.save(upsert.upsert_nodes(self.nodes, nodes, order[0]),
-                         upsert.upsert_edges(self.edges, edges, order[1]))
+    def merge(self, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
+        """Put rows over those of this graph with the same key; of rows with one key, the one on the latest line.
+
+        Only the buckets they fall into are written anew; how many, by table.
+        """
+        self.init()
+        newest = (upsert.last_wins(nodes, ["id"], ["line_start", "name"], NODES.fieldNames()),
+                  upsert.last_wins(edges, EDGE_KEY, ["line_number", "file_path"], EDGES.fieldNames()))
+        return store.merge_rows(*newest, self.folder)
 
     def resolve(self) -> "CodeGraph":
         """Point edges with bare names at the nodes they mean, where that is one; see ``operators.resolve``."""
-        return self.save(self.nodes, resolve.resolve_edges(self.nodes, self.edges))
+        store.replace_edges(resolve.resolve_edges(self.nodes, self.edges), self.folder)
+        return self
+
+    def delete_file(self, file_path: str, purge_file_edges: bool = False) -> dict[str, int]:
+        """Drop a file's nodes and every edge that touches one; how many buckets were written anew, by table."""
+        return self.delete_files([file_path], purge_file_edges)
 
-    def delete_file(self, file_path: str, purge_file_edges: bool = False) -> "CodeGraph":
-        """Drop a file's nodes and every edge that touches one."""
-        return self.save(*upsert.delete_file(self.nodes, self.edges, file_path, purge_file_edges))
+    def delete_files(self, file_paths: list[str], purge_file_edges: bool = False) -> dict[str, int]:
+        paths = self.spark.createDataFrame([(p,) for p in file_paths], "file_path string")
+        return store.delete_files(paths, self.folder, purge_file_edges)
+
+    def watch(self, root: str, state: str, extensions: list[str] | None = None) -> int:
+        """Bring this graph up to date with a source tree; the number of files that changed since the last time.
+
+        ``state`` keeps listings, the stream's checkpoint, and the table of files that could not be read
+        (``bad_files``).  Call it as often as the graph should follow; what fails half-way is done by the next call.
+        """
+        self.init()
+        number = files.take_snapshot(self.spark, root, state, extensions)
+        changed = 0
+
+        def each(batch: DataFrame, number: int) -> None:
+            nonlocal changed
+            with scope(self.spark):
+                changes = cut(files.latest_with_texts(batch, root), "latest")
+                changed += changes.rows
+                gone = changes.df.filter("cleared").select(F.col("path").alias("file_path"))
+                store.delete_files(gone, self.folder)
+                parsed, fates = watch.parsed_changes(changes.df)
+                self.merge(parsed_nodes(parsed.df), parsed_edges(parsed.df))
+                fates.write.mode("overwrite").parquet(f"{state}/fates/batch={number}")
+
+        files.catch_up(self.spark, state, each, f"{state}/checkpoint", number)
+        return changed
+
+    def bad_files(self, state: str) -> DataFrame:
+        """(path, op, text, error, batch) of the watched files that could not be read or parsed when they last changed."""
+        return watch.bad_records(self.spark, watch.ChangeLog(state))
 
     def merged(self, nodes: DataFrame, edges: DataFrame, order: list[str], folder: str) -> "CodeGraph":
         """This graph with rows merged over it, saved to another folder."""
@@ -87,7 +123,7 @@ class CodeGraph:
 
     @property
     def _stored(self) -> store.StoredGraph:
-        return store.load_graph(self.spark, self.folder, self.buckets)
+        return store.load_graph(self.spark, self.folder)
 
     @property
     def nodes(self) -> DataFrame:
@@ -115,21 +151,27 @@ class CodeGraph:
 
     def _bucket_of(self, node_id: str) -> DataFrame:
         """The nodes of the bucket an id falls into."""
-        bucket = F.col(store.bucket_column(self.buckets))
         stored = self._stored.bucketed_nodes
-        return stored.filter(bucket == store.bucket_of(F.lit(node_id), self.buckets)).select(*NODES.fieldNames())
+        column = store.stored_buckets(stored)[0]
+        bucket = store.bucket_of(F.lit(node_id), int(column.rsplit("_", 1)[1]))
+        return stored.filter(F.col(column) == bucket).select(*NODES.fieldNames())
 
     def nodes_in_file(self, file_path: str) -> DataFrame:
-        return lookup.nodes_in_file(self.nodes, file_path)
+        """A file's nodes, by the ids listed under it."""
+        path = self.spark.createDataFrame([(file_path,)], "file_path string")
+        return lookup.nodes_in_file(store.nodes_of_files(self._stored, Cut(path, 1)), file_path)
 
     def search(self, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-        return fulltext.search(self.nodes, query, kind, limit)
+        stored = self._stored
+        return postings.search(stored.bucketed_nodes, stored.index, query, kind, limit)
 
     def search_prefix(self, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
-        return fulltext.search_prefix(self.nodes, query, kind, limit)
+        stored = self._stored
+        return postings.search_prefix(stored.bucketed_nodes, stored.index, query, kind, limit)
 
     def search_members(self, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-        return fulltext.search_members(self.nodes, query, kind, limit)
+        stored = self._stored
+        return postings.search_members(stored.bucketed_nodes, stored.index, query, kind, limit)
 
     def callers(self, node_id: str, depth: int = 1) -> DataFrame:
         return neighbours.callers(self._stored.bucketed_nodes, self._stored.links, node_id, depth)
@@ -181,10 +223,12 @@ class CodeGraph:
         return outline.by_basename(self.search(task, limit=max_nodes))
 
     def name_context(self, task: str, max_nodes: int = 30) -> DataFrame:
-        return fulltext.name_contains_any(self.nodes, task, max_nodes)
+        stored = self._stored
+        return postings.name_contains_any(stored.bucketed_nodes, stored.index, task, max_nodes)
 
     def explore(self, query: str) -> DataFrame:
-        return outline.by_file(fulltext.explore(self.nodes, query))
+        stored = self._stored
+        return outline.by_file(postings.explore(stored.bucketed_nodes, stored.index, query))
 
     def validate(self) -> DataFrame:
         return rank.validation_report(self.nodes, self.edges)

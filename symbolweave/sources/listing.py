@@ -22,7 +22,7 @@ from symbolweave.lineage import cut
 FOLDERS_PER_TASK = 500
 # Folders given to one task, and bytes of files that one task reads.
 TOGETHER, BYTES_PER_TASK = 50, 64 << 20
-LISTED = "path string, folder boolean, length long"
+LISTED = "path string, folder boolean, length long, modified long"
 
 
 def absolute(root: str) -> str:
@@ -52,28 +52,31 @@ def _listing(root: str, skipped: list[str], suffixes: list[str] | None):
                     if entry.type == pafs.FileType.Directory and entry.base_name not in skipped:
                         waiting.append(below)
                     elif entry.type == pafs.FileType.File and wanted(entry.base_name):
-                        rows.append((below, False, entry.size))
+                        rows.append((below, False, entry.size, entry.mtime_ns // 1000))
                 yield _rows(rows)
-            yield _rows([(folder, True, 0) for folder in waiting])
+            yield _rows([(folder, True, 0, 0) for folder in waiting])
 
     return task
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ((), (), ())
-    kinds = (pa.string(), pa.bool_(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                      names=["path", "folder", "length"])
+                                      names=["path", "folder", "length", "modified"])
 
 
 def list_files(spark: SparkSession, root: str, skipped: list[str], suffixes: list[str] | None = None) -> DataFrame:
-    """(``path`` below ``root``, ``length``) of the files, without folders of a name in ``skipped``."""
+    """(``path`` below ``root``, ``length``, ``modified``) of the files, without folders of a name in ``skipped``.
+
+    ``modified`` is in microseconds since 1970.
+    """
     found, rounds = spark.createDataFrame([("",)], "path string"), []
     left = 1
     while left:
         tasks = max(1, min(left // TOGETHER, 10_000))
         step = cut(found.repartition(tasks).mapInArrow(_listing(absolute(root), skipped, suffixes), LISTED), "listing")
-        rounds.append(step.df.filter(~F.col("folder")).select("path", "length"))
+        rounds.append(step.df.filter(~F.col("folder")).select("path", "length", "modified"))
         found = step.df.filter("folder").select("path")
         left = found.count()
     files = rounds[0]
@@ -83,7 +86,10 @@ def list_files(spark: SparkSession, root: str, skipped: list[str], suffixes: lis
 
 
 def read_files(files: DataFrame, root: str) -> DataFrame:
-    """(``path`` below ``root``, ``content``) of listed files; nothing else is opened."""
+    """(``path`` below ``root``, ``content``) of listed files; nothing else is opened.
+
+    The content of a file that is gone, or that cannot be opened, is null.
+    """
     size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     tasks = max(1, min((size.bytes or 0) // BYTES_PER_TASK + size.n // 10_000 + 1, 100_000))
     base = absolute(root)
@@ -92,8 +98,11 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
         system, folder = opened(base)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with system.open_input_stream(f"{folder}/{path}", compression=None) as data:
-                    content = data.read()
+                try:
+                    with system.open_input_stream(f"{folder}/{path}", compression=None) as data:
+                        content = data.read()
+                except OSError:
+                    content = None
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.large_binary()).cast(pa.binary())],
                                                  names=["path", "content"])
 

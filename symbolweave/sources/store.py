@@ -1,39 +1,86 @@
-"""The graph on disk: nodes once, edges laid out for both directions.
+"""The graph on disk: nodes once, edges laid out for both directions, and what is looked up by file or by word.
 
-Each table is split into bucket folders by a hash of the id it is looked up by,
-and range-partitioned inside, so a lookup reads the folders of its ids and, in
-them, the few files whose value range holds them.  Range partitioning goes on to
-the edge's other end, so the edges of a hub id are spread over many files and
+Each table is split into bucket folders by a hash of what it is looked up by, and range-partitioned inside, so a
+lookup reads the folders of its keys and, in them, the few files whose value range holds them.  Range
+partitioning goes on to the next column, so the edges of a hub id are spread over many files and
 many writing tasks instead of one.
+
+A manifest names, for each table, the writes in use and the buckets in use of each.  A change writes the buckets it
+touches anew and then swaps the manifest in one rename, so readers see all of it or nothing, and the rest of the
+graph is neither read nor written.  Postings are not rewritten: a change appends to them and lists the nodes whose
+earlier postings are dead, until ``MOST_DELTAS`` changes are folded.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import copy
+import json
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolweave.lineage import bucket_column, bucket_of, stored_buckets
-from symbolweave.schema import EDGE_COLUMNS, EDGES, EMBEDDINGS, NODE_COLUMNS, NODES
+from symbolweave.lineage import Cut, bucket_column, bucket_of, cut, join_frontier, join_keyed, stored_buckets
+from symbolweave.operators.postings import (
+    DEAD, GRAMS, POSTINGS, TERMS, StoredIndex, alive, grams_of, node_length, postings_of, terms_of,
+)
+from symbolweave.operators.upsert import without_ends
+from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, EDGES, EMBEDDINGS, NODE_COLUMNS, NODES
 
 BUCKETS = 256
+MOST_DELTAS = 16
+
+MEMBERS = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("id", T.StringType())])
+# Each table's columns, and what it is bucketed (the first) and sorted by.
+TABLES: dict[str, tuple[T.StructType, list[str]]] = {
+    "nodes": (NODES, ["id"]),
+    "edges_by_source": (EDGES, ["source_id", "target_id"]),
+    "edges_by_target": (EDGES, ["target_id", "source_id"]),
+    "members": (MEMBERS, ["file_path", "id"]),
+    "postings": (POSTINGS, ["term", "id"]),
+    "terms": (TERMS, ["start", "term"]),
+    "grams": (GRAMS, ["gram", "id"]),
+    "dead": (DEAD, ["id"]),
+}
 
 
 @dataclass(frozen=True)
 class StoredEdges:
-    by_source: DataFrame
-    by_target: DataFrame
+    """Edges in both layouts, each read when first asked for."""
+
+    read: Callable[[str], DataFrame]
+
+    @cached_property
+    def by_source(self) -> DataFrame:
+        return self.read("edges_by_source")
+
+    @cached_property
+    def by_target(self) -> DataFrame:
+        return self.read("edges_by_target")
 
 
 @dataclass(frozen=True)
 class StoredGraph:
-    """Tables of a saved graph; the bucket columns serve lookups only."""
+    """Tables of a saved graph, each read when first asked for; the bucket columns serve lookups only."""
+
+    read: Callable[[str], DataFrame]
+    index: StoredIndex
+
+    @cached_property
+    def bucketed_nodes(self) -> DataFrame:
+        return self.read("nodes")
 
-    bucketed_nodes: DataFrame
-    links: StoredEdges
+    @cached_property
+    def links(self) -> StoredEdges:
+        return StoredEdges(self.read)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self.read("members")
 
     @property
     def nodes(self) -> DataFrame:
@@ -62,93 +109,296 @@ def arcs_of(edges: DataFrame, near: str, far: str) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, by: list[str], buckets: int) -> None:
-    column = bucket_column(buckets)
-    laid_out = df.withColumn(column, bucket_of(by[0], buckets))
-    (
-        laid_out.repartitionByRange(column, *by)
-        .sortWithinPartitions(column, *by)
-        .write.mode("overwrite")
-        .partitionBy(column)
-        .parquet(path)
-    )
+@dataclass
+class Manifest:
+    """What a graph consists of; its size follows the number of buckets.
+
+    ``tables`` has, by table and write, how many buckets were written and which are in use; ``figures`` the
+    rows and words of each bucket of nodes; ``dead`` how many rows the list of dead nodes has.
+    """
+
+    buckets: int
+    batch: int = 0
+    deltas: int = 0
+    dead: int = 0
+    tables: dict[str, dict[str, tuple[int, list[int]]]] = field(default_factory=dict)
+    figures: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def without(self, table: str, buckets: set[int]) -> None:
+        """Put buckets of a table out of use."""
+        held = {w: (n, [b for b in used if b not in buckets]) for w, (n, used) in self.tables.get(table, {}).items()}
+        self.tables[table] = {w: (n, used) for w, (n, used) in held.items() if used}
+
+    def add(self, table: str, write: str, buckets: list[int]) -> None:
+        if buckets:
+            self.tables.setdefault(table, {})[write] = (len(buckets), buckets)
 
 
 def _pointer(spark: SparkSession, folder: str):
-    """The file that names the version in use, and the file system it is on."""
+    """The file that holds the manifest in use, and the file system it is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    """The folder of the version in use; None before the first save."""
+def manifest(spark: SparkSession, folder: str) -> Manifest | None:
+    """The manifest in use; None before the first save."""
     path, system = _pointer(spark, folder)
     if not system.exists(path):
         return None
     stream = system.open(path)
     try:
-        return f"{folder}/{bytearray(stream.readAllBytes()).decode().strip()}"
+        return Manifest(**json.loads(bytearray(stream.readAllBytes()).decode()))
     finally:
         stream.close()
 
 
-def _publish(spark: SparkSession, folder: str, version: str) -> None:
-    """Point readers at a version, in one rename."""
+def _publish(spark: SparkSession, folder: str, new: Manifest) -> None:
+    """Point readers at a manifest, in one rename."""
     path, system = _pointer(spark, folder)
     path = path.makeQualified(system.getUri(), system.getWorkingDirectory())
-    new = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"CURRENT-{version}")
-    stream = system.create(new, True)
-    stream.write(bytearray(version.encode()))
+    written = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"CURRENT-{uuid.uuid4().hex}")
+    stream = system.create(written, True)
+    stream.write(bytearray(json.dumps(asdict(new)).encode()))
     stream.close()
     kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
     over = spark.sparkContext._gateway.new_array(kinds, 1)
     over[0] = kinds.OVERWRITE
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(new, path, over)
+    context.rename(written, path, over)
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Write a graph as a new version; readers switch over once all of it is there.
-
-    What fails half-way leaves the version in use as it was.  Earlier versions stay, for readers
-    that began on them; ``remove_old`` deletes them.
-    """
-    spark, version = edges.sparkSession, f"version-{uuid.uuid4().hex}"
-    at = f"{folder}/{version}"
-    _write(nodes.select(*NODE_COLUMNS), f"{at}/nodes", ["id"], buckets)
-    _write(edges.select(*EDGE_COLUMNS), f"{at}/edges_by_source", ["source_id", "target_id"], buckets)
-    by_source = _read(spark, f"{at}/edges_by_source", EDGES, buckets)
-    _write(by_source.select(*EDGE_COLUMNS), f"{at}/edges_by_target", ["target_id", "source_id"], buckets)
-    _publish(spark, folder, version)
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The entries of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in system.listStatus(at)] if system.exists(at) else []
 
 
-def remove_old(spark: SparkSession, folder: str) -> int:
-    """Delete all versions but the one in use; how many there were."""
-    path, system = _pointer(spark, folder)
-    kept, gone = current(spark, folder), 0
-    for entry in system.listStatus(path.getParent()):
-        name = entry.getPath().getName()
-        if name.startswith("version-") and kept and not kept.endswith(name):
-            gone += bool(system.delete(entry.getPath(), True))
-    return gone
+def _write(rows: DataFrame, folder: str, table: str, buckets: int) -> tuple[str, list[int]]:
+    """Write rows of a table; the write's name and the buckets that have any."""
+    (schema, by), column, write = TABLES[table], bucket_column(buckets), uuid.uuid4().hex
+    laid_out = rows.select(*schema.fieldNames()).withColumn(column, bucket_of(by[0], buckets))
+    path = f"{folder}/{table}/write={write}"
+    (
+        laid_out.repartitionByRange(column, *by)
+        .sortWithinPartitions(column, *by)
+        .write.partitionBy(column)
+        .parquet(path)
+    )
+    return write, sorted(int(n.split("=")[1]) for n in _names(rows.sparkSession, path) if n.startswith(column))
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, buckets: int) -> DataFrame:
-    layout = T.StructType([*schema.fields, T.StructField(bucket_column(buckets), T.IntegerType())])
-    return spark.read.schema(layout).parquet(path)
+def _read(spark: SparkSession, folder: str, table: str, held: Manifest) -> DataFrame:
+    schema, column = TABLES[table][0], bucket_column(held.buckets)
+    layout = T.StructType([*schema.fields, T.StructField(column, T.IntegerType())])
+    paths = []
+    for write, (written, used) in held.tables.get(table, {}).items():
+        at = f"{folder}/{table}/write={write}"
+        paths += [at] if len(used) == written else [f"{at}/{column}={b}" for b in used]
+    if not paths:
+        return spark.createDataFrame([], layout)
+    return spark.read.option("basePath", f"{folder}/{table}").schema(layout).parquet(*paths).select(*layout.fieldNames())
 
 
-def load_graph(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> StoredGraph:
-    at = current(spark, folder)
-    if at is None:
+def load_graph(spark: SparkSession, folder: str) -> StoredGraph:
+    held = manifest(spark, folder)
+    if held is None:
         raise FileNotFoundError(f"no graph in {folder}")
-    return StoredGraph(
-        _read(spark, f"{at}/nodes", NODES, buckets),
-        StoredEdges(
-            _read(spark, f"{at}/edges_by_source", EDGES, buckets),
-            _read(spark, f"{at}/edges_by_target", EDGES, buckets),
-        ),
-    )
+    return _loaded(spark, folder, held)
+
+
+def _loaded(spark: SparkSession, folder: str, held: Manifest) -> StoredGraph:
+    def read(table: str) -> DataFrame:
+        return _read(spark, folder, table, held)
+
+    rows, length = (sum(f[k] for f in held.figures.values()) for k in (0, 1))
+    return StoredGraph(read, StoredIndex(read, held.dead, rows, length))
+
+
+def _figures(spark: SparkSession, folder: str, held: Manifest, buckets: set[int] | None = None) -> dict[str, tuple[int, int]]:
+    """Rows and words of buckets of nodes."""
+    column = bucket_column(held.buckets)
+    nodes = _read(spark, folder, "nodes", held)
+    if buckets is not None:
+        nodes = nodes.filter(F.col(column).isin(sorted(buckets)))
+    found = nodes.groupBy(column).agg(F.count("*").alias("rows"), F.sum(node_length()).alias("words")).collect()
+    return {str(r[0]): (r.rows, r.words) for r in found}
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Write a whole graph; readers switch over once all of it is there.
+
+    What fails half-way leaves the graph in use as it was.  Earlier writes stay, for readers that began on them;
+    ``remove_old`` deletes them.
+    """
+    spark, new = edges.sparkSession, Manifest(buckets)
+    new.add("nodes", *_write(nodes, folder, "nodes", buckets))
+    written = _read(spark, folder, "nodes", new)
+    new.add("members", *_write(written, folder, "members", buckets))
+    new.add("postings", *_write(postings_of(written, 0), folder, "postings", buckets))
+    new.add("terms", *_write(terms_of(_read(spark, folder, "postings", new)), folder, "terms", buckets))
+    new.add("grams", *_write(grams_of(written, 0), folder, "grams", buckets))
+    new.figures = _figures(spark, folder, new)
+    _write_edges(edges, folder, new)
+    _publish(spark, folder, new)
+
+
+def _write_edges(edges: DataFrame, folder: str, new: Manifest) -> None:
+    new.tables["edges_by_source"], new.tables["edges_by_target"] = {}, {}
+    new.add("edges_by_source", *_write(edges, folder, "edges_by_source", new.buckets))
+    by_source = _read(edges.sparkSession, folder, "edges_by_source", new)
+    new.add("edges_by_target", *_write(by_source, folder, "edges_by_target", new.buckets))
+
+
+def replace_edges(edges: DataFrame, folder: str) -> None:
+    """Write all edges anew and leave the nodes as they are."""
+    new = manifest(edges.sparkSession, folder)
+    _write_edges(edges, folder, new)
+    _publish(edges.sparkSession, folder, new)
+
+
+def _touched(keys: DataFrame, key: str, buckets: int) -> set[int]:
+    """The buckets some keys fall into: no more than there are."""
+    return {r.b for r in keys.select(bucket_of(key, buckets).alias("b")).distinct().collect()}
+
+
+class _Change:
+    """A change of a stored graph, which is there once it is published."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.new = manifest(spark, folder)
+        self.held = _loaded(spark, folder, copy.deepcopy(self.new))  # the graph before the change
+        self.new.batch += 1
+        self.column = bucket_column(self.new.buckets)
+        self.rewritten: dict[str, int] = {}
+
+    def touched(self, keys: DataFrame, key: str) -> set[int]:
+        return _touched(keys, key, self.new.buckets)
+
+    def rewrite(self, table: str, stored: DataFrame, buckets: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write some buckets of a table anew, as ``change`` makes their rows."""
+        self.rewritten[table] = len(buckets)
+        if not buckets:
+            return
+        rows = stored.filter(F.col(self.column).isin(sorted(buckets))).drop(self.column)
+        write, found = _write(change(rows), self.folder, table, self.new.buckets)
+        self.new.without(table, buckets)
+        self.new.add(table, write, found)
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.new.add(table, *_write(rows, self.folder, table, self.new.buckets))
+
+    def die(self, ids: Cut) -> None:
+        """Nodes whose postings before this change are dead."""
+        if ids.rows:
+            self.append("dead", ids.df.select("id", F.lit(self.new.batch).cast("long").alias("until")))
+            self.new.dead += ids.rows
+
+    def publish(self, buckets: set[int]) -> dict[str, int]:
+        """Make the change seen; ``buckets`` are those of nodes that it rewrote.  How many buckets of each table were."""
+        for bucket in map(str, buckets):
+            self.new.figures.pop(bucket, None)
+        if buckets:
+            self.new.figures |= _figures(self.spark, self.folder, self.new, buckets)
+        self.new.deltas += 1
+        if self.new.deltas >= MOST_DELTAS:
+            _fold(self.spark, self.folder, self.new)
+        _publish(self.spark, self.folder, self.new)
+        return self.rewritten
+
+
+def _fold(spark: SparkSession, folder: str, new: Manifest) -> None:
+    """Write the live postings and their words anew, without what changes left behind."""
+    held = _loaded(spark, folder, copy.deepcopy(new))
+    live = alive(held.index.postings.drop(bucket_column(new.buckets)), held.index.dead)
+    parts = alive(held.index.grams.drop(bucket_column(new.buckets)), held.index.dead)
+    postings, grams = _write(live, folder, "postings", new.buckets), _write(parts, folder, "grams", new.buckets)
+    for table in ("postings", "terms", "grams", "dead"):
+        new.tables[table] = {}
+    new.add("postings", *postings)
+    new.add("grams", *grams)
+    new.add("terms", *_write(terms_of(_read(spark, folder, "postings", new)), folder, "terms", new.buckets))
+    new.deltas = new.dead = 0
+
+
+def merge_rows(nodes: DataFrame, edges: DataFrame, folder: str) -> dict[str, int]:
+    """Put nodes (one row an id) and edges (one row a key) over a stored graph; how many buckets were written anew.
+
+    Arriving rows are counted first: a small batch is broadcast, so that stored rows are not shuffled for it.
+    """
+    change = _Change(nodes.sparkSession, folder)
+    held, arrived, links = change.held, cut(nodes.select(*NODE_COLUMNS), "arrived"), cut(edges.select(*EDGE_COLUMNS), "arrived")
+    ids = Cut(arrived.df.select("id"), arrived.rows)
+    before = cut(join_keyed(held.bucketed_nodes, ids, "id", "left_semi").select("id", "file_path"), "before")
+    old = Cut(before.df.select("id"), before.rows)
+
+    here = change.touched(ids.df, "id")
+    change.rewrite("nodes", held.bucketed_nodes, here, lambda rows: join_keyed(rows, ids, "id", "left_anti").unionByName(arrived.df))
+    placed = arrived.df.select("file_path", "id")
+    files = change.touched(before.df.select("file_path").union(placed.select("file_path")), "file_path")
+    change.rewrite("members", held.members, files, lambda rows: join_keyed(rows, ids, "id", "left_anti").unionByName(placed))
+    for table, stored, end in (("edges_by_source", held.links.by_source, "source_id"), ("edges_by_target", held.links.by_target, "target_id")):
+        keys = Cut(links.df.select(*EDGE_KEY), links.rows)
+        change.rewrite(table, stored, change.touched(links.df, end),
+                       lambda rows, keys=keys: join_keyed(rows, keys, EDGE_KEY, "left_anti").unionByName(links.df))
+    if arrived.rows:
+        written = cut(postings_of(arrived.df, change.new.batch), "postings").df
+        change.append("postings", written)
+        change.append("terms", terms_of(written))
+        change.append("grams", grams_of(arrived.df, change.new.batch))
+    change.die(old)
+    return change.publish(here)
+
+
+def delete_files(paths: DataFrame, folder: str, purge_file_edges: bool = False) -> dict[str, int]:
+    """Drop the nodes of some files and every edge that touches one; how many buckets were written anew.
+
+    Edges whose source is the bare file path stay unless ``purge_file_edges``.
+    """
+    change = _Change(paths.sparkSession, folder)
+    held, by_source, by_target = change.held, change.held.links.by_source, change.held.links.by_target
+    files = cut(paths.select("file_path").distinct(), "files")
+    gone = cut(join_frontier(held.members, files, "file_path", F.col("id"), "left_semi").select("id"), "gone")
+
+    here = change.touched(gone.df, "id")
+    change.rewrite("nodes", held.bucketed_nodes, here, lambda rows: join_keyed(rows, gone, "id", "left_anti"))
+    change.rewrite("members", held.members, change.touched(files.df, "file_path"),
+                   lambda rows: join_frontier(rows, files, "file_path", F.col("id"), "left_anti"))
+    outward = join_frontier(by_source, Cut(gone.df.withColumnRenamed("id", "source_id"), gone.rows), "source_id", F.col("target_id"), "left_semi")
+    inward = join_frontier(by_target, Cut(gone.df.withColumnRenamed("id", "target_id"), gone.rows), "target_id", F.col("source_id"), "left_semi")
+    sources = here | change.touched(inward.select("source_id"), "source_id")
+    targets = here | change.touched(outward.select("target_id"), "target_id")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = without_ends(rows, gone)
+        return join_frontier(rows, files, "file_path", F.col("source_id"), "left_anti") if purge_file_edges else rows
+
+    if purge_file_edges:
+        own = cut(join_frontier(by_source.select("source_id", "target_id", "file_path"), files, "file_path", F.col("source_id"), "left_semi"), "own").df
+        sources |= change.touched(own, "source_id")
+        targets |= change.touched(own, "target_id")
+    change.rewrite("edges_by_source", by_source, sources, kept)
+    change.rewrite("edges_by_target", by_target, targets, kept)
+    change.die(gone)
+    return change.publish(here)
+
+
+def nodes_of_files(graph: StoredGraph, paths: Cut) -> DataFrame:
+    """The nodes of some files: their ids by file, then those ids' buckets."""
+    ids = cut(join_frontier(graph.members, paths, "file_path", F.col("id"), "left_semi").select("id"), "members")
+    return join_keyed(graph.bucketed_nodes, ids, "id").select(*NODE_COLUMNS)
+
+
+def remove_old(spark: SparkSession, folder: str) -> int:
+    """Delete the writes that are in use no more; how many there were."""
+    held, gone = manifest(spark, folder), 0
+    for table in TABLES if held else ():
+        for name in _names(spark, f"{folder}/{table}"):
+            if name.startswith("write=") and name[6:] not in held.tables.get(table, {}):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/{name}")
+                gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def save_embeddings(embeddings: DataFrame, folder: str) -> None:

@@ -1,9 +1,10 @@
 """Keeping a graph up to date from file-change events.
 
 Every micro-batch appends what it changed, under its batch number: the files it
-cleared, the nodes and the edges it parsed.  Nothing stored is rewritten, and a
-batch that is replayed after a failure overwrites only itself.  Readers merge:
-the last write of a node or edge stays, unless its file was cleared later.
+cleared, the nodes and the edges it parsed, and how each of its rows fared.  Nothing stored is
+rewritten, and a batch that is replayed after a failure overwrites only itself.  Readers merge:
+the last write of a node or edge stays, unless its file was cleared later.  A row that cannot be read
+or parsed stops nothing; it is kept with its error until a later batch has its path again.
 """
 
 from __future__ import annotations
@@ -42,12 +43,13 @@ def watched(events: DataFrame, extensions: list[str] | None = None) -> DataFrame
 
 
 def latest_changes(events: DataFrame, order: list[str]) -> DataFrame:
-    """One row per path: the last operation and text, and whether it was cleared.
+    """One row per path: the last operation and text, and whether it was cleared (or a burst of it, if events are bursts).
 
     All aggregates combine on the map side, however often one path changes.
     """
     last = F.max_by(F.struct("op", "text"), F.struct(*order)).alias("last")
-    cleared = F.max(F.col("op").isin(CLEARING)).alias("cleared")
+    clears = F.col("cleared") if "cleared" in events.columns else F.col("op").isin(CLEARING)
+    cleared = F.max(clears).alias("cleared")
     return events.groupBy("path").agg(last, cleared).select("path", "last.op", "last.text", "cleared")
 
 
@@ -107,8 +109,8 @@ class ChangeLog:
 
     folder: str
 
-    def write(self, batch: int, cleared: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-        for name, rows in (("cleared", cleared), ("nodes", nodes), ("edges", edges)):
+    def write(self, batch: int, cleared: DataFrame, nodes: DataFrame, edges: DataFrame, fates: DataFrame) -> None:
+        for name, rows in (("cleared", cleared), ("nodes", nodes), ("edges", edges), ("fates", fates)):
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
@@ -117,25 +119,59 @@ class ChangeLog:
 
 
 _CLEARED = T.StructType([T.StructField("file_path", T.StringType())])
+# How a batch's row fared: ``error`` is null if well, and the row is kept if not.
+FATES = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "op", "text", "error")])
 
 
 def start_log(nodes: DataFrame, edges: DataFrame, folder: str) -> ChangeLog:
     """A log that begins with a whole graph."""
     log = ChangeLog(folder)
-    none = nodes.sparkSession.createDataFrame([], _CLEARED)
-    log.write(FIRST_BATCH, none, nodes.select(*NODE_COLUMNS), edges.select(*EDGE_COLUMNS))
+    spark = nodes.sparkSession
+    none, fared = spark.createDataFrame([], _CLEARED), spark.createDataFrame([], FATES)
+    log.write(FIRST_BATCH, none, nodes.select(*NODE_COLUMNS), edges.select(*EDGE_COLUMNS), fared)
     return log
 
 
+def parsed_changes(changes: DataFrame) -> tuple[Cut, DataFrame]:
+    """The files of ``latest_changes`` parsed, and how each row fared.
+
+    A row whose text is missing, or cannot be parsed, fares badly by itself; ``error`` may be there before.
+    """
+    given = F.col("error") if "error" in changes.columns else F.lit(None).cast("string")
+    kept = cut(changes.select(
+        "path", "op", "text", F.when(F.col("op") != "deleted", F.coalesce(given, F.when(F.col("text").isNull(), "no text"))).alias("error")), "kept").df
+    present = kept.filter((F.col("op") != "deleted") & F.col("error").isNull())
+    parsed = cut(parse(present.select("path", language_of("path").alias("language"), "text")), "parsed")
+    failed = parsed.df.filter("error is not null").select("path", F.col("error").alias("failed"))
+    error = F.coalesce("error", "failed")
+    fates = kept.join(failed, "path", "left").select(
+        "path", "op", F.when(error.isNotNull(), F.col("text")).alias("text"), error.alias("error"))
+    return parsed, fates
+
+
 def apply_batch(log: ChangeLog, changes: DataFrame, batch: int) -> None:
     """Append one batch of ``latest_changes``: clear, then parse what is there."""
-    cleared = changes.filter("cleared").select(F.col("path").alias("file_path"))
-    present = changes.filter(F.col("op") != "deleted").select(
-        "path", language_of("path").alias("language"), "text"
-    )
     with scope(changes.sparkSession):
-        parsed = cut(parse(present), "parsed").df
-        log.write(batch, cleared, parsed_nodes(parsed), parsed_edges(parsed))
+        cleared = changes.filter("cleared").select(F.col("path").alias("file_path"))
+        parsed, fates = parsed_changes(changes)
+        log.write(batch, cleared, parsed_nodes(parsed.df), parsed_edges(parsed.df), fates)
+
+
+def bad_records(spark: SparkSession, log: ChangeLog) -> DataFrame:
+    """(path, op, text, error, batch) of the paths whose last row could not be applied."""
+    fates = log.read(spark, "fates", FATES)
+    last = F.max_by(F.struct("op", "text", "error"), F.col("batch")).alias("last")
+    return fates.groupBy("path").agg(last, F.max("batch").alias("batch")).select("path", "last.*", "batch").filter("error is not null")
+
+
+def retry(spark: SparkSession, log: ChangeLog, batch: int, texts: DataFrame | None = None) -> None:
+    """Apply the bad records again as a batch, with new (path, text) rows where there are any."""
+    bad = bad_records(spark, log).select("path", "op", F.col("text").alias("kept"))
+    if texts is None:
+        again = bad.withColumn("text", F.col("kept"))
+    else:
+        again = bad.join(texts.select("path", "text"), "path", "left").withColumn("text", F.coalesce("text", "kept"))
+    apply_batch(log, again.select("path", "op", "text", F.lit(False).alias("cleared")), batch)
 
 
 def current_graph(spark: SparkSession, log: ChangeLog) -> tuple[DataFrame, DataFrame]:
@@ -168,12 +204,19 @@ def compact(spark: SparkSession, log: ChangeLog, folder: str) -> ChangeLog:
 
 def watch(
     events: DataFrame, log: ChangeLog, checkpoint: str,
-    extensions: list[str] | None = None, available_now: bool = False,
+    extensions: list[str] | None = None, available_now: bool = False, debounce_ms: int | None = None, late: str = "1 minute",
 ) -> StreamingQuery:
-    """Apply a stream of (path, op, ts, text) events to a log, batch by batch."""
+    """Apply a stream of (path, op, ts, text) events to a log, batch by batch.
+
+    With ``debounce_ms`` bursts of a path are one change each, once the watermark is past them: open bursts with
+    their last text and whether they cleared the path are state, so they survive restarts.  Events more than
+    ``late`` behind are dropped, and counted in the query's progress (``numRowsDroppedByWatermark``).
+    """
+    picked = watched(events, extensions)
 
     def each(batch: DataFrame, number: int) -> None:
         apply_batch(log, latest_changes(batch, ["ts", "op"]), number)
 
-    writer = watched(events, extensions).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    source = picked if debounce_ms is None else debounced_stream(picked, debounce_ms, late)
+    writer = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -164,7 +164,7 @@ def test_symbols_with_callers(make_graph):
 def test_saved_graph_is_read_by_bucket(spark, make_graph, tmp_path):
     nodes, edges = make_graph("abcd", CHAIN)
     store.save_graph(nodes, edges, str(tmp_path), buckets=4)
-    saved = store.load_graph(spark, str(tmp_path), buckets=4)
+    saved = store.load_graph(spark, str(tmp_path))
     assert hops(neighbours.callers(saved.bucketed_nodes, saved.links, "d", 3)) == {(1, "c"), (2, "b"), (3, "a")}
     one = lineage.Cut(spark.createDataFrame([("d",)], "target_id string"), 1)
     plan = lineage.prune(saved.links.by_target, one, "target_id")._jdf.queryExecution().executedPlan().toString()
