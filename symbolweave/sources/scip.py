@@ -71,7 +71,7 @@ def convert(documents: DataFrame, root: str, stored: DataFrame) -> tuple[DataFra
     last definition of a symbol counts, the first one of a node makes it.  A
     symbol that very many references name is spread over tasks by file.
     """
-    mentions = _mentions(documents, root)
+    mentions = cut(_mentions(documents, root), "mentions").df  # read three times below
     is_definition = (F.col("list") == 0) & (F.col("roles").bitwiseAND(DEFINITION) == DEFINITION)
     is_listed = F.col("list") == 1
     parsed = mentions.filter(is_definition | is_listed).withColumn("as", indexed_symbol("symbol"))

@@ -184,6 +184,23 @@ def test_archives_are_indexed_like_trees(spark, tmp_path):
         repos.read_archives(spark, str(tmp_path), largest_mb=0).count()
 
 
+def test_archive_entries_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    made = {f"top/d{k}/f{k}.py": f"def f{k}(): pass  # é\n" * (k + 1) for k in range(40)}
+    for name, method in (("a.zip", zipfile.ZIP_DEFLATED), ("sub/b.zip", zipfile.ZIP_STORED), ("c.zip", zipfile.ZIP_BZIP2)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / name, "w", method) as archive:
+            archive.mkdir("top/empty")
+            for path, text in made.items():
+                archive.writestr(path, text)
+    monkeypatch.setattr(repos, "ENTRIES_PER_TASK", 10)
+    found = repos.read_archives(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 13
+    wanted = {(a, path.split("/", 1)[1], text) for a in "abc" for path, text in made.items()}
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == 120
+    one = found.filter("archive = 'a'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert one > 5  # several tasks read one archive
+
+
 def test_repository_cache(spark, tmp_path):
     entry = tmp_path / "k1"
     (entry / "repo").mkdir(parents=True)
@@ -366,11 +383,11 @@ def test_graph_survives_writes(spark, tmp_path, monkeypatch):
     assert names() == {"a", "b"}
     written = []
 
-    def failing(df, path, by, buckets):
-        written.append(path)
+    def failing(rows, folder, table, buckets):
+        written.append(table)
         if len(written) == 2:
             raise OSError("killed")
-        write(df, path, by, buckets)
+        return write(rows, folder, table, buckets)
 
     write = store._write
     monkeypatch.setattr(store, "_write", failing)
