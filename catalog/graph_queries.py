@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import shared_folder
-from symbolweave.operators import fulltext, lookup, neighbours, outline, rank, resolve, upsert, walks
-from symbolweave.sources.store import StoredGraph, load_graph, save_graph
+from symbolweave.lineage import cut, shared_folder
+from symbolweave.operators import fulltext, lookup, neighbours, outline, postings, rank, resolve, upsert, walks
+from symbolweave.plans.graph import CodeGraph
+from symbolweave.schema import EDGE_COLUMNS
+from symbolweave.sources.store import StoredGraph, delete_files, load_graph, merge_rows, nodes_of_files, save_graph
 from symbolweave.sources.tables import read_table, table_edge_rows, table_edges, table_nodes
-from symbolweave.streaming import watch
+from symbolweave.streaming import files, watch
 
 BUCKETS = 16
 CUSTOMER = "customer:0"
@@ -21,6 +23,7 @@ SUPPLIER = "supplier:0"
 REGION = "region:0"
 FILE = "orders/1-URGENT.sql"
 SMALL_FILE = "nation/0.sql"
+MOVED = "part/Brand#1.sql"
 
 
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +43,57 @@ def stored(spark: SparkSession, folder: str) -> StoredGraph:
         path = f"{shared_folder(spark)}/{key[0]}/graph-{uuid.uuid4().hex}"
         save_graph(*graph(spark, folder), path, BUCKETS)
         _SAVED[key] = path
-    return load_graph(spark, _SAVED[key], BUCKETS)
+    return load_graph(spark, _SAVED[key])
+
+
+_CHANGED: dict[tuple[str, str], tuple[StoredGraph, StoredGraph]] = {}
+
+
+def changed(spark: SparkSession, folder: str) -> tuple[StoredGraph, StoredGraph]:
+    """The saved graph after a merge, and after that after a file's deletion.
+
+    Both can be read: a change leaves the files of the graph before it alone.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _CHANGED:
+        path = f"{shared_folder(spark)}/{key[0]}/graph-{uuid.uuid4().hex}"
+        nodes, edges = graph(spark, folder)
+        save_graph(nodes, edges, path, BUCKETS)
+        parts = nodes.filter(F.col("file_path") == MOVED).withColumns({
+            "file_path": F.lit("again/part.sql"), "name": F.concat(F.lit("renewed "), "name"),
+            "signature": F.concat(F.lit("small ring of "), "signature")})
+        regions = nodes.filter(F.col("kind") == "interface").withColumns({
+            "id": F.concat(F.lit("again:"), "line_start"), "file_path": F.lit("again/region.sql")})
+        links = edges.filter(F.col("source_id").startswith("supplier:")).withColumns({
+            "file_path": F.lit("again/supplier.sql"), "line_number": F.col("line_number") + 1})
+        merge_rows(parts.unionByName(regions), links, path)
+        merged = load_graph(spark, path)
+        delete_files(spark.createDataFrame([(FILE,)], "file_path string"), path)
+        _CHANGED[key] = merged, load_graph(spark, path)
+    return _CHANGED[key]
+
+
+def index_twice_nodes(spark, folder):
+    return changed(spark, folder)[0].nodes
+
+
+def index_twice_edges(spark, folder):
+    return changed(spark, folder)[0].edges
+
+
+def delete_file_stored(spark, folder):
+    return changed(spark, folder)[1].nodes
+
+
+def delete_file_stored_edges(spark, folder):
+    """The edges left after a stored deletion, as laid out for lookups by target."""
+    return changed(spark, folder)[1].links.by_target.select(*EDGE_COLUMNS)
+
+
+def moved_file_nodes(spark, folder):
+    """Nodes of a file after its rows were merged under another path, and of that one."""
+    paths = cut(spark.createDataFrame([(MOVED,), ("again/part.sql",)], "file_path string"), "paths")
+    return nodes_of_files(changed(spark, folder)[0], paths)
 
 
 def saved_nodes(spark, folder):
@@ -219,6 +272,33 @@ def trace_closed(spark, folder):
     return found.select("depth", F.array_join("path", " → ").alias("path_str"))
 
 
+def _chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts linked to the one and the three behind them, and suppliers in rings of eight."""
+
+    def edges(table: str, key: str, to) -> DataFrame:
+        return read_table(spark, folder, table).select(
+            F.concat(F.lit(f"{table}:"), key).alias("source_id"), F.concat(F.lit(f"{table}:"), to.cast("long")).alias("target_id"),
+            F.lit("calls").alias("kind"), F.lit("chain").alias("file_path"), F.lit(1).alias("line_number"))
+
+    part, supplier = F.col("p_partkey"), F.col("s_suppkey")
+    return (
+        edges("part", "p_partkey", part + 1).unionByName(edges("part", "p_partkey", part + 3))
+        .unionByName(edges("supplier", "s_suppkey", supplier - supplier % 8 + (supplier + 1) % 8))
+    )
+
+
+def trace_far(spark, folder):
+    """A path of many steps and many equals."""
+    found = walks.trace_path(_chain(spark, folder), "part:2", "part:33")
+    return found.select("depth", F.array_join("path", " → ").alias("path_str"))
+
+
+def trace_ring(spark, folder):
+    """A closed path, all around a ring of suppliers."""
+    found = walks.trace_path(_chain(spark, folder), "supplier:0", "supplier:0")
+    return found.select("depth", F.array_join("path", " → ").alias("path_str"))
+
+
 def trace_edges(spark, folder):
     return walks.trace_walks(stored(spark, folder).links, ORDER, REGION)
 
@@ -257,49 +337,70 @@ def _scored(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+def indexed(spark, folder):
+    """The saved nodes and the index over their words."""
+    saved = stored(spark, folder)
+    return saved.bucketed_nodes, saved.index
+
+
 def search_blank(spark, folder):
     return lookup.nodes_by_name(saved_nodes(spark, folder), "symbol", 20)
 
 
 def search_and(spark, folder):
-    return _scored(fulltext.search(saved_nodes(spark, folder), "small ring", limit=20))
+    return _scored(postings.search(*indexed(spark, folder), "small ring", limit=20))
 
 
 def search_or(spark, folder):
-    return _scored(fulltext.search(saved_nodes(spark, folder), "widget OR building", limit=20))
+    return _scored(postings.search(*indexed(spark, folder), "widget OR building", limit=20))
 
 
 def search_not(spark, folder):
-    return _scored(fulltext.search(saved_nodes(spark, folder), "widget NOT red economy", limit=20))
+    return _scored(postings.search(*indexed(spark, folder), "widget NOT red economy", limit=20))
 
 
 def search_phrase(spark, folder):
-    return _scored(fulltext.search(saved_nodes(spark, folder), '"brand 1 size" AND signature:eco*', limit=20))
+    return _scored(postings.search(*indexed(spark, folder), '"brand 1 size" AND signature:eco*', limit=20))
 
 
 def search_kind(spark, folder):
-    return _scored(fulltext.search(saved_nodes(spark, folder), "machinery", kind="function", limit=20))
+    return _scored(postings.search(*indexed(spark, folder), "machinery", kind="function", limit=20))
 
 
 def search_prefix(spark, folder):
-    return _scored(fulltext.search_prefix(saved_nodes(spark, folder), "red wid", "symbol", 50))
+    return _scored(postings.search_prefix(*indexed(spark, folder), "red wid", "symbol", 50))
 
 
 def search_members(spark, folder):
-    return fulltext.search_members(saved_nodes(spark, folder), "status AND f", "method", 20)
+    return postings.search_members(*indexed(spark, folder), "status AND f", "method", 20)
+
+
+def search_scanned(spark, folder):
+    """Nodes that have no index are searched by one scan of their texts."""
+    return _scored(fulltext.search(table_nodes(spark, folder), "widget OR building", limit=20))
+
+
+def search_after_merge(spark, folder):
+    merged = changed(spark, folder)[0]
+    return _scored(postings.search(merged.bucketed_nodes, merged.index, "renewed OR small ring", limit=40))
+
+
+def search_after_delete(spark, folder):
+    left = changed(spark, folder)[1]
+    return _scored(postings.search(left.bucketed_nodes, left.index, '"order status" OR re*', limit=40))
 
 
 def search_like_words(spark, folder):
-    return fulltext.name_contains_any(saved_nodes(spark, folder), "find a Widget or RING", 30)
+    return postings.name_contains_any(*indexed(spark, folder), "find a Widget or RING", 30)
 
 
 def explore_grouped(spark, folder):
-    found = outline.by_file(fulltext.explore(saved_nodes(spark, folder), "brand#1", 50))
+    found = outline.by_file(postings.explore(*indexed(spark, folder), "brand#1", 50))
     return found.withColumn("entries", F.array_join("entries", "\n"))
 
 
 def context_by_file(spark, folder):
-    hits = fulltext.search(saved_nodes(spark, folder), "widget OR machinery", limit=15)
+    hits = postings.search(*indexed(spark, folder), "widget OR machinery OR nation", limit=40)
     return outline.by_basename(hits).withColumn("lines", F.array_join("lines", "\n"))
 
 
@@ -337,17 +438,109 @@ def debounce_changes(spark, folder):
     )
 
 
-def apply_changes(spark, folder):
-    """Nodes after two batches of changes over the table graph and its files."""
+def _applied(spark: SparkSession, folder: str, events: DataFrame) -> watch.ChangeLog:
+    """A log of the table graph and two batches of events over it: odd and even days."""
     log = watch.start_log(
         table_nodes(spark, folder), table_edges(spark, folder),
         f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}",
     )
-    events = _file_events(spark, folder)
     for batch in (0, 1):
         part = events.filter(F.pmod(F.dayofmonth("ts"), F.lit(2)) == batch)
         watch.apply_batch(log, watch.latest_changes(part, ["ts", "event_id"]), batch)
-    return watch.current_graph(spark, log)[0]
+    return log
+
+
+def apply_changes(spark, folder):
+    """Nodes after two batches of changes over the table graph and its files."""
+    return watch.current_graph(spark, _applied(spark, folder, _file_events(spark, folder)))[0]
+
+
+def apply_changes_edges(spark, folder):
+    return watch.current_graph(spark, _applied(spark, folder, _file_events(spark, folder)))[1]
+
+
+def bad_records(spark, folder):
+    """Paths whose last change came without a text; the other rows of its batch are applied."""
+    events = _file_events(spark, folder)
+    broken = read_table(spark, folder, "events").filter("event_type = 'error'").select("event_id", F.lit(True).alias("broken"))
+    events = events.join(broken, "event_id", "left").withColumn("text", F.when(F.col("broken").isNull(), F.col("text")))
+    return watch.bad_records(spark, _applied(spark, folder, events)).select("path", "op", "error", "batch")
+
+
+FILE_KEYS = 100  # customers or suppliers in a source file
+_FOLLOWED: dict[tuple[str, str], tuple[DataFrame, CodeGraph]] = {}
+
+
+def _source_files(spark: SparkSession, folder: str, table: str, key: str, letter: str) -> DataFrame:
+    """(path, text, number) of small source files with a function for each row of a table."""
+    rows = read_table(spark, folder, table).select(
+        F.floor(F.col(key) / FILE_KEYS).alias("number"), F.col(key).alias("key"),
+        F.concat(F.lit(f"def {letter}"), F.col(key).cast("string"), F.lit("():\n    pass\n")).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("key", "line"))), lambda r: r["line"])
+    path = F.concat(F.lit(f"src/{letter}"), F.col("number").cast("string"), F.lit(".py"))
+    return rows.groupBy("number").agg(F.array_join(lines, "").alias("text")).select(path.alias("path"), "text", "number")
+
+
+def _written(files: DataFrame, root: str) -> None:
+    """Put files below a root, or remove those whose text is null; by tasks, into the shared folder."""
+    import pyarrow.fs as pafs
+
+    from symbolweave.sources.listing import opened
+
+    def task(batches):
+        system, base = opened(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None:
+                    if system.get_file_info(f"{base}/{path}").type == pafs.FileType.File:
+                        system.delete_file(f"{base}/{path}")
+                    continue
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(text.encode())
+            yield batch
+
+    files.select("path", "text").mapInArrow(task, "path string, text string").write.format("noop").mode("overwrite").save()
+
+
+def followed(spark: SparkSession, folder: str) -> tuple[DataFrame, CodeGraph]:
+    """The changes of a tree that was written and changed once, as streamed in two runs, and the graph that followed it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _FOLLOWED:
+        return _FOLLOWED[key]
+    at = f"{shared_folder(spark)}/{key[0]}/tree-{uuid.uuid4().hex}"
+    at = at.removeprefix("file:") if at.startswith("file:/") else at
+    graph_there = CodeGraph(spark, f"{at}/graph", BUCKETS)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/changes/batch={number}")
+
+    def follow() -> None:
+        files.take_snapshot(spark, f"{at}/tree", f"{at}/state")
+        stream = files.read_changes(spark, f"{at}/state").writeStream.foreachBatch(keep)
+        stream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        graph_there.watch(f"{at}/tree", f"{at}/watch")
+
+    customers = _source_files(spark, folder, "customer", "c_custkey", "c")
+    _written(customers, f"{at}/tree")
+    follow()
+    changed = customers.filter("number % 3 < 2").withColumn(
+        "text", F.when(F.col("number") % 3 == 1, F.concat("text", F.lit("def more"), F.col("number").cast("string"), F.lit("():\n    pass\n"))))
+    _written(changed.select("path", "text").unionByName(_source_files(spark, folder, "supplier", "s_suppkey", "s").select("path", "text")), f"{at}/tree")
+    follow()
+    _FOLLOWED[key] = spark.read.schema(files.CHANGES).parquet(f"{at}/changes"), graph_there
+    return _FOLLOWED[key]
+
+
+def stream_changes(spark, folder):
+    """Every change of the tree, once."""
+    return followed(spark, folder)[0].select("path", "op", "snapshot")
+
+
+def watched_nodes(spark, folder):
+    """The symbols of the tree as it is now, in the graph that followed it."""
+    nodes = followed(spark, folder)[1].nodes
+    return nodes.select("name", F.regexp_extract("file_path", "[^/]*$", 0).alias("file"), "kind", "line_start")
 
 
 def resolve_edges(spark, folder):
@@ -366,10 +559,12 @@ QUERIES = {
         node_lookup, nodes_by_file, metadata_map, graph_export_nodes, graph_export_edges,
         upsert_nodes_last_wins, upsert_edges_last_wins, insert_absent,
         delete_file_nodes, delete_file_edges, callers_d1, callers_d2, callees_d1, callees_d3,
-        impact_d3, trace_path, trace_closed, trace_edges, callers_edges, callees_edges,
+        impact_d3, trace_path, trace_closed, trace_far, trace_ring, trace_edges, callers_edges, callees_edges,
         impact_edges, impact_names, symbols_with_callers, search_blank, search_and, search_or,
         search_not, search_phrase, search_kind, search_prefix, search_members,
         search_like_words, explore_grouped, context_by_file, search_documents,
-        debounce_changes, apply_changes, resolve_edges,
+        search_scanned, search_after_merge, search_after_delete, index_twice_nodes, index_twice_edges, delete_file_stored,
+        delete_file_stored_edges, moved_file_nodes, debounce_changes, apply_changes,
+        apply_changes_edges, bad_records, stream_changes, watched_nodes, resolve_edges,
     )
 }

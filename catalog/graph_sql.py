@@ -209,6 +209,30 @@ def phrase_count(words: list[str], prefix: bool = False) -> str:
     return "(" + " + ".join(one.replace("{c}", c) for c in ("name", "signature", "metadata")) + ")"
 
 
+# The graph after a merge of changed rows, and then without a file.
+MERGED = f"""{GRAPH},
+merged_nodes AS (
+  SELECT id, CASE WHEN moved THEN 'again/part.sql' ELSE file_path END AS file_path,
+         CASE WHEN moved THEN 'renewed ' || name ELSE name END AS name, kind,
+         CASE WHEN moved THEN 'small ring of ' || signature ELSE signature END AS signature,
+         line_start, line_end, parent_id, language, metadata
+  FROM (SELECT *, file_path = 'part/Brand#1.sql' AS moved FROM nodes)
+  UNION ALL
+  SELECT 'again:' || line_start, 'again/region.sql', name, kind, signature, line_start, line_end, parent_id, language, metadata
+  FROM nodes WHERE kind = 'interface'
+),
+merged_edges AS (
+  SELECT source_id, target_id, kind, CASE WHEN again THEN 'again/supplier.sql' ELSE file_path END AS file_path,
+         line_number + CASE WHEN again THEN 1 ELSE 0 END AS line_number
+  FROM (SELECT *, starts_with(source_id, 'supplier:') AS again FROM edges)
+),
+left_nodes AS (SELECT * FROM merged_nodes WHERE file_path <> 'orders/1-URGENT.sql'),
+gone AS (SELECT id FROM merged_nodes WHERE file_path = 'orders/1-URGENT.sql'),
+left_edges AS (
+  SELECT * FROM merged_edges
+  WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)
+)"""
+
 HITS_FOR_CALLERS = ranked_search(
     {"f0": word_count("ring"), "f1": word_count("brand"), "f2": word_count("1")},
     "f0 > 0 AND f1 > 0 AND f2 > 0", ["f0", "f1", "f2"], limit=10,
@@ -383,6 +407,19 @@ path AS (
 )
 SELECT depth, array_to_string(steps, ' → ') AS path_str FROM path
 WHERE target_id = 'customer:0' ORDER BY depth, steps LIMIT 1""",
+    "trace_far": """
+WITH RECURSIVE walk(at, depth, path) AS (
+  SELECT 2::BIGINT, -1, ['part:2']
+  UNION ALL
+  SELECT w.at + s.ahead, w.depth + 1, list_append(w.path, 'part:' || (w.at + s.ahead))
+  FROM walk w, (SELECT unnest([1, 3]) AS ahead) s
+  WHERE w.depth < 15 AND w.at + s.ahead <= 33 AND w.at IN (SELECT p_partkey FROM part)
+)
+SELECT depth, array_to_string(path, ' → ') AS path_str FROM walk WHERE at = 33 ORDER BY depth, path LIMIT 1""",
+    "trace_ring": """
+SELECT (count(*) - 1)::INTEGER AS depth,
+       string_agg('supplier:' || s_suppkey, ' → ' ORDER BY s_suppkey) || ' → supplier:0' AS path_str
+FROM supplier WHERE s_suppkey < 8""",
     "trace_edges": f"""
 {RECURSIVE},
 path AS (
@@ -438,6 +475,19 @@ FROM found f LEFT JOIN called_by_side b ON b.hit = f.id LEFT JOIN calls_side c O
 {GRAPH}, words AS (SELECT *, {tokens("name || ' ' || signature || ' ' || metadata")} AS w FROM nodes)
 SELECT * EXCLUDE (w) FROM words
 WHERE list_contains(w, 'status') AND list_contains(w, 'f') AND kind = 'method' ORDER BY id LIMIT 20""",
+    "search_scanned": ranked_search(
+        {"f0": word_count("widget"), "f1": word_count("building")}, "f0 > 0 OR f1 > 0", ["f0", "f1"]),
+    "search_after_merge": ranked_search(
+        {"f0": word_count("renewed"), "f1": word_count("small"), "f2": word_count("ring")},
+        "f0 > 0 OR (f1 > 0 AND f2 > 0)", ["f0", "f1", "f2"], limit=40, source="merged_nodes", prefix=MERGED),
+    "search_after_delete": ranked_search(
+        {"f0": phrase_count(["order", "status"]), "f1": word_count("re", prefix=True)},
+        "f0 > 0 OR f1 > 0", ["f0", "f1"], limit=40, source="left_nodes", prefix=MERGED),
+    "index_twice_nodes": f"{MERGED} SELECT * FROM merged_nodes",
+    "index_twice_edges": f"{MERGED} SELECT * FROM merged_edges",
+    "delete_file_stored": f"{MERGED} SELECT * FROM left_nodes",
+    "delete_file_stored_edges": f"{MERGED} SELECT * FROM left_edges",
+    "moved_file_nodes": f"{MERGED} SELECT * FROM merged_nodes WHERE file_path IN ('part/Brand#1.sql', 'again/part.sql')",
     "search_like_words": f"""
 {GRAPH} SELECT * FROM nodes
 WHERE name ILIKE '%find%' OR name ILIKE '%widget%' OR name ILIKE '%ring%' ORDER BY id LIMIT 30""",
@@ -448,8 +498,8 @@ SELECT file_path, min(id) AS first_id,
        string_agg(name || ' (' || kind || ') :' || line_start, chr(10) ORDER BY id) AS entries
 FROM hits GROUP BY file_path""",
     "context_by_file": "WITH hits2 AS (" + ranked_search(
-        {"f0": word_count("widget"), "f1": word_count("machinery")}, "f0 > 0 OR f1 > 0",
-        ["f0", "f1"], limit=15).replace("round(exact, 6) AS score", "round(exact, 9) AS score") + """)
+        {"f0": word_count("widget"), "f1": word_count("machinery"), "f2": word_count("nation")}, "f0 > 0 OR f1 > 0 OR f2 > 0",
+        ["f0", "f1", "f2"], limit=40).replace("round(exact, 6) AS score", "round(exact, 9) AS score") + """)
 SELECT string_split(file_path, '/')[-1] AS file, count(*) AS symbols,
        string_agg('  `' || name || '` (' || kind || ')' || CASE WHEN signature <> '' THEN
          ' — `' || trim(replace(substr(signature, 1, 80), chr(10), ' ')) || '`' ELSE '' END,
@@ -487,4 +537,33 @@ SELECT * FROM nodes
 UNION ALL
 SELECT path || ':f' || event_id, path, 'f' || event_id, 'function',
        'def f' || event_id || '(): run()', 1, 2, NULL, 'python', '{{}}' FROM kept""",
+    "apply_changes_edges": f"""
+{GRAPH}, {CHANGES},
+batches AS (SELECT path, day(ts) % 2 AS batch, arg_max(op, (ts, event_id)) AS op FROM changes GROUP BY 1, 2)
+SELECT * FROM edges
+UNION ALL
+SELECT DISTINCT path, 'run', 'calls', path, 2 FROM batches WHERE op <> 'deleted'""",
+    "bad_records": f"""
+WITH {CHANGES},
+told AS (SELECT c.*, e.event_type = 'error' AS broken FROM changes c JOIN events e ON e.event_id = c.event_id),
+batches AS (
+  SELECT path, (day(ts) % 2)::BIGINT AS batch, arg_max(op, (ts, event_id)) AS op, arg_max(broken, (ts, event_id)) AS broken
+  FROM told GROUP BY 1, 2
+),
+last AS (SELECT path, arg_max(op, batch) AS op, arg_max(broken, batch) AS broken, max(batch) AS batch FROM batches GROUP BY path)
+SELECT path, op, 'no text' AS error, batch FROM last WHERE broken AND op <> 'deleted'""",
+    "stream_changes": """
+WITH c AS (SELECT DISTINCT c_custkey // 100 AS k FROM customer), s AS (SELECT DISTINCT s_suppkey // 100 AS k FROM supplier)
+SELECT 'src/c' || k || '.py' AS path, 'created' AS op, 1::BIGINT AS snapshot FROM c
+UNION ALL SELECT 'src/c' || k || '.py', CASE k % 3 WHEN 0 THEN 'deleted' ELSE 'modified' END, 2 FROM c WHERE k % 3 < 2
+UNION ALL SELECT 'src/s' || k || '.py', 'created', 2 FROM s""",
+    "watched_nodes": """
+WITH f AS (
+  SELECT 'c' || c_custkey AS name, 'c' || c_custkey // 100 || '.py' AS file, c_custkey AS key, c_custkey // 100 AS k FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey // 100 || '.py', s_suppkey, -1 FROM supplier
+  UNION ALL SELECT 'more' || k, 'c' || k || '.py', 9223372036854775807, k
+  FROM (SELECT DISTINCT c_custkey // 100 AS k FROM customer) WHERE k % 3 = 1
+)
+SELECT name, file, 'function' AS kind, (2 * row_number() OVER (PARTITION BY file ORDER BY key) - 1)::INTEGER AS line_start
+FROM f WHERE k < 0 OR k % 3 > 0""",
 }
