@@ -1,8 +1,8 @@
 """Deep-shallow sorting of suffixes up to a length, in one task's memory.
 
-Multikey quicksort orders the suffixes by eight bytes at a time down to a shallow depth; all
-groups of a depth are partitioned together.  What then still agrees has a long common
-prefix: such groups are ordered by blind tries, which compare one byte at each branch and
+As in multikey quicksort, groups that agree so far are split by their next key; a key is eight bytes, all
+groups of a depth are split together, and the split is numpy's sort by (group, key), down to a shallow depth: no pivots
+are chosen, and the order is the same.  What then still agrees has a long common prefix: such groups are ordered by blind tries, which compare one byte at each branch and
 the whole string only once per insertion.
 """
 
