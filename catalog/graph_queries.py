@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symbolweave.lineage import cut, shared_folder
 from symbolweave.operators import fulltext, lookup, neighbours, outline, postings, rank, resolve, upsert, walks
 from symbolweave.plans.graph import CodeGraph
-from symbolweave.schema import EDGE_COLUMNS
+from symbolweave.schema import EDGE_COLUMNS, NODE_COLUMNS
 from symbolweave.sources.store import StoredGraph, delete_files, load_graph, merge_rows, nodes_of_files, save_graph
 from symbolweave.sources.tables import read_table, table_edge_rows, table_edges, table_nodes
 from symbolweave.streaming import files, watch
@@ -90,6 +90,12 @@ def delete_file_stored_edges(spark, folder):
     return changed(spark, folder)[1].links.by_target.select(*EDGE_COLUMNS)
 
 
+def rankings_after_changes(spark, folder):
+    """Rankings by the degrees that each change kept, without a scan of edges."""
+    left = changed(spark, folder)[1]
+    return rank.ranked_by(left.bucketed_nodes, left.degrees, 50).select(*NODE_COLUMNS, "edge_count")
+
+
 def moved_file_nodes(spark, folder):
     """Nodes of a file after its rows were merged under another path, and of that one."""
     paths = cut(spark.createDataFrame([(MOVED,), ("again/part.sql",)], "file_path string"), "paths")
@@ -564,7 +570,7 @@ QUERIES = {
         search_not, search_phrase, search_kind, search_prefix, search_members,
         search_like_words, explore_grouped, context_by_file, search_documents,
         search_scanned, search_after_merge, search_after_delete, index_twice_nodes, index_twice_edges, delete_file_stored,
-        delete_file_stored_edges, moved_file_nodes, debounce_changes, apply_changes,
+        delete_file_stored_edges, moved_file_nodes, rankings_after_changes, debounce_changes, apply_changes,
         apply_changes_edges, bad_records, stream_changes, watched_nodes, resolve_edges,
     )
 }

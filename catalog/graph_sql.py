@@ -408,14 +408,14 @@ path AS (
 SELECT depth, array_to_string(steps, ' → ') AS path_str FROM path
 WHERE target_id = 'customer:0' ORDER BY depth, steps LIMIT 1""",
     "trace_far": """
-WITH RECURSIVE walk(at, depth, path) AS (
+WITH RECURSIVE walk(k, depth, path) AS (
   SELECT 2::BIGINT, -1, ['part:2']
   UNION ALL
-  SELECT w.at + s.ahead, w.depth + 1, list_append(w.path, 'part:' || (w.at + s.ahead))
+  SELECT w.k + s.ahead, w.depth + 1, list_append(w.path, 'part:' || (w.k + s.ahead))
   FROM walk w, (SELECT unnest([1, 3]) AS ahead) s
-  WHERE w.depth < 15 AND w.at + s.ahead <= 33 AND w.at IN (SELECT p_partkey FROM part)
+  WHERE w.depth < 15 AND w.k + s.ahead <= 33 AND w.k IN (SELECT p_partkey FROM part)
 )
-SELECT depth, array_to_string(path, ' → ') AS path_str FROM walk WHERE at = 33 ORDER BY depth, path LIMIT 1""",
+SELECT depth, array_to_string(path, ' → ') AS path_str FROM walk WHERE k = 33 ORDER BY depth, path LIMIT 1""",
     "trace_ring": """
 SELECT (count(*) - 1)::INTEGER AS depth,
        string_agg('supplier:' || s_suppkey, ' → ' ORDER BY s_suppkey) || ' → supplier:0' AS path_str
@@ -487,6 +487,10 @@ WHERE list_contains(w, 'status') AND list_contains(w, 'f') AND kind = 'method' O
     "index_twice_edges": f"{MERGED} SELECT * FROM merged_edges",
     "delete_file_stored": f"{MERGED} SELECT * FROM left_nodes",
     "delete_file_stored_edges": f"{MERGED} SELECT * FROM left_edges",
+    "rankings_after_changes": f"""{MERGED},
+degrees AS (SELECT target_id AS id, count(*) AS edge_count FROM left_edges GROUP BY target_id)
+SELECT n.*, coalesce(d.edge_count, 0) AS edge_count FROM left_nodes n LEFT JOIN degrees d ON d.id = n.id
+ORDER BY edge_count DESC, n.name, n.id LIMIT 50""",
     "moved_file_nodes": f"{MERGED} SELECT * FROM merged_nodes WHERE file_path IN ('part/Brand#1.sql', 'again/part.sql')",
     "search_like_words": f"""
 {GRAPH} SELECT * FROM nodes

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import BROADCAST_ROWS
+from symbolweave.lineage import BROADCAST_ROWS, cut, join_keyed, stored_buckets
 
 
 def _fetch(nodes: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
-    """All node columns for at most ``limit`` ranked ids."""
+    """All node columns for at most ``limit`` ranked ids; of stored nodes only those ids' buckets are read."""
+    if stored_buckets(nodes):
+        return join_keyed(nodes, cut(winners, "winners"), "id")
     side = F.broadcast(winners) if limit <= BROADCAST_ROWS else winners
     return nodes.join(side, "id")
 
@@ -31,10 +33,15 @@ def total_degrees(edges: DataFrame) -> DataFrame:
 
 def node_rankings(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
     """Nodes by how many edges point at them, then by name."""
+    return ranked_by(nodes, in_degrees(edges), limit)
+
+
+def ranked_by(nodes: DataFrame, degrees: DataFrame, limit: int = 50) -> DataFrame:
+    """The same out of (id, edge_count) rows, such as a stored graph keeps."""
     order = [F.desc("edge_count"), F.asc("name"), F.asc("id")]
     winners = (
         nodes.select("id", "name")
-        .join(in_degrees(edges), "id", "left")
+        .join(degrees.select("id", "edge_count"), "id", "left")
         .withColumn("edge_count", F.coalesce("edge_count", F.lit(0).cast("bigint")))
         .orderBy(*order)
         .limit(limit)

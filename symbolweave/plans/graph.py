@@ -208,7 +208,8 @@ class CodeGraph:
             self.search(query, limit=limit), self._stored.bucketed_nodes, self._stored.links)
 
     def rankings(self, limit: int = 50) -> DataFrame:
-        return rank.node_rankings(self.nodes, self.edges, limit)
+        stored = self._stored
+        return rank.ranked_by(stored.bucketed_nodes, stored.degrees, limit).select(*NODES.fieldNames(), "edge_count")
 
     def file_summary(self, limit: int = 20) -> DataFrame:
         return rank.file_summary(self.nodes, self.edges, limit)

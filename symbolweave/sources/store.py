@@ -28,18 +28,21 @@ from symbolweave.lineage import Cut, bucket_column, bucket_of, cut, join_frontie
 from symbolweave.operators.postings import (
     DEAD, GRAMS, POSTINGS, TERMS, StoredIndex, alive, grams_of, node_length, postings_of, terms_of,
 )
+from symbolweave.operators.rank import in_degrees
 from symbolweave.operators.upsert import without_ends
 from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, EDGES, EMBEDDINGS, NODE_COLUMNS, NODES
 
 BUCKETS = 256
 MOST_DELTAS = 16
 
+DEGREES = T.StructType([T.StructField("id", T.StringType()), T.StructField("edge_count", T.LongType())])
 MEMBERS = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("id", T.StringType())])
 # Each table's columns, and what it is bucketed (the first) and sorted by.
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "nodes": (NODES, ["id"]),
     "edges_by_source": (EDGES, ["source_id", "target_id"]),
     "edges_by_target": (EDGES, ["target_id", "source_id"]),
+    "degrees": (DEGREES, ["id"]),
     "members": (MEMBERS, ["file_path", "id"]),
     "postings": (POSTINGS, ["term", "id"]),
     "terms": (TERMS, ["start", "term"]),
@@ -82,6 +85,11 @@ class StoredGraph:
     def members(self) -> DataFrame:
         return self.read("members")
 
+    @cached_property
+    def degrees(self) -> DataFrame:
+        """How many edges point at an id, kept with each bucket of edges by target."""
+        return self.read("degrees")
+
     @property
     def nodes(self) -> DataFrame:
         return self.bucketed_nodes.select(*NODE_COLUMNS)
@@ -244,10 +252,11 @@ def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = B
 
 
 def _write_edges(edges: DataFrame, folder: str, new: Manifest) -> None:
-    new.tables["edges_by_source"], new.tables["edges_by_target"] = {}, {}
+    new.tables["edges_by_source"], new.tables["edges_by_target"], new.tables["degrees"] = {}, {}, {}
     new.add("edges_by_source", *_write(edges, folder, "edges_by_source", new.buckets))
     by_source = _read(edges.sparkSession, folder, "edges_by_source", new)
     new.add("edges_by_target", *_write(by_source, folder, "edges_by_target", new.buckets))
+    new.add("degrees", *_write(in_degrees(_read(edges.sparkSession, folder, "edges_by_target", new)), folder, "degrees", new.buckets))
 
 
 def replace_edges(edges: DataFrame, folder: str) -> None:
@@ -285,6 +294,11 @@ class _Change:
         write, found = _write(change(rows), self.folder, table, self.new.buckets)
         self.new.without(table, buckets)
         self.new.add(table, write, found)
+        if table == "edges_by_target":  # ids and targets fall into the same buckets
+            there = _read(self.spark, self.folder, table, self.new).filter(F.col(self.column).isin(sorted(buckets)))
+            write, found = _write(in_degrees(there), self.folder, "degrees", self.new.buckets)
+            self.new.without("degrees", buckets)
+            self.new.add("degrees", write, found)
 
     def append(self, table: str, rows: DataFrame) -> None:
         self.new.add(table, *_write(rows, self.folder, table, self.new.buckets))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolweave.lineage import cut
-from symbolweave.operators import fulltext, postings, upsert
+from symbolweave.operators import fulltext, postings, rank, upsert
 from symbolweave.plans.graph import CodeGraph
 from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, EDGES, NODE_COLUMNS, NODES
 from symbolweave.sources import store
@@ -38,6 +38,9 @@ def agree(graph, queries=QUERIES, parts=("SAVE_con", "ind parse over", "fi", "/F
     nodes = held.nodes.cache()
     assert rows(held.links.by_source, EDGE_COLUMNS) == rows(held.links.by_target, EDGE_COLUMNS)
     assert rows(held.members, ["file_path", "id"]) == rows(nodes, ["file_path", "id"])
+    assert rows(held.degrees, ["id", "edge_count"]) == rows(rank.in_degrees(held.edges), ["id", "edge_count"])
+    ranked = rank.ranked_by(held.bucketed_nodes, held.degrees, 7).select("id", "edge_count").collect()
+    assert ranked == rank.node_rankings(nodes, held.edges, 7).select("id", "edge_count").collect()
     for k, query in enumerate(queries):
         kind = ("class", None)[k % 2]
         wanted = [(r.id, round(r.score, 9)) for r in fulltext.search(nodes, query, kind, 50).collect()]
