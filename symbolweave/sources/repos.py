@@ -29,7 +29,7 @@ BYTES_PER_TASK, ENTRIES_PER_TASK = 32 << 20, 20_000
 PARTS = 64
 TEXTS = "archive string, path string, text string"
 # Fixed value of the format: the header in front of an entry; its last two numbers are lengths of what follows it.
-LOCAL_HEADER = struct.Struct("<4s5H3L2H")
+LOCAL_HEADER = "<4s5H3L2H"
 MANIFEST = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -79,9 +79,9 @@ def _columns(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.Rec
 def _unpacked(data: pa.NativeFile, start: int, packed: int, method: int) -> bytes:
     """An entry's bytes, by its own range of the archive."""
     data.seek(start)
-    header = data.read(LOCAL_HEADER.size)
-    names, extra = LOCAL_HEADER.unpack(header)[-2:]
-    data.seek(start + LOCAL_HEADER.size + names + extra)
+    size = struct.calcsize(LOCAL_HEADER)
+    names, extra = struct.unpack(LOCAL_HEADER, data.read(size))[-2:]
+    data.seek(start + size + names + extra)
     content = data.read(packed)
     if method == zipfile.ZIP_STORED:
         return content
