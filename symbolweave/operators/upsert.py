@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.lineage import Cut, cut, join_frontier, join_keyed
+from symbolweave.lineage import Cut, cut, join_frontier, join_keyed, merged
 from symbolweave.schema import EDGE_COLUMNS, EDGE_KEY, NODE_COLUMNS
 
 
@@ -55,7 +55,7 @@ def insert_absent_nodes(stored: DataFrame, arriving: DataFrame, order: list[str]
     """Add only nodes whose id is new; stored rows stay as they are."""
     fresh = cut(first_wins(arriving, ["id"], order, NODE_COLUMNS), "arrived")
     held = join_keyed(stored.select("id"), Cut(fresh.df.select("id"), fresh.rows), "id", "left_semi")
-    new = fresh.df.join(held, "id", "left_anti").select(*NODE_COLUMNS)
+    new = fresh.df.join(held if fresh.small else merged(held), "id", "left_anti").select(*NODE_COLUMNS)
     return stored.select(*NODE_COLUMNS).unionByName(new)
 
 

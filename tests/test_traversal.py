@@ -199,3 +199,19 @@ def test_deletes_and_merges_of_any_size(spark, make_graph, monkeypatch, broadcas
     assert merged == {"a": "class", "b": "class", "c": "function", "d": "function", "new": "class"}
     added = {r.id: r.kind for r in upsert.insert_absent_nodes(nodes, fresh, ["line_start"]).collect()}
     assert added == {**{i: "function" for i in "abcd"}, "new": "class"}
+
+
+def test_large_sides_are_shuffled(spark, monkeypatch):
+    """However few bytes their files have; and a side that is copied has a bound on its copies."""
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(lineage, "COPIED_ROWS", 300, raising=False)
+    arcs = spark.range(2000).selectExpr("cast(id % 7 as string) near", "cast(id as string) far")
+    for rows, how in ((100, "inner"), (100, "left_anti"), (400, "inner"), (400, "left_anti")):
+        ends = lineage.cut(spark.range(rows).selectExpr("cast(id as string) near"), "ends")
+        found = lineage.join_frontier(arcs, ends, "near", F.col("far"), how)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and ("_salt" in plan) == (rows == 100)
+        assert found.count() == (2000 if how == "inner" else 0)
+        keyed = lineage.join_keyed(ends.df, lineage.Cut(arcs.select("near").distinct(), 400), "near", how)
+        assert "BroadcastExchange" not in keyed._jdf.queryExecution().executedPlan().toString()
+        assert keyed.count() == (7 if how == "inner" else rows - 7)
