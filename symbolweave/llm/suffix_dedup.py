@@ -39,7 +39,7 @@ from symbolweave.llm.suffix_sort import WORD, deep_shallow, words_at
 from symbolweave.llm.text import chunks, id_and_text, mix, partitions, release
 
 LENGTH, GRAM = 50, 12
-BLOCK = 4 << 20
+BLOCK, STEP = 4 << 20, 1 << 18
 BUCKETS_PER_SPLIT, LEAST_BUCKETS = 3, 24
 LAST = (1 << 63) - 1
 
@@ -80,23 +80,32 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield block
 
 
+def _hashes(data: np.ndarray, at: slice | np.ndarray) -> np.ndarray:
+    """Hashes of the ``GRAM`` bytes that begin at some places."""
+    words = np.lib.stride_tricks.sliding_window_view(data, WORD)
+    front, back = (np.ascontiguousarray(w[at]).view("<u8").ravel() for w in (words, words[GRAM - WORD :]))
+    return mix(front * np.uint64(0x9E3779B97F4A7C15) + mix(back))
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last string of every piece, its anchor's place and the anchor's hash.
 
     ``offsets`` are where parts begin (and the last one ends); no string crosses them.
     """
-    grams = np.lib.stride_tricks.sliding_window_view(data, WORD)
-    words = np.ascontiguousarray(grams).view("<u8").ravel()
-    hashes = mix(words[: len(words) - GRAM + WORD] * np.uint64(0x9E3779B97F4A7C15) + mix(words[GRAM - WORD :]))
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-    low = hashes & ~((np.uint64(1) << bits) - np.uint64(1)) | np.arange(len(hashes), dtype=np.uint64)
-    span, reach = length - GRAM + 1, 1
-    while reach * 2 <= span:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if span > reach:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    anchors = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    bits = np.uint64(max(1, (len(data) - GRAM + 1).bit_length()))
+    places, span = (np.uint64(1) << bits) - np.uint64(1), length - GRAM + 1
+    anchors = np.empty(max(len(data) - length + 1, 0), np.int64)
+    for at in range(0, len(anchors), STEP):  # step by step, as hashes and places are many times the text
+        to = min(at + STEP, len(anchors))
+        low = _hashes(data, np.s_[at : to + span - 1]) & ~places
+        low |= np.arange(at, to + span - 1, dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= span:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if span > reach:
+            low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+        anchors[at:to] = low & places
     valid = np.ones(len(anchors), bool)  # strings within one part
     for end in offsets[1:-1]:
         valid[max(end - length + 1, 0) : end] = False
@@ -105,7 +114,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     first = np.flatnonzero(new)
     done = valid.copy()
     done[:-1] &= new[1:] | ~valid[1:]
-    return first, np.flatnonzero(done), anchors[first], hashes[anchors[first]]
+    return first, np.flatnonzero(done), anchors[first], _hashes(data, anchors[first])
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
