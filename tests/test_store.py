@@ -131,3 +131,13 @@ def test_empty_graphs(spark, tmp_path):
     assert graph.nodes.count() == graph.edges.count() == 0
     with pytest.raises(FileNotFoundError):
         store.load_graph(spark, str(tmp_path / "nothing"))
+
+
+def test_what_the_index_is_made_of(spark):
+    """A path's threes are there once, however many nodes it has, and postings are made without a shuffle."""
+    nodes = spark.createDataFrame([(f"n{i}", "/a/deep.py", f"f{i}", "function", "x y x", i, i, None, "python", None) for i in range(40)], NODES)
+    paths = postings.grams_of(nodes, 0).filter(F.col("place") == 1)
+    assert sorted(r.gram for r in paths.collect()) == sorted({"/a/deep.py"[k : k + 3] for k in range(8)})
+    made_of = postings.postings_of(nodes, 0)
+    assert "Exchange" not in made_of._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in made_of.filter("id = 'n7' and term = 'x'").select("place", "positions", "length").collect()] == [(1, [0, 2], 7)]
