@@ -116,24 +116,24 @@ def hashed_vectors(
 ) -> DataFrame:
     """Offline vectors: word counts hashed into ``dimensions`` places.
 
-    Runs on built-in functions alone.  Counts are folded per (key, place) before
-    the vector is put together, so one vector holds at most ``dimensions`` rows.
+    A text's places are found in its row and gathered by key once; a numpy count of them is the vector.
     A text without words is left out, or all zero with ``every_key``.
     """
-    place = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dimensions
-    counts = (
-        texts.select(key, F.explode_outer(words("text")).alias("word"))
-        .filter(F.col("word").isNotNull())
-        .groupBy(key, place.cast("int").alias("place"))
-        .agg(F.count("*").cast("float").alias("weight"))
-    )
-    filled = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("at"))
+    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
+    placed = texts.select(key, F.transform(words("text"), place).alias("places"))
+    filled = placed.filter(F.size("places") > 0).groupBy(key).agg(F.flatten(F.collect_list("places")).alias("at"))
     if every_key:
-        none = F.create_map().cast("map<int,float>")
+        none = F.array().cast("array<int>")
         filled = texts.select(key).join(filled, key, "left").select(key, F.coalesce("at", none).alias("at"))
-    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    vector = F.transform(every, lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0).cast("float")))
-    return filled.select(key, vector.alias("vector"))
+
+    @F.arrow_udf("array<float>")
+    def counted(at: pa.Array) -> pa.Array:
+        sizes = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = np.repeat(np.arange(len(sizes)) * dimensions, sizes) + at.flatten().to_numpy(zero_copy_only=False)
+        weights = np.bincount(cells.astype(np.int64), minlength=len(sizes) * dimensions).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dimensions, pa.int32()), pa.array(weights))
+
+    return filled.select(key, counted("at").alias("vector"))
 
 
 def hashed_embeddings(nodes: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
