@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symbolweave.functions.names import indexed_language, indexed_symbol, reference_kind
-from symbolweave.lineage import cut, join_frontier, join_keyed
+from symbolweave.lineage import Cut, cut, join_frontier, join_keyed, merged
 from symbolweave.operators.upsert import first_wins
 from symbolweave.schema import EDGE_COLUMNS, NODE_COLUMNS
 
@@ -84,23 +84,20 @@ def convert(documents: DataFrame, root: str, stored: DataFrame) -> tuple[DataFra
         "file_path",
         F.col("as.name").alias("name"),
         F.col("as.kind").alias("kind"),
-        F.lit("").alias("signature"),
-        F.lit(0).alias("line_start"),
-        F.lit(0).alias("line_end"),
-        F.lit(None).cast("string").alias("parent_id"),
         "language",
-        F.lit("{}").alias("metadata"),
         "place",
     )
-    candidates = cut(first_wins(defined, ["id"], ["place"], NODE_COLUMNS), "defined")
+    candidates = cut(first_wins(defined, ["id"], ["place"], ["id", "file_path", "name", "kind", "language"]), "defined")
     held = join_keyed(stored.select("id", F.col("kind").alias("held_kind")), candidates, "id")
     held = cut(held.select("id", "held_kind"), "held")
-    fresh = candidates.df.join(held.df.select("id"), "id", "left_anti").select(*NODE_COLUMNS)
+    fresh = join_keyed(candidates.df, Cut(held.df.select("id"), held.rows), "id", "left_anti").withColumns({
+        "signature": F.lit(""), "line_start": F.lit(0), "line_end": F.lit(0),
+        "parent_id": F.lit(None).cast("string"), "metadata": F.lit("{}")}).select(*NODE_COLUMNS)
 
-    kinds = candidates.df.select("id", "kind").join(held.df, "id", "left")
+    kinds = join_keyed(candidates.df.select("id", "kind"), held, "id", "left")
     kinds = kinds.select("id", F.coalesce("held_kind", "kind").alias("kind"))
     target_of = defined.groupBy("symbol").agg(F.max_by("id", "place").alias("id"))
-    targets = target_of.join(kinds, "id").select(
+    targets = target_of.join(kinds if candidates.small else merged(kinds), "id").select(
         "symbol", F.col("id").alias("target_id"), reference_kind("kind").alias("kind")
     )
 
