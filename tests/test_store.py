@@ -140,4 +140,40 @@ def test_what_the_index_is_made_of(spark):
     assert sorted(r.gram for r in paths.collect()) == sorted({"/a/deep.py"[k : k + 3] for k in range(8)})
     made_of = postings.postings_of(nodes, 0)
     assert "Exchange" not in made_of._jdf.queryExecution().executedPlan().toString()
-    assert [tuple(r) for r in made_of.filter("id = 'n7' and term = 'x'").select("place", "positions", "length").collect()] == [(1, [0, 2], 7)]
+    assert [tuple(r) for r in made_of.filter("id = 'n7' and term = 'x'").select("place", "positions", "length").collect()] == [(1, [0, 2], 4)]
+
+
+def test_tables_are_laid_out_when_asked_for(spark, tmp_path):
+    """Only what is asked for is written, the rest can follow, and a table that is not there is no empty one."""
+    nodes, edges = made(spark, 7, range(50))
+    whole, part = str(tmp_path / "whole"), str(tmp_path / "part")
+    store.save_graph(nodes, edges, whole, 4)
+    store.save_graph(nodes, edges, part, 4, ["edges_by_target"])
+    held = store.load_graph(spark, part)
+    assert rows(held.links.by_target, EDGE_COLUMNS) == rows(edges, EDGE_COLUMNS)
+    for missing in (lambda: held.nodes, lambda: held.links.by_source, lambda: held.index.postings):
+        with pytest.raises(LookupError):
+            missing()
+    with pytest.raises(LookupError):
+        store.merge_rows(nodes, edges, part)
+    store.lay_out(nodes, edges, part, ["terms"])
+    assert set(store.manifest(spark, part).lacking) == {"members", "grams", "edges_by_source", "degrees"}
+    store.lay_out(nodes, edges, part, list(store.LAYOUTS))
+    one, other = store.load_graph(spark, whole), store.load_graph(spark, part)
+    for table, (schema, _) in store.TABLES.items():
+        assert rows(one.read(table), schema.fieldNames()) == rows(other.read(table), schema.fieldNames())
+    assert (one.index.rows, one.index.length) == (other.index.rows, other.index.length)
+
+
+def test_a_write_has_tasks_by_its_bytes(spark, tmp_path, monkeypatch):
+    """What a task sorts is bounded by the bytes its rows come from, also when one id has them all."""
+    monkeypatch.setattr(store, "TASK_BYTES", 4_000)
+    hub = spark.range(3000).select(
+        F.concat(F.lit("n"), "id").alias("source_id"), F.lit("hub").alias("target_id"), F.lit("calls").alias("kind"),
+        F.lit("/f.py").alias("file_path"), F.lit(1).alias("line_number"))
+    kept = cut(hub, "hub").df
+    tasks = store._tasks(kept, None)
+    assert tasks > 3
+    _, buckets = store._write(kept, str(tmp_path), "edges_by_target", 4)
+    files = list((tmp_path / "edges_by_target").rglob("*.parquet"))
+    assert len(buckets) == 1 and max(spark.read.parquet(str(f)).count() for f in files) < 3000
