@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from symbolweave import lineage
 from symbolweave.lineage import cut
 from symbolweave.operators import fulltext, postings, rank, upsert
 from symbolweave.plans.graph import CodeGraph
@@ -167,13 +168,26 @@ def test_tables_are_laid_out_when_asked_for(spark, tmp_path):
 
 def test_a_write_has_tasks_by_its_bytes(spark, tmp_path, monkeypatch):
     """What a task sorts is bounded by the bytes its rows come from, also when one id has them all."""
-    monkeypatch.setattr(store, "TASK_BYTES", 4_000)
+    monkeypatch.setattr(lineage, "TASK_BYTES", 4_000)
     hub = spark.range(3000).select(
         F.concat(F.lit("n"), "id").alias("source_id"), F.lit("hub").alias("target_id"), F.lit("calls").alias("kind"),
         F.lit("/f.py").alias("file_path"), F.lit(1).alias("line_number"))
     kept = cut(hub, "hub").df
-    tasks = store._tasks(kept, None)
+    tasks = lineage.tasks_of(kept)
     assert tasks > 3
     _, buckets = store._write(kept, str(tmp_path), "edges_by_target", 4)
     files = list((tmp_path / "edges_by_target").rglob("*.parquet"))
     assert len(buckets) == 1 and max(spark.read.parquet(str(f)).count() for f in files) < 3000
+
+
+def test_degrees_are_counted_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_BYTES", 100)
+    _, edges = made(spark, 8, range(300))
+    kept = cut(edges, "edges").df
+    found = rank.total_degrees(kept)
+    assert f"{lineage.tasks_of(kept)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString().replace("], ", "], ")
+    wanted = {}
+    for r in edges.collect():
+        for end in {r.source_id, r.target_id}:
+            wanted[end] = wanted.get(end, 0) + 1
+    assert {r.id: r.refs for r in found.collect()} == wanted
