@@ -1,5 +1,7 @@
 """The saved graph under change: buckets that are written anew, readers of older states, the index over words."""
 
+import contextlib
+import os
 import random
 
 import pytest
@@ -191,3 +193,40 @@ def test_degrees_are_counted_by_tasks_of_bounded_size(spark, tmp_path, monkeypat
         for end in {r.source_id, r.target_id}:
             wanted[end] = wanted.get(end, 0) + 1
     assert {r.id: r.refs for r in found.collect()} == wanted
+
+
+def test_layouts_read_little_at_once(spark, tmp_path, monkeypatch):
+    """While a table is laid out its input is read in small parts, unless smaller ones are set; then what was set holds again."""
+    files, fetched = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, seen = (spark.conf.get(files), spark.conf.get(fetched)), []
+
+    @contextlib.contextmanager
+    def watched(session):
+        with lineage.small_reads(session):
+            seen.append((spark.conf.get(files), spark.conf.get(fetched)))
+            yield
+
+    monkeypatch.setattr(store, "small_reads", watched)
+    nodes, edges = made(spark, 3, range(40))
+    store.save_graph(nodes, edges, str(tmp_path / "g"), buckets=1)
+    assert len(seen) == len(store.LAYOUTS) and set(seen) == {(str(lineage.READ_BYTES), str(lineage.FETCHED_BYTES))}
+    assert (spark.conf.get(files), spark.conf.get(fetched)) == before
+    spark.conf.set(files, "1m")
+    try:
+        with pytest.raises(ZeroDivisionError), lineage.small_reads(spark):
+            assert spark.conf.get(files) == "1m" and 1 / 0
+        assert (spark.conf.get(files), spark.conf.get(fetched)) == ("1m", before[1])
+    finally:
+        spark.conf.set(files, before[0])
+
+
+def test_postings_have_more_tasks_than_nodes(spark, tmp_path):
+    """They have several rows a node, so a task gets the words of fewer nodes."""
+    nodes, edges = made(spark, 4, range(200))
+    store.save_graph(nodes, edges, str(tmp_path / "n"), buckets=1, tables=["nodes"])
+    nodes = store.load_graph(spark, str(tmp_path / "n")).nodes
+    store.save_graph(nodes, edges, str(tmp_path / "g"), buckets=1)
+    written = {t: sum(f.endswith(".parquet") for _, _, files in os.walk(tmp_path / "g" / t) for f in files) for t in ("nodes", "postings", "grams")}
+    assert written == {"nodes": 1, "postings": 4, "grams": 4}
+    held = store.load_graph(spark, str(tmp_path / "g"))
+    assert rows(held.index.terms, ["start", "term"]) == rows(held.index.postings.selectExpr("substring(term, 1, 1) start", "term").distinct(), ["start", "term"])
