@@ -215,3 +215,19 @@ def test_large_sides_are_shuffled(spark, monkeypatch):
         keyed = lineage.join_keyed(ends.df, lineage.Cut(arcs.select("near").distinct(), 400), "near", how)
         assert "BroadcastExchange" not in keyed._jdf.queryExecution().executedPlan().toString()
         assert keyed.count() == (7 if how == "inner" else rows - 7)
+
+
+def test_many_keys_leave_little_to_shuffle(spark, make_graph, tmp_path, monkeypatch):
+    """Keys that are not broadcast as they are leave out stored rows by their hashes, up to a number of them."""
+    nodes, edges = make_graph("abcd", [*CHAIN, ("a", "d"), ("x", "d")])
+    store.save_graph(nodes, edges, str(tmp_path), buckets=4)
+    saved = store.load_graph(spark, str(tmp_path))
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 1)
+    for most, hashed in ((2, False), (3, True)):
+        monkeypatch.setattr(lineage, "HASHED_KEYS", most, raising=False)
+        ends = lineage.cut(spark.createDataFrame([("d",), ("c",), (None,)], "target_id string"), "ends")
+        monkeypatch.setattr(lineage, "FEW_KEYS", 0)
+        found = lineage.join_frontier(saved.links.by_target, ends, "target_id", F.col("source_id"), "left_semi")
+        assert ("BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()) == hashed
+        assert {(r.source_id, r.target_id) for r in found.collect()} == {("c", "d"), ("a", "d"), ("x", "d"), ("b", "c")}
+        assert hops(neighbours.callers(saved.bucketed_nodes, saved.links, "d", 3)) == hops(neighbours.callers(nodes, edges, "d", 3))
