@@ -97,8 +97,8 @@ def impact_edges(edges: DataFrame | StoredEdges, node_id: str, depth: int = 3) -
 
 def impact_names(walk: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct node names at each depth of an impact walk."""
-    ends = walk.select("depth", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    named = ends.join(nodes.select("id", "name", "kind", "file_path", "line_start"), "id")
+    ends = cut(walk.select("depth", F.explode(F.array("source_id", "target_id")).alias("id")).distinct(), "ends")
+    named = join_keyed(nodes.select("id", "name", "kind", "file_path", "line_start", *stored_buckets(nodes)), ends, "id")
     first = F.min_by(F.struct("kind", "file_path", "line_start"), F.col("id")).alias("at")
     return named.groupBy("depth", "name").agg(first).select("depth", "name", "at.*")
 
@@ -114,7 +114,7 @@ def labelled(walk: DataFrame, nodes: DataFrame, ends: list[str]) -> DataFrame:
         other = "target_id" if end == "source_id" else "source_id"
         ids = cut(walk.select(F.col(end).alias("id")).distinct(), "labels")
         label = F.concat("name", F.lit(" ("), "kind", F.lit(")")).alias("label")
-        names = join_keyed(nodes.select("id", "name", "kind"), ids, "id")
+        names = join_keyed(nodes.select("id", "name", "kind", *stored_buckets(nodes)), ids, "id")
         labels = Cut(names.select(F.col("id").alias(end), label), ids.rows)
         column = end.replace("_id", "_label")
         result = join_frontier(result, labels, end, spread_by=F.col(other), how="left")

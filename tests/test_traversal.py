@@ -231,3 +231,15 @@ def test_many_keys_leave_little_to_shuffle(spark, make_graph, tmp_path, monkeypa
         assert ("BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()) == hashed
         assert {(r.source_id, r.target_id) for r in found.collect()} == {("c", "d"), ("a", "d"), ("x", "d"), ("b", "c")}
         assert hops(neighbours.callers(saved.bucketed_nodes, saved.links, "d", 3)) == hops(neighbours.callers(nodes, edges, "d", 3))
+
+
+def test_labels_and_names_are_read_by_bucket(spark, make_graph, tmp_path):
+    nodes, edges = make_graph("abcd", CHAIN)
+    store.save_graph(nodes, edges, str(tmp_path), buckets=4)
+    saved = store.load_graph(spark, str(tmp_path))
+    walk = walks.impact_edges(saved.links, "a", 0)
+    for found in (walks.impact_names(walk, saved.bucketed_nodes), walks.labelled(walk, saved.bucketed_nodes, ["source_id", "target_id"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        read = [line for line in plan.splitlines() if "FileScan" in line and ",name#" in line]
+        assert read and all("bucket_of_4" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in read)
+        assert len(found.collect()) == (2 if "name" in found.columns else 1)
