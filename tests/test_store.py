@@ -4,10 +4,12 @@ import contextlib
 import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from symbolweave import lineage
+from symbolweave.functions.text import words
 from symbolweave.lineage import cut
 from symbolweave.operators import fulltext, postings, rank, upsert
 from symbolweave.plans.graph import CodeGraph
@@ -111,6 +113,62 @@ def test_deltas_are_folded(spark, tmp_path, monkeypatch):
     agree(graph, ["total OR save", "third"], ["rd_"])
 
 
+ODD = ["", None, "Order#7 ORDER#7 order_7", "ÄrgerNaïve İx ΣΑΣ ǅ", "a", "ab", "abcabcABC", "日本語コード 日本語", "x\u0301y\ue000z", "\x00\x7f~A1",
+       "tab\tand\nline", "Ⅷ½ ²x", "😀😀😀 b😀", " lead", "trail_", "ſtraße K"]
+
+
+def test_words_and_threes_of_odd_texts(spark):
+    """What numpy splits is what Spark's expressions say."""
+    texts = [(f"n{i}", ODD[-i], ODD[i], "function", ODD[i - 3], i, i, None, "go", ODD[i - 5]) for i in range(len(ODD))]
+    nodes = spark.createDataFrame([(r[0], r[1], r[2], *r[3:]) for r in texts], NODES).coalesce(1)
+    wanted = set()
+    for place, name in enumerate(postings.TEXT_COLUMNS):
+        for row in nodes.select("id", F.posexplode(words(name))).collect():
+            wanted.add((row.col, row.id, place, row.pos))
+    found = postings.postings_of(nodes, 3).select("term", "id", "place", F.explode("positions")).collect()
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    lengths = {i: sum(w[1] == i for w in wanted) for i in {w[1] for w in wanted}}
+    assert {(r.id, r.length) for r in postings.postings_of(nodes, 3).collect()} == set(lengths.items())
+    buckets = nodes.withColumn("b", F.pmod("line_start", F.lit(3)))
+    figures = {r.b: (r.rows, r.words) for r in postings.figures_of(buckets, "b").collect()}
+    assert figures == {r.b: (r.n, r.w) for r in buckets.groupBy("b").agg(
+        F.count("*").alias("n"), F.sum(sum(F.size(words(c)) for c in postings.TEXT_COLUMNS)).alias("w")).collect()}
+
+    def threes(text):
+        text = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        return {text[k : k + 3] for k in range(len(text) - 2)}
+
+    wanted = {(g, r[0], postings.NAME) for r in texts for g in threes(r[2])} | {(g, r[1], postings.PATH) for r in texts for g in threes(r[1])}
+    found = postings.grams_of(nodes, 3).select("gram", "id", "place").collect()
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+
+
+def test_single_words_are_added_up_in_place(spark, tmp_path):
+    """A word that millions of nodes have is counted without lists, which Spark sorts and spills."""
+    graph = CodeGraph(spark, str(tmp_path / "g"), buckets=4)
+    graph.save(*made(spark, 6, range(50)))
+    index = store.load_graph(spark, graph.folder).index
+    for query, lists in (("total OR name:save AND x", False), ('"parse tree"', True)):
+        counts = postings.phrase_counts(index, fulltext.phrases_of(fulltext.read_match(query)), "class")
+        assert ("collect_list" in counts._jdf.queryExecution().executedPlan().toString()) == lists
+    assert {f.name for f in counts.schema} == {"id", "length", "of_kind", "f0"}
+
+
+def test_nodes_are_read_in_small_parts(spark, tmp_path):
+    """Tasks that make many rows of each node read little: a row group has no more than 4 MB, whatever a file has."""
+    nodes = spark.range(0, 40_000, 1, 1).select(
+        F.format_string("n%d", "id").alias("id"), F.lit("/a.py").alias("file_path"), F.lit("x").alias("name"), F.lit("function").alias("kind"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 512), 3).alias("signature"), F.lit(1).cast("long").alias("line_start"),
+        F.lit(1).cast("long").alias("line_end"), F.lit(None).cast("string").alias("parent_id"), F.lit("go").alias("language"), F.lit("{}").alias("metadata"))
+    nodes = nodes.select(*[F.col(f.name).cast(f.dataType) for f in NODES])
+    store.save_graph(nodes, spark.createDataFrame([], EDGES), str(tmp_path / "g"), 1, ["nodes"])
+    groups = []
+    for file in (tmp_path / "g" / "nodes").rglob("*.parquet"):
+        held = pq.ParquetFile(file).metadata
+        groups += [held.row_group(k).total_byte_size for k in range(held.num_row_groups)]
+    assert sum(groups) > 12 << 20 and max(groups) < 6 << 20
+
+
 def test_a_search_reads_its_words_buckets(spark, tmp_path):
     graph = CodeGraph(spark, str(tmp_path / "g"), buckets=16)
     graph.save(*made(spark, 5, range(80)))
