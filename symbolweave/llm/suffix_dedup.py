@@ -13,8 +13,9 @@ pieces differ, all their strings are sorted as suffixes, deep-shallow, and the s
 ``doc_id`` of each class of equal strings decides.  Runs found there travel to the bucket of
 their document and meet its text.
 
-Texts travel compressed.  A very long text is cut into overlapping blocks, so memory is
-bounded by the block and by the bucket; the number of buckets follows that of input splits.
+Texts travel compressed, and pieces of several blocks together, since small packages compress badly.  A very long
+text is cut into overlapping blocks; the number of buckets follows the bytes of all texts, however they are split, and
+a bucket's pieces are sorted in several passes by their anchors, so memory is bounded by the package and by the pass.
 
 A null text is empty, and one shorter than ``length`` bytes keeps everything.  Rows with
 equal ``doc_id`` do not remove from one another; a null ``doc_id`` counts as the largest.
@@ -32,15 +33,20 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from symbolweave.llm.suffix_sort import WORD, deep_shallow, words_at
-from symbolweave.llm.text import chunks, id_and_text, mix, partitions, release
+from symbolweave.llm.text import chunks, id_and_text, mix, release
 
 LENGTH, GRAM = 50, 12
 BLOCK, STEP = 4 << 20, 1 << 18
-BUCKETS_PER_SPLIT, LEAST_BUCKETS = 3, 24
+# Bytes of text whose pieces are packed together, and of pieces that are sorted at once.
+PACKED, SORTED = 16 << 20, 32 << 20
+# Bytes of text in a bucket of documents, and in one of pieces once there are many of those.
+SHARD_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+LEAST_BUCKETS, MANY_BUCKETS = 24, 96
 LAST = (1 << 63) - 1
 
 ROUTED = "bucket int, kind int, data binary"
@@ -141,20 +147,84 @@ def _route_texts(buckets: int):
     return task
 
 
-def _route_pieces(length: int, buckets: int):
+def _route_pieces(length: int, buckets: int, shards: int):
     """Pieces to the buckets of their anchors, and runs settled at once to those of their documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
+        held, size = {}, 0
         for chunk in chunks(batches):
             ids, texts = _ids(chunk.column(0)), chunk.column(1).cast(pa.binary()).to_pylist()
             tags = np.array([_tag(t) for t in texts], np.uint32)
             for block in _blocks(texts, length):
-                yield _routed(_block_rows(block, ids, tags, length, buckets, packer))
+                runs, pieces = _block_rows(block, ids, tags, length, buckets, shards, packer)
+                for bucket, part in pieces:
+                    held.setdefault(bucket, []).append(part)
+                yield _routed(runs)
+                size += sum(len(part) for *_, part in block)
+                if size >= PACKED:
+                    yield from _packages(held, packer)
+                    size = 0
+        yield from _packages(held, packer)
 
     return task
 
 
+def _packages(held: dict[int, list[tuple]], packer) -> Iterator[pa.RecordBatch]:
+    """Rows of the pieces held for each bucket, a few at a time; they are held no more then."""
+    rows, size = [], 0
+    while held:
+        bucket, parts = held.popitem()
+        *whole, which, at = _joined(parts)
+        rows.append((bucket, 1, _pack(packer, *whole, np.diff(which, prepend=0).astype(np.int32), np.diff(at, prepend=0))))
+        size += len(rows[-1][2])
+        if size > BLOCK:
+            yield _routed(rows)
+            rows, size = [], 0
+    if rows:
+        yield _routed(rows)
+
+
+def _opened(data: bytes) -> tuple:
+    """The pieces of a package."""
+    *whole, which, at = _unpack(data)
+    return (*whole, np.cumsum(which), np.cumsum(at))
+
+
+# Pieces are a tuple: their bytes, sizes, anchors and how many places each has; the documents' ids and tags; the
+# document's number and the first byte of every place.
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """Pieces of several blocks or packages as one."""
+    before = np.cumsum([0, *(len(p[4]) for p in parts[:-1])])
+    which = np.concatenate([p[6] + n for p, n in zip(parts, before, strict=True)])
+    return (*(np.concatenate([p[k] for p in parts]) for k in range(6)), which, np.concatenate([p[7] for p in parts]))
+
+
+def _chosen(pieces: tuple, mine: np.ndarray) -> tuple:
+    """Some of the pieces."""
+    data, size, left, per, ids, tags, which, at = pieces
+    start, places = np.cumsum(size, dtype=np.int64) - size, np.repeat(mine, per)
+    docs, which = np.unique(which[places], return_inverse=True)
+    return _gather(data, start[mine], size[mine]), size[mine], left[mine], per[mine], ids[docs], tags[docs], which.astype(np.int32), at[places]
+
+
+def _side_by_side(data, first, sizes, left, length, *by) -> tuple[np.ndarray, np.ndarray]:
+    """An order with equal pieces together, those by some columns, and which equal the one before; ``data`` ends with spare bytes."""
+    words = [words_at(data, first + k, first + sizes) for k in range(0, 2 * length - GRAM, WORD)]
+    content = mix(left.astype(np.uint64) * np.uint64(256) + sizes.astype(np.uint64))
+    for word in words:
+        content = mix(content + word)
+    order = np.lexsort((*by, content))
+    same = np.zeros(len(order), bool)
+    a, b = order[1:], order[:-1]
+    same[1:] = (content[a] == content[b]) & (sizes[a] == sizes[b]) & (left[a] == left[b])
+    for word in words:
+        same[1:] &= word[a] == word[b]
+    return order, same
+
+
 def _routed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ([], [], [])
     return pa.RecordBatch.from_arrays(
@@ -162,7 +232,8 @@ def _routed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         names=["bucket", "kind", "data"])
 
 
-def _block_rows(block, ids, tags, length, buckets, packer) -> list[tuple[int, int, bytes]]:
+def _block_rows(block, ids, tags, length, buckets, shards, packer) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, tuple]]]:
+    """Rows of the runs a block settles, and its other pieces by bucket."""
     data = np.frombuffer(b"".join(part for *_, part in block), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(part) for *_, part in block])])
     rows, begins = (np.array([b[k] for b in block], np.int64) for k in (0, 1))
@@ -172,22 +243,13 @@ def _block_rows(block, ids, tags, length, buckets, packer) -> list[tuple[int, in
     owner, at = rows[part], first - offsets[part] + begins[part]
 
     # equal pieces side by side: by a hash of their bytes, then compared word by word
-    spare = np.append(data, np.zeros(2 * length, np.uint8))
-    words = [words_at(spare, first + k, first + sizes) for k in range(0, 2 * length - GRAM, WORD)]
-    content = mix(((anchor - first) * 256 + sizes).astype(np.uint64))
-    for word in words:
-        content = mix(content + word)
-    order = np.lexsort((at, owner, ids[owner], content))
-    same = np.zeros(len(order), bool)
-    a, b = order[1:], order[:-1]
-    same[1:] = (content[a] == content[b]) & (sizes[a] == sizes[b]) & (anchor[a] - first[a] == anchor[b] - first[b])
-    for word in words:
-        same[1:] &= word[a] == word[b]
+    order, same = _side_by_side(np.append(data, np.zeros(2 * length, np.uint8)), first, sizes, anchor - first, length, at, owner, ids[owner])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     repeated = ids[owner[order]] > ids[owner[order[head]]]
 
     gone = order[repeated]
-    out = _runs_rows(ids[owner[gone]], tags[owner[gone]], at[gone], at[gone] + sizes[gone], buckets, packer)
+    runs = _runs_rows(ids[owner[gone]], tags[owner[gone]], at[gone], at[gone] + sizes[gone], shards, packer)
+    out = []
     sent, leads = order[~repeated], ~same[~repeated]
     unique = sent[leads]
     per = np.diff(np.append(np.flatnonzero(leads), len(sent)))
@@ -200,14 +262,14 @@ def _block_rows(block, ids, tags, length, buckets, packer) -> list[tuple[int, in
         own = sent[np.repeat(start[mine] - np.cumsum(per[mine]) + per[mine], per[mine]) + np.arange(per[mine].sum())]
         docs, which = np.unique(owner[own], return_inverse=True)
         u = unique[mine]
-        out.append((int(bucket[mine[0]]), 1, _pack(
-            packer, _gather(data, first[u], sizes[u]).tobytes(), sizes[u].astype(np.uint8 if length < 120 else np.int32),
+        out.append((int(bucket[mine[0]]), (
+            _gather(data, first[u], sizes[u]), sizes[u].astype(np.uint8 if length < 120 else np.int32),
             (anchor[u] - first[u]).astype(np.uint8 if length < 120 else np.int32), per[mine].astype(np.int32),
-            ids[docs], tags[docs], np.diff(which, prepend=0).astype(np.int32), np.diff(at[own], prepend=0))))
-    return out
+            ids[docs], tags[docs], which.astype(np.int32), at[own])))
+    return runs, out
 
 
-def _runs_rows(ids, tags, begins, ends, buckets, packer) -> list[tuple[int, int, bytes]]:
+def _runs_rows(ids, tags, begins, ends, shards, packer) -> list[tuple[int, int, bytes]]:
     """Runs of documents' bytes, merged, for the buckets of their documents."""
     if not len(ids):
         return []
@@ -222,7 +284,7 @@ def _runs_rows(ids, tags, begins, ends, buckets, packer) -> list[tuple[int, int,
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(new)) - 1
     ids, tags, begins, ends = ids[heads], tags[heads], begins[heads], far[tails]
-    shard = _shard(ids, buckets)
+    shard = _shard(ids, shards)
     group = np.argsort(shard, kind="stable")
     edges = np.flatnonzero(np.append(True, np.diff(shard[group]) != 0))
     return [
@@ -231,31 +293,63 @@ def _runs_rows(ids, tags, begins, ends, buckets, packer) -> list[tuple[int, int,
     ]
 
 
-def _settle(length: int, buckets: int):
+def _settle(length: int, shards: int):
     """A bucket's pieces to the runs that are to go; runs settled before pass through."""
 
     def task(table: pa.Table) -> pa.Table:
         packer = zstandard.ZstdCompressor(level=3)
         kinds, blobs = table.column("kind").to_numpy(), table.column("data")
         out = [(int(table.column("bucket")[0].as_py()), 2, blobs[int(k)].as_py()) for k in np.flatnonzero(kinds == 2)]
-        pieces = [_unpack(blobs[int(k)].as_py()) for k in np.flatnonzero(kinds == 1)]
-        if pieces:
-            out += _runs_rows(*_repeated(pieces, length), buckets, packer)
+        packed = np.flatnonzero(kinds == 1).tolist()
+        passes = -(-sum(zstandard.frame_content_size(blobs[k].as_buffer()) for k in packed) // SORTED)
+        for number in range(passes):
+            held, size, most = [], 0, 2 * SORTED
+            for k in packed:
+                held.append(_of_pass(_opened(blobs[k].as_buffer()), number, passes))
+                size += len(held[-1][0])
+                if size > most:  # an anchor that is very frequent: mostly equal pieces
+                    pieces, runs = _settled_at_once(_joined(held), length)
+                    out += _runs_rows(*runs, shards, packer)
+                    held, size = [pieces], len(pieces[0])
+                    most = max(most, 2 * size)
+            out += _runs_rows(*_repeated(held, length), shards, packer)
             release()
         return pa.Table.from_batches([_routed(out)])
 
     return task
 
 
-def _repeated(blobs: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+def _of_pass(pieces: tuple, number: int, passes: int) -> tuple:
+    """The pieces whose anchors are sorted in one of several passes."""
+    data, size, left = pieces[:3]
+    if passes == 1:
+        return (np.frombuffer(data, np.uint8), *pieces[1:])
+    data = np.frombuffer(data, np.uint8)
+    anchors = _hashes(data, np.cumsum(size, dtype=np.int64) - size + left)
+    return _chosen((data, *pieces[1:]), mix(anchors + np.uint64(1)) % np.uint64(passes) == number)
+
+
+def _settled_at_once(pieces: tuple, length: int) -> tuple[tuple, tuple]:
+    """Of equal pieces those of the smallest identifier, and the runs of the others, which are repeated as a whole."""
+    data, size, left, per, ids, tags, which, at = pieces
+    doc = ids[which[np.cumsum(per) - per]]
+    first, sizes = np.cumsum(size, dtype=np.int64) - size, size.astype(np.int64)
+    order, same = _side_by_side(np.append(data, np.zeros(2 * length, np.uint8)), first, sizes, left.astype(np.int64), length, doc)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    goes = np.zeros(len(order), bool)
+    goes[order] = doc[order] > doc[order[head]]
+    gone = np.repeat(goes, per)
+    owner, begin = which[gone], at[gone]
+    return _chosen(pieces, ~goes), (ids[owner], tags[owner], begin, begin + np.repeat(sizes, per)[gone])
+
+
+def _repeated(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     """Owner, tag, begin and end of the runs that pieces of documents with smaller identifiers repeat."""
-    data = np.frombuffer(b"".join(b[0] for b in blobs) + bytes(2 * length), np.uint8)
-    size, left, per = (np.concatenate([b[k].astype(np.int64) for b in blobs]) for k in (1, 2, 3))
-    which = [np.cumsum(b[6]) for b in blobs]
-    ids = np.concatenate([b[4][w] for b, w in zip(blobs, which, strict=True)])
-    tags = np.concatenate([b[5][w] for b, w in zip(blobs, which, strict=True)])
-    at = np.concatenate([np.cumsum(b[7]) for b in blobs])
-    blobs.clear()  # the largest arrays are held once only
+    data, size, left, per, ids, tags, which, at = _joined(parts)
+    parts.clear()  # the largest arrays are held once only
+    data = np.append(data, np.zeros(2 * length, np.uint8))
+    size, left, per = (c.astype(np.int64) for c in (size, left, per))
+    ids, tags = ids[which], tags[which]
     start, place = np.cumsum(size) - size, np.cumsum(per) - per
     doc = ids[place]  # all places of a piece are in documents of one identifier
 
@@ -381,12 +475,19 @@ def _shortened(names: list[str]):
     return make
 
 
+def _numbers(docs: DataFrame) -> tuple[int, int]:
+    """How many buckets of documents there are, and of pieces: by the bytes of the texts, whatever the input's splits hold."""
+    held = id_and_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(LEAST_BUCKETS, -(-held // SHARD_BYTES))
+    return shards, max(min(shards, MANY_BUCKETS), -(-held // BUCKET_BYTES))
+
+
 def _cut_texts(docs: DataFrame, rows: DataFrame, make, schema: StructType, length: int, buckets: int | None) -> DataFrame:
     """``rows`` begin with ``doc_id`` and ``text`` and may have more."""
-    buckets = buckets or max(LEAST_BUCKETS, BUCKETS_PER_SPLIT * partitions(docs))
-    texts = rows.mapInArrow(_route_texts(buckets), ROUTED)
-    pieces = id_and_text(docs).mapInArrow(_route_pieces(length, buckets), ROUTED)
-    runs = pieces.groupBy("bucket").applyInArrow(_settle(length, buckets), ROUTED)
+    shards, buckets = (buckets, buckets) if buckets else _numbers(docs)
+    texts = rows.mapInArrow(_route_texts(shards), ROUTED)
+    pieces = id_and_text(docs).mapInArrow(_route_pieces(length, buckets, shards), ROUTED)
+    runs = pieces.groupBy("bucket").applyInArrow(_settle(length, shards), ROUTED)
     return texts.unionByName(runs).groupBy("bucket").applyInArrow(_cut_out(make, to_arrow_schema(schema)), schema)
 
 

@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -218,6 +220,44 @@ def test_repeated_bytes(odd_docs, odd_rows, no_docs, monkeypatch, buckets):
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
 
 
+def _settled(spark, docs, buckets):
+    """The pieces' rows that reach the buckets, and what the buckets make of them in this process."""
+    (rows,) = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().combine_chunks().to_batches()
+    routed = pa.Table.from_batches(list(suffix_dedup._route_pieces(50, buckets, 1)(iter([rows]))))
+    made = [suffix_dedup._settle(50, 1)(routed.filter(pc.equal(routed["bucket"], b))) for b in range(buckets)]
+    covered = set()
+    for blob in pa.concat_tables(made)["data"].to_pylist():
+        for doc, tag, begin, end in zip(*suffix_dedup._unpack(blob), strict=True):
+            covered.update((int(doc), int(tag), k) for k in range(begin, end))
+    return routed, covered
+
+
+def test_pieces_in_several_passes(spark, odd_docs, monkeypatch):
+    """A bucket's pieces sorted a few at a time, or settled at once where one anchor holds most, give what one sort gives."""
+    _, wanted = _settled(spark, odd_docs, 1)
+    sizes, whole = [], suffix_dedup._repeated
+    monkeypatch.setattr(suffix_dedup, "_repeated", lambda parts, length: sizes.append(sum(len(p[0]) for p in parts)) or whole(parts, length))
+    monkeypatch.setattr(suffix_dedup, "PACKED", 1000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    routed, found = _settled(spark, odd_docs, 1)
+    together = sum(sizes)
+    sizes.clear()
+    monkeypatch.setattr(suffix_dedup, "SORTED", 5000)
+    assert found == wanted and _settled(spark, odd_docs, 1)[1] == wanted and len(wanted) > 1000
+    assert len(sizes) > 5 and max(sizes) < together / 3
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    """As many buckets for the same texts in one split as in many."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 300) for k in range(40)], "doc_id long, text string")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", held // 200 + 1)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", held // 150 + 1)
+    assert suffix_dedup._numbers(docs.coalesce(1)) == suffix_dedup._numbers(docs.repartition(30))
+    shards, buckets = suffix_dedup._numbers(docs.coalesce(1))
+    assert 190 <= shards <= 200 and 140 <= buckets <= 150
+
+
 def test_long_text_in_blocks(monkeypatch):
     texts = [("ab" * 40 + str(k) * 3).encode() * 30 for k in range(4)]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
