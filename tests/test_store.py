@@ -288,3 +288,84 @@ def test_postings_have_more_tasks_than_nodes(spark, tmp_path):
     assert written == {"nodes": 1, "postings": 4, "grams": 4}
     held = store.load_graph(spark, str(tmp_path / "g"))
     assert rows(held.index.terms, ["start", "term"]) == rows(held.index.postings.selectExpr("substring(term, 1, 1) start", "term").distinct(), ["start", "term"])
+
+
+def test_left_out_rows_by_hashes(spark, monkeypatch):
+    """Keys too many to broadcast leave out what they would in a join, also where others share their hash; rows are not shuffled."""
+    schema = "a string, b string, c long"
+    keys = [(f"k{i}", f"v{i}") for i in range(0, 300, 3)] + [("x", None), (None, "y"), (None, None), ("k3", "v3"), ("z", "")]
+    rows_ = [(f"k{i % 150}", f"v{i % 140}", i) for i in range(600)] + [("x", None, 1), (None, "x", 2), ("y", None, 3), (None, None, 4), ("x", "y", 5), ("z", "", 6)]
+    held, table = cut(spark.createDataFrame(keys, "a string, b string"), "keys"), cut(spark.createDataFrame(rows_, schema), "rows").df
+    wanted = table.join(held.df, ["a", "b"], "left_anti")
+    one = cut(held.df.select("a"), "keys")
+    ends = table.join(one.df, "a", "left_anti").join(one.df.withColumnRenamed("a", "b"), "b", "left_anti")
+    for broadcast in (lineage.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", broadcast)
+        assert rows(lineage.leave_out(table, held, ["a", "b"]), "abc") == rows(wanted, "abc")
+        assert rows(lineage.leave_out(table, one, ["a"], ["b"]), "abc") == rows(ends, "abc")
+    plan = lineage.leave_out(table, one, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "hashpartitioning" not in plan
+
+
+def test_a_change_of_some_tables(spark, tmp_path, monkeypatch):
+    """Tables that are laid out change as in a whole graph, with many keys as with few, and the others can follow."""
+    nodes, edges = made(spark, 9, range(70))
+    more, links = made(spark, 10, range(50, 100), files=7)
+    whole = str(tmp_path / "whole")
+    store.save_graph(nodes, edges, whole, 4)
+
+    def change(at):
+        store.merge_rows(more, links, at)
+        store.remove_old(spark, at)
+        store.delete_files(spark.createDataFrame([("/f1.py",)], "file_path string"), at)
+
+    change(whole)
+    one = store.load_graph(spark, whole)
+    for k, tables in enumerate((["nodes"], ["nodes", "edges_by_source"], ["degrees", "nodes"], ["terms", "members"])):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", (0, 100_000)[k % 2])
+        part = str(tmp_path / f"part{k}")
+        store.save_graph(nodes, edges, part, 4, tables)
+        change(part)
+        lacking = store.manifest(spark, part).lacking
+        assert not set(lacking) & set(tables) and len(lacking) >= 4
+        if "edges_by_source" in lacking and "edges_by_target" in lacking:
+            with pytest.raises(LookupError):
+                store.lay_out(nodes, edges, part, ["degrees"])
+        store.lay_out(nodes, edges, part, ["members", "postings", "terms", "grams"])
+        if k in (1, 2):
+            store.lay_out(nodes, edges, part, list(store.LAYOUTS))
+        other = store.load_graph(spark, part)
+        for table in set(store.LAYOUTS) - set(store.manifest(spark, part).lacking) - {"postings", "grams", "terms"}:
+            columns = store.TABLES[table][0].fieldNames()
+            assert rows(one.read(table), columns) == rows(other.read(table), columns), table
+        for query in ("save OR total", '"parse tree" OR tot*'):
+            assert [(r.id, r.score) for r in postings.search(one.bucketed_nodes, one.index, query).collect()] == [
+                (r.id, r.score) for r in postings.search(other.bucketed_nodes, other.index, query).collect()]
+        assert rows(postings.explore(one.bucketed_nodes, one.index, "ave_"), ["id"]) == rows(postings.explore(other.bucketed_nodes, other.index, "ave_"), ["id"])
+
+
+def test_writes_leave_no_shuffles(spark, tmp_path):
+    """The files of a shuffle go with the write that needed it."""
+
+    def shuffled():
+        return {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if "shuffle" in b}
+
+    before = shuffled()
+    cut(spark.range(5000).repartition(4, "id"), "dealt")
+    store.save_graph(*made(spark, 11, range(30)), str(tmp_path / "g"), 2, ["nodes", "edges_by_source"])
+    assert shuffled() <= before and spark.conf.get(lineage.CLEANUP) == "false"
+
+
+def test_changes_are_laid_out_again(spark, tmp_path, monkeypatch):
+    """A change writes what is left as it reads it, without a shuffle, until that has left many files."""
+    monkeypatch.setattr(store, "MOST_FILES", 2)
+    at, dealt, files, write = str(tmp_path / "g"), [], [], store._write
+    nodes, edges = made(spark, 12, range(40))
+    store.save_graph(nodes, edges, at, 1, ["nodes"])
+    monkeypatch.setattr(store, "_write", lambda rows_, folder, table, buckets: dealt.append(rows_.count()) or write(rows_, folder, table, buckets))
+    for k in range(9):
+        store.merge_rows(nodes.filter(f"id = 'n{k}'").withColumn("name", F.lit(f"name {k}")), edges.limit(0), at)
+        files.append(len(store.load_graph(spark, at).nodes.inputFiles()))
+    assert set(dealt) == {1, 40} and dealt.count(1) >= 5 and max(files) <= 6  # what arrives, or all rows
+    held = store.load_graph(spark, at).nodes
+    assert held.count() == 40 and held.filter("id = 'n8'").first().name == "name 8"
