@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symbolweave.functions.names import indexed_language, indexed_symbol, reference_kind
-from symbolweave.lineage import Cut, cut, join_frontier, join_keyed, merged
+from symbolweave.lineage import Cut, compiled_methods, cut, join_frontier, join_keyed, merged
 from symbolweave.operators.upsert import first_wins
 from symbolweave.schema import EDGE_COLUMNS, NODE_COLUMNS
 
@@ -35,8 +35,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.select(F.posexplode("documents").alias("doc_no", "doc")).select("doc_no", "doc.*")
 
 
+def _defines() -> Column:
+    return (F.col("place.list") == 0) & (F.col("roles").bitwiseAND(DEFINITION) == DEFINITION)
+
+
 def _mentions(documents: DataFrame, root: str) -> DataFrame:
-    """Every symbol mention with its place: document, list, position."""
+    """Every symbol mention with its place (document, list, position), and what the symbol says where it defines one."""
     path = F.coalesce("relative_path", F.lit(""))
     listed = F.transform(
         F.coalesce("symbols", F.array()),
@@ -58,9 +62,10 @@ def _mentions(documents: DataFrame, root: str) -> DataFrame:
             indexed_language(path).alias("language"),
             F.explode_outer(F.concat(seen, listed)).alias("m"),
         )
-        .select("file_path", "language", F.struct("doc_no", "m.list", "m.at").alias("place"), "m.*")
+        .select("file_path", "language", F.struct("doc_no", "m.list", "m.at").alias("place"), "m.symbol", "m.roles")
         .filter(F.coalesce("symbol", F.lit("")) != "")
         .filter(~F.col("symbol").startswith("local "))
+        .withColumn("as", F.when((F.col("place.list") == 1) | _defines(), indexed_symbol("symbol")))
     )
 
 
@@ -71,13 +76,9 @@ def convert(documents: DataFrame, root: str, stored: DataFrame) -> tuple[DataFra
     last definition of a symbol counts, the first one of a node makes it.  A
     symbol that very many references name is spread over tasks by file.
     """
-    mentions = cut(_mentions(documents, root), "mentions").df  # read three times below
-    is_definition = (F.col("list") == 0) & (F.col("roles").bitwiseAND(DEFINITION) == DEFINITION)
-    is_listed = F.col("list") == 1
-    parsed = mentions.filter(is_definition | is_listed).withColumn("as", indexed_symbol("symbol"))
-    defined = parsed.filter(F.col("as").isNotNull()).filter(
-        is_definition | F.col("as.kind").isin(LISTED_KINDS)
-    )
+    with compiled_methods(documents.sparkSession):
+        mentions = cut(_mentions(documents, root), "mentions").df  # read three times below; symbols are taken apart once
+    defined = mentions.filter(F.col("as").isNotNull()).filter(_defines() | F.col("as.kind").isin(LISTED_KINDS))
     defined = defined.select(
         "symbol",
         F.concat("file_path", F.lit(":"), F.col("as.name")).alias("id"),
@@ -102,7 +103,7 @@ def convert(documents: DataFrame, root: str, stored: DataFrame) -> tuple[DataFra
     )
 
     references = (
-        mentions.filter((F.col("list") == 0) & (F.col("roles") == 0))
+        mentions.filter((F.col("place.list") == 0) & (F.col("roles") == 0))
         .groupBy("file_path", "symbol")
         .agg(F.count("*").alias("times"))
     )

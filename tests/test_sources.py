@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolweave import cli, config
-from symbolweave.functions import display, vectors
+from symbolweave.functions import display, names, vectors
 from symbolweave.operators import rank, similar, upsert
 from symbolweave.plans.graph import CodeGraph
-from symbolweave.plans.parse import _scopes, parse, parsed_edges, parsed_nodes
+from symbolweave.plans.parse import _scopes, index_counts, parse, parsed_edges, parsed_nodes
 from symbolweave.schema import EDGES, NODES
 from symbolweave.sources import dependency_maps, repos, runlog, scip, store, tree
 from symbolweave.sources.tree import LANGUAGE_OF, language_of
@@ -230,6 +230,34 @@ def test_indexer_json(spark, tmp_path):
     assert counts.first().asDict() == {"nodes_added": 2, "references_resolved": 2}
 
 
+def test_symbols_are_taken_apart_once(spark, monkeypatch):
+    """What a symbol says is kept with its mention, by methods the JVM compiles; odd texts say what they did."""
+    seen, cut_, limit = [], scip.cut, "spark.sql.codegen.hugeMethodLimit"
+    monkeypatch.setattr(scip, "cut", lambda df, label: seen.append(
+        (df._jdf.queryExecution().optimizedPlan().toString().count("substring_index"), int(spark.conf.get(limit)))) or cut_(df, label))
+    before = spark.conf.get(limit)
+    documents = spark.createDataFrame([(0, "a.py", [("p a/f().", 1), ("p a/f().", 0)], [("p a/C#",)])], "doc_no long, relative_path string, occurrences array<struct<symbol string, symbol_roles int>>, symbols array<struct<symbol string>>")
+    nodes, edges, _ = scip.convert(documents, "/r", spark.createDataFrame([], NODES))
+    assert {r.id for r in nodes.collect()} == {"/r/a.py:f", "/r/a.py:C"} and edges.count() == 1
+    assert seen[0][0] > 0 and not any(n for n, _ in seen[1:]) and seen[0][1] <= 8000 and spark.conf.get(limit) == before
+    odd = {"p a/`f.py`/C#": ("C", "class"), "a/C#m().": ("C.m", "method"), "a/C#m().(x)": None, "a/C#x)).": ("C.x))", "method"), "a/C#m..)\n": ("C.m\n", "method"),
+           "a/C#m)\nn)": ("C.m)\nn", "method"), "a/f().g().": ("f().g", "function"), "a/f().g": ("f", "method"), "a/f(+1).": ("f", "function"), "a/é().": ("é", "function"),
+           "a/v`": ("v", "symbol"), "a/d/": None, "": None, "().": None}
+    found = spark.createDataFrame([(k,) for k in odd], "s string").select("s", names.indexed_symbol("s").alias("n"))
+    assert {r.s: r.n and tuple(r.n) for r in found.collect()} == odd
+
+
+def test_marks_are_found_once(spark):
+    """The optimizer does not copy the search for marks into each use, and counting parses a file once."""
+    files = spark.createDataFrame([("/q.py", "python", "class A:\n    def f(self):\n        g()\n", None)], "path string, language string, text string, error string")
+    parsed = parse(files)
+    plan = parsed_nodes(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "nest(array_join(marks" in plan
+    counted = index_counts(files, parsed)
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("nest(") == 1
+    assert counted.first().asDict() == {"files_indexed": 1, "files_failed": 0, "symbols_found": 2, "edges_found": 1}
+
+
 def test_dependency_maps(spark):
     used = spark.createDataFrame([("/a.py", {"_": ["os.path"], "f": ["g", "g"]})], dependency_maps.USAGES)
     assert {tuple(r)[:3] for r in dependency_maps.usage_edges(used).collect()} == {
